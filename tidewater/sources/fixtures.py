@@ -41,7 +41,11 @@ def lane_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def net_edges(spark: SparkSession, sf_dir: str, per_source: int = 3) -> DataFrame:
-    """Top ``per_source`` lanes by volume per source (ties by target), with distance and mode."""
+    """Top ``per_source`` lanes by volume per source (ties by target), with distance and mode.
+
+    Distance and traffic are kept to 6 decimals so that every engine starts
+    the weight arithmetic from the same doubles.
+    """
     lanes = lane_volumes(spark, sf_dir)
     w = Window.partitionBy("source").orderBy(F.desc("volume"), "target")
     top = lanes.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= per_source)
@@ -52,8 +56,8 @@ def net_edges(spark: SparkSession, sf_dir: str, per_source: int = 3) -> DataFram
     mode = F.when(F.pmod(F.col("source") + F.col("target"), F.lit(7)) == 0, "air").otherwise("ground")
     return e.select(
         "source", "target",
-        haversine_km("lat1", "lon1", "lat2", "lon2").alias("distance"),
-        F.when(mode == "air", F.lit(0.1)).otherwise(1 + F.col("avg_tax")).alias("traffic"),
+        F.round(haversine_km("lat1", "lon1", "lat2", "lon2"), 6).alias("distance"),
+        F.when(mode == "air", F.lit(0.1)).otherwise(F.round(1 + F.col("avg_tax"), 6)).alias("traffic"),
         F.col("volume").cast("long").alias("capacity"),
         mode.alias("mode"))
 
