@@ -64,3 +64,10 @@ def arith_hash(*cols, seed: int = 42) -> Column:
     for i, c in enumerate(cols):
         expr = F.pmod(expr * F.lit(1_000_003) + col(c) * F.lit(7919 + 2 * i), F.lit(2_147_483_647))
     return expr
+
+
+def round_half_up(c: Column | str, digits: int = 2) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d: one rounding rule that every engine evaluates with the same
+    IEEE operations (built-in ``round`` differs between engines on exact half-way values)."""
+    k = float(10 ** digits)
+    return F.floor(col(c) * k + 0.5) / k

@@ -65,3 +65,19 @@ def avg_unit_value(orders: DataFrame) -> DataFrame:
     """E5: mean order value / max(mean quantity, 1) — one row."""
     return orders.agg(
         (F.avg("order_value") / F.greatest(F.avg("quantity"), F.lit(1.0))).alias("avg_unit_value"))
+
+
+def zscore_outliers(stats_df: DataFrame, by: str, z: float = 2.0) -> DataFrame:
+    """Deterministic outlier rule: score = largest |x - mean| / population std over the statistics.
+
+    Means and deviations are scalar subqueries (one partial aggregate each);
+    a statistic with zero spread contributes 0.  Flag when the score exceeds ``z``.
+    """
+    from tidewater.functions.constants import SUPPLIER_FEATURES as FEATS
+    parts = []
+    for c in FEATS:
+        mean = stats_df.agg(F.avg(c)).scalar()
+        std = stats_df.agg(F.stddev_pop(c)).scalar()
+        parts.append(F.when(std > 0, F.abs(F.col(c) - mean) / std).otherwise(F.lit(0.0)))
+    score = F.greatest(*parts)
+    return stats_df.select(by, score.alias("anomaly_score"), (score > z).alias("is_anomaly"))

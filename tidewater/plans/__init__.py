@@ -1,6 +1,6 @@
 """Named jobs (Spark) and their DuckDB oracles; importing this package registers all of them."""
 
-from tidewater.plans import core_plans, demand_plans, policy_plans, route_plans  # noqa: F401
+from tidewater.plans import core_plans, decision_plans, demand_plans, policy_plans, route_plans  # noqa: F401
 from tidewater.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

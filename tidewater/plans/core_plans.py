@@ -264,29 +264,21 @@ def supplier_stats_by_supplier(spark, sf_dir):
     return round_doubles(S.stats(_supplier_in(spark, sf_dir, "supplier"), "supplier"))
 
 
-def zscore_flags(stats_df, by: str, z: float = 2.0):
-    """Deterministic outlier rule: any statistic more than ``z`` population std from its mean."""
-    cond = F.lit(False)
-    for c in SUPPLIER_FEATURES:
-        mean = stats_df.agg(F.avg(c)).scalar()
-        std = stats_df.agg(F.stddev_pop(c)).scalar()
-        cond = cond | ((std > 0) & (F.abs(F.col(c) - mean) > F.lit(z) * std))
-    return stats_df.select(by, cond.alias("is_anomaly"))
-
-
 @query("anomaly_summary", with_order_lines(_STATS_SQL.format(by="supplier"), """
 zs AS (SELECT AVG(avg_delivery_time) m1, STDDEV_POP(avg_delivery_time) s1, AVG(price_deviation) m2,
   STDDEV_POP(price_deviation) s2, AVG(fulfillment_rate) m3, STDDEV_POP(fulfillment_rate) s3,
   AVG(complaint_freq) m4, STDDEV_POP(complaint_freq) s4 FROM stats_supplier),
-flags AS (SELECT supplier, (s1 > 0 AND ABS(avg_delivery_time - m1) > 2 * s1) OR (s2 > 0 AND ABS(price_deviation - m2) > 2 * s2)
-  OR (s3 > 0 AND ABS(fulfillment_rate - m3) > 2 * s3) OR (s4 > 0 AND ABS(complaint_freq - m4) > 2 * s4) AS is_anomaly
-  FROM stats_supplier, zs)""")
+flags AS (SELECT supplier, GREATEST(CASE WHEN s1 > 0 THEN ABS(avg_delivery_time - m1) / s1 ELSE 0.0 END,
+  CASE WHEN s2 > 0 THEN ABS(price_deviation - m2) / s2 ELSE 0.0 END,
+  CASE WHEN s3 > 0 THEN ABS(fulfillment_rate - m3) / s3 ELSE 0.0 END,
+  CASE WHEN s4 > 0 THEN ABS(complaint_freq - m4) / s4 ELSE 0.0 END) > 2 AS is_anomaly FROM stats_supplier, zs)""")
        + """SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE is_anomaly) AS anomaly_count,
   CASE WHEN COUNT(*) > 0 THEN ROUND(COUNT(*) FILTER (WHERE is_anomaly) * 100.0 / COUNT(*), 1) ELSE 0.0 END
   AS anomaly_rate FROM flags""")
 def anomaly_summary(spark, sf_dir):
+    """E3 over suppliers flagged by the z-score rule (the isolation forest has its own rows check)."""
     st = S.stats(_supplier_in(spark, sf_dir, "supplier"), "supplier")
-    return S.anomaly_summary(zscore_flags(st, "supplier"))
+    return S.anomaly_summary(S.zscore_outliers(st, "supplier"))
 
 
 @query("order_supplier_metrics", with_order_lines(_STATS_SQL.format(by="department"))

@@ -51,7 +51,7 @@ def sql_relaxation(rounds: int) -> str:
     SELECT start, node, cents, hops, path FROM b{k} UNION ALL
     SELECT b.start, a.dst, b.cents + a.w_cents, b.hops + 1, list_append(b.path, a.dst) FROM b{k} b
     JOIN radj a ON a.src = b.node WHERE NOT list_contains(b.path, a.dst)) GROUP BY start, node))""")
-    ctes.append(f"best AS (SELECT * FROM b{rounds})")
+    ctes.append(f"rbest AS (SELECT * FROM b{rounds})")
     return ",\n".join(ctes)
 
 
@@ -111,7 +111,7 @@ def adjacency(spark, sf_dir):
     return RT.adjacency(_weighted(spark, sf_dir))
 
 
-@query("route_costs", ROUTE_SQL + "SELECT start, node, cents / 100.0 AS cost, hops, path FROM best")
+@query("route_costs", ROUTE_SQL + "SELECT start, node, cents / 100.0 AS cost, hops, path FROM rbest")
 def route_costs(spark, sf_dir):
     """I4: least-cost paths from every requested start to every reachable node."""
     b = _best(spark, sf_dir)
@@ -119,7 +119,7 @@ def route_costs(spark, sf_dir):
 
 
 _ROUTES_OUT = ROUTE_SQL + """,
-r AS (SELECT q.start, q.goal, b.path, b.cents, b.hops FROM reqs q LEFT JOIN best b ON b.start = q.start AND b.node = q.goal),
+r AS (SELECT q.start, q.goal, b.path, b.cents, b.hops FROM reqs q LEFT JOIN rbest b ON b.start = q.start AND b.node = q.goal),
 pn AS (SELECT start, goal, list(name ORDER BY pos) AS path_names FROM (
   SELECT r.start, r.goal, u.pos, n.name FROM r, unnest(r.path) WITH ORDINALITY AS u(node_id, pos)
   JOIN nodes n ON n.node_id = u.node_id) GROUP BY 1, 2)
@@ -137,7 +137,7 @@ def routes(spark, sf_dir):
 
 
 @query("route_legs", ROUTE_SQL + """,
-r AS (SELECT q.start, q.goal, b.path FROM reqs q JOIN best b ON b.start = q.start AND b.node = q.goal),
+r AS (SELECT q.start, q.goal, b.path FROM reqs q JOIN rbest b ON b.start = q.start AND b.node = q.goal),
 e AS (SELECT r.start, r.goal, CAST(u.pos - 1 AS INTEGER) AS leg, u.a, r.path[u.pos + 1] AS b
       FROM r, unnest(r.path) WITH ORDINALITY AS u(a, pos))
 SELECT start, goal, leg, a, b, CAST(LEAST(a, b) AS VARCHAR) || '-' || CAST(GREATEST(a, b) AS VARCHAR) AS leg_key
