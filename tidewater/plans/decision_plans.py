@@ -257,7 +257,7 @@ def audit_brief(spark, sf_dir):
 
 @query("history_rows", DECISIONS_SQL + """,
 hrates AS (SELECT department, AVG(late_risk) AS r FROM order_lines GROUP BY department)
-SELECT order_id, line_no, city, department, ROUND(order_value, 2) AS value, risk_level AS risk,
+SELECT order_id, line_no, city, department, FLOOR(order_value * 100.0 + 0.5) / 100.0 AS value, risk_level AS risk,
   is_anomaly = 1 AS anomaly, action, route_type, array_to_string(path_names, ' -> ') AS path,
   ROUND(LEAST(GREATEST(hrates.r, 0.0), 1.0), 4) AS delay_rate
 FROM decf LEFT JOIN hrates USING (department)""")
@@ -267,7 +267,7 @@ def history_rows(spark, sf_dir):
     d = decisions(spark, sf_dir, x)
     rates = small_side(R.delay_rates(x["orders"]))
     d = d.join(rates, "department", "left")
-    return d.select("order_id", "line_no", "city", "department", F.round("order_value", 2).alias("value"),
+    return d.select("order_id", "line_no", "city", "department", round_half_up("order_value", 2).alias("value"),
                     F.col("risk_level").alias("risk"), (F.col("is_anomaly") == 1).alias("anomaly"), "action",
                     "route_type", F.concat_ws(" -> ", "path_names").alias("path"),
                     F.round(F.least(F.greatest("supplier_delay_rate", F.lit(0.0)), F.lit(1.0)), 4).alias("delay_rate"))
