@@ -38,8 +38,12 @@ DECISION_IN = ["order_id", "line_no", "order_date", "quantity", "order_value", "
 
 
 # ----------------------------------------------------------------- Spark side
-def decision_inputs(spark, sf_dir) -> dict:
-    """The look-up tables of the chain, each small and built once."""
+def decision_inputs(spark, sf_dir, literal_scalars: bool = False) -> dict:
+    """The look-up tables of the chain, each small and built once.
+
+    ``literal_scalars`` turns the two scalar inputs (unit value, 7-value base
+    forecast) into literals, for use inside a streaming query.
+    """
     ol = order_lines(spark, sf_dir, DECISION_IN)
     base = R.delay_columns(ol)
     split = R.stratified_split(base, ["order_id", "line_no"])
@@ -54,7 +58,14 @@ def decision_inputs(spark, sf_dir) -> dict:
     reqs = FX.route_requests(spark, sf_dir)
     best_paths = RT.shortest_paths(adj, reqs.select("start"))
     routed = RT.routes(reqs, best_paths, FX.net_nodes(spark, sf_dir))
-    return dict(orders=base, train=shares, flags=flags, forecast=fc, auv=auv, q=q, routes=routed, stats=stats)
+    base_fc = fc.agg(F.array_sort(F.collect_list(F.struct("step", "forecast")))).scalar()
+    if literal_scalars:
+        auv = F.lit(ol.agg(F.round(F.avg("order_value") / F.greatest(F.avg("quantity"), F.lit(1.0)), 6)).first()[0])
+        vals = [r["forecast"] for r in fc.orderBy("step").collect()]   # `horizon` values
+        base_fc = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(float(v)).alias("forecast"))
+                            for i, v in enumerate(vals)])
+    return dict(orders=base, train=shares, flags=flags, forecast=fc, base_fc=base_fc, auv=auv, q=q,
+                routes=routed, stats=stats)
 
 
 def decisions(spark, sf_dir, inputs: dict | None = None) -> DataFrame:
@@ -67,7 +78,7 @@ def decisions(spark, sf_dir, inputs: dict | None = None) -> DataFrame:
         "anomaly_score": F.round("anomaly_score", 4)})
     # scalar subqueries (the 7-value global forecast, the unit value) become plain columns
     # first: Spark does not evaluate subqueries inside higher-order functions
-    base = x["forecast"].agg(F.array_sort(F.collect_list(F.struct("step", "forecast")))).scalar()
+    base = x["base_fc"]
     mult = DC.order_multiplier(F.col("order_value"), x["auv"], F.col("days_to_delivery").cast("double"),
                                F.col("quantity"))
     o = o.withColumns({"_base": base, "_mult": mult})
@@ -76,7 +87,8 @@ def decisions(spark, sf_dir, inputs: dict | None = None) -> DataFrame:
         "demand_7d_avg_raw", F.aggregate("forecast_raw", F.lit(0.0), lambda acc, v: acc + v) / F.size("forecast_raw"))
     o = P.with_state(o, inv="inventory", demand="demand_7d_avg_raw", risk="risk_score", anomaly="is_anomaly",
                      days="days_to_delivery")
-    states = o.select("state").distinct()
+    # every possible state (the bins fix 1440): no distinct over the orders, and usable from a stream
+    states = spark.range(P.N_STATES).select(F.col("id").cast("int").alias("state"))
     best = P.best_action(P.q_full(x["q"], states))
     o = o.join(small_side(best), "state", "left")
     rt = x["routes"].select(F.col("start").alias("supplier_nation"), F.col("goal").alias("customer_nation"),
