@@ -37,12 +37,35 @@ def daily_demand(orders: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def spine(daily: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Every day from each series' first to last day; missing days get demand 0."""
+    """Every day from each series' first to last day; missing days get demand 0.
+
+    The sparse daily rows of a series (at most one per calendar day, so
+    bounded by the calendar, not by order volume) are gathered per key, laid
+    out densely in one ``aggregate`` pass that pads each gap with zeros, and
+    exploded with positions.  No join is needed, and the dense rows come out
+    hash-partitioned by the series key — the partitioning the feature
+    windows need — so they are never shuffled.
+    """
     keys = _keys(by)
-    bounds = daily.groupBy(*keys).agg(F.min("order_date").alias("_lo"), F.max("order_date").alias("_hi"))
-    days = bounds.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("order_date"))
-    return (days.join(daily, on=keys + ["order_date"], how="left")
-            .select(*keys, "order_date", F.coalesce(F.col("demand"), F.lit(0.0)).alias("demand")))
+    if keys:
+        # the gathered series explode ~(days / active days)-fold: lay them over the session's
+        # shuffle partitions with an explicit count (AQE keeps it; it would otherwise coalesce
+        # this small input into one task) — the gather and the windows reuse this partitioning
+        n = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        daily = daily.repartition(n, *keys)
+    grp = daily.groupBy(*keys) if keys else daily.groupBy()
+    g = grp.agg(F.array_sort(F.collect_list(F.struct("order_date", F.col("demand").cast("double").alias("demand"))))
+                .alias("_d"))
+    first = F.col("_d")[0]["order_date"]
+    d = F.col("_d")
+    # each active day becomes [zeros for the gap since the previous active day, its demand];
+    # one flatten lays the series out densely in time linear in its length
+    pieces = F.transform(d, lambda x, i: F.concat(
+        F.array_repeat(F.lit(0.0), F.when(i == 0, F.lit(0)).otherwise(
+            F.datediff(x["order_date"], d[i - 1]["order_date"]) - 1)),
+        F.array(x["demand"])))
+    out = g.select(*keys, first.alias("_lo"), F.posexplode(F.flatten(pieces)).alias("_i", "demand"))
+    return out.select(*keys, F.date_add("_lo", F.col("_i")).alias("order_date"), "demand")
 
 
 def calendar(df: DataFrame) -> DataFrame:
@@ -57,20 +80,37 @@ def calendar(df: DataFrame) -> DataFrame:
     })
 
 
-def _guarded(agg: Column, w, n: int) -> Column:
-    # pandas rolling(n) on a shifted series: null until n previous values exist
-    return F.when(F.count("demand").over(w) == n, agg.over(w))
-
-
 def rolling(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Means of the previous 7 and 30 days and the sample std of the previous 7."""
+    """Means of the previous 7 and 30 days and the sample std of the previous 7.
+
+    As pandas ``rolling(n)`` on the shifted series, a value exists only once n
+    previous days exist (the spine has no null demand, so that is the row
+    number).  Frame sums are differences of running sums — O(1) per row,
+    where a sliding frame costs O(frame) per row.  Values are first centred
+    on the series' rounded mean (variance is shift-invariant; integer data
+    stays integer, so its sums stay exact), which keeps the sum-of-squares
+    variance accurate on long series.
+    """
+    keys = _keys(by)
     w = _window(by)
-    w7, w30 = w.rowsBetween(-7, -1), w.rowsBetween(-30, -1)
+    wall = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(SERIES_ALL))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    c = F.round(F.avg("demand").over(wall))
+    x = F.col("demand") - F.col("_c")
+    df = df.withColumn("_c", c).withColumns({
+        "_cs": F.sum(x).over(run), "_css": F.sum(x * x).over(run), "_rn": F.row_number().over(w)})
+
+    def prev(col: str, n: int) -> Column:      # sum over the n rows before this one
+        return F.lag(col, 1).over(w) - F.coalesce(F.lag(col, n + 1).over(w), F.lit(0.0))
+
+    s7, ss7, s30 = prev("_cs", 7), prev("_css", 7), prev("_cs", 30)
+    rn, cc = F.col("_rn"), F.col("_c")
+    var7 = F.greatest((ss7 - s7 * s7 / 7) / 6, F.lit(0.0))
     return df.withColumns({
-        "rolling_7d_mean": _guarded(F.avg("demand"), w7, 7),
-        "rolling_30d_mean": _guarded(F.avg("demand"), w30, 30),
-        "rolling_7d_std": _guarded(F.stddev_samp("demand"), w7, 7),
-    })
+        "rolling_7d_mean": F.when(rn > 7, (s7 + 7 * cc) / 7),
+        "rolling_30d_mean": F.when(rn > 30, (s30 + 30 * cc) / 30),
+        "rolling_7d_std": F.when(rn > 7, F.sqrt(var7)),
+    }).drop("_c", "_cs", "_css", "_rn")
 
 
 def lags(df: DataFrame, by: list[str] | None = None, lag_days=DEMAND_LAGS) -> DataFrame:
