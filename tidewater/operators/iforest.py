@@ -2,12 +2,10 @@
 
 MLlib has no isolation forest.  Following Liu, Ting and Zhou (2008):
 
-* **Sampling.**  Each of T trees sees at most psi rows.  With N <= psi every
-  tree uses all rows (T x N <= T x psi rows).  Otherwise about 1.3 psi T rows
-  are drawn with ``sample``, spread over trees by a hash, and each tree keeps
-  its psi rows with the smallest draw (a per-tree top-psi, planned as a
-  partial group limit before the shuffle).  No tree ever sees more than psi
-  rows, whatever N is.
+* **Sampling.**  Each of T trees sees at most psi rows drawn without
+  replacement (see ``sample_for_trees``); no tree ever sees more than psi
+  rows, whatever N is, and no step handles more than ~1.3 psi T^2 candidate
+  pairs.
 * **Building.**  ``groupBy('tree').applyInPandas`` grows each tree to height
   ceil(log2 psi) from its psi rows: random feature, random split between the
   feature's min and max.  The node table has at most T x (2 psi - 1) rows —
@@ -74,16 +72,30 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
 
 
 def sample_for_trees(df: DataFrame, n_trees: int, psi: int, seed: int) -> tuple[DataFrame, int, int]:
-    """(tree, row) pairs with at most ``psi`` rows per tree; returns the pairs, N and the used psi."""
+    """(tree, row) pairs with at most ``psi`` rows per tree; returns the pairs, N and the used psi.
+
+    * N <= psi: every tree takes every row (T x N pairs).
+    * N < 1.3 psi T: each (row, tree) pair is kept with probability 1.3 psi / N; the
+      T x N candidates (fewer than 1.3 psi T^2, a bound set by the parameters) are
+      generated and filtered in the same map step.
+    * otherwise: ``sample`` keeps ~1.3 psi T rows and each goes to one random tree.
+    In the last two cases every tree then keeps its ``psi`` rows with the smallest
+    random key (a per-tree top-psi with a partial limit before the shuffle).
+    """
     n = df.count()
     psi_used = min(psi, n)
     if n <= psi:
         pairs = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
         return pairs, n, psi_used
-    frac = min(1.0, 1.3 * psi * n_trees / n)
-    s = df.sample(withReplacement=False, fraction=frac, seed=seed)
-    s = s.withColumn("_u", F.rand(seed + 1)).withColumn("tree", F.pmod(F.floor(F.rand(seed + 2) * n_trees),
-                                                                       F.lit(n_trees)).cast("int"))
+    want = 1.3 * psi * n_trees
+    if n < want:
+        p = 1.3 * psi / n
+        s = (df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+             .where(F.rand(seed) < p))
+    else:
+        s = df.sample(withReplacement=False, fraction=want / n, seed=seed)
+        s = s.withColumn("tree", F.least(F.floor(F.rand(seed + 2) * n_trees), F.lit(n_trees - 1)).cast("int"))
+    s = s.withColumn("_u", F.rand(seed + 1))
     w = Window.partitionBy("tree").orderBy("_u")
     pairs = s.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi).drop("_rk", "_u")
     return pairs, n, psi_used
