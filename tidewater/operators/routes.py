@@ -64,6 +64,9 @@ def shortest_paths(adj: DataFrame, starts: DataFrame, max_rounds: int | None = N
     """I4: least-cost path from every start to every reachable node.
 
     ``starts``: one column ``start``.  Returns start, node, cents, hops, path.
+    The improvements and the state are written with a reliable checkpoint
+    every round (deferring it lets the plan of the state grow with the
+    rounds, which costs more than the write).
     """
     a = routing_adjacency(adj).cache()
     best = starts.select("start").distinct().select(
@@ -80,10 +83,9 @@ def shortest_paths(adj: DataFrame, starts: DataFrame, max_rounds: int | None = N
                         (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst")).alias("path")))
         cand = cand.groupBy("start", "node").agg(F.min(_best_key()).alias("k")).select("start", "node", "k.*")
         old = best.select("start", "node", _best_key().alias("old"))
-        improved = (cand.join(old, ["start", "node"], "left")
-                    .where(F.col("old").isNull() | (_best_key() < F.col("old")))
-                    .drop("old"))
-        improved = cut_lineage(improved)
+        improved = cut_lineage(cand.join(old, ["start", "node"], "left")
+                               .where(F.col("old").isNull() | (_best_key() < F.col("old")))
+                               .drop("old"))
         n = improved.count()
         log.info("route relaxation round %d: %d improved", rounds, n)
         if n == 0:
@@ -112,6 +114,18 @@ def routes(requests: DataFrame, best: DataFrame, nodes: DataFrame) -> DataFrame:
         F.when(~found, F.lit(NO_PATH_ERROR)).alias("error"))
 
 
+def route_table(best: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every reachable (start, goal) with its node list, names and cost — the look-up for orders.
+
+    Built from the relaxation result alone (|starts| x |reachable nodes| rows);
+    pairs that are absent are unreachable.
+    """
+    b = best.withColumnRenamed("node", "goal")
+    named = path_names(b.select("start", "goal", "path"), nodes)
+    return b.join(named, ["start", "goal"], "left").select(
+        "start", "goal", "path", "path_names", (F.col("cents") / 100.0).alias("total_cost"), "hops")
+
+
 def path_names(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names along each path: explode with positions, look the names up, reassemble in order."""
     ex = paths.select("start", "goal", F.posexplode("path").alias("pos", "node_id"))

@@ -28,6 +28,7 @@ from tidewater.plans.demand_plans import sql_naive, sql_spine
 from tidewater.plans.oracle_base import with_order_lines
 from tidewater.plans.policy_plans import SERIES_STATES_CTES, TRANSITIONS_CTES, _q, sql_state
 from tidewater.plans.registry import query, round_doubles
+from tidewater.session import cut_lineage
 from tidewater.plans.route_plans import EDGES_SQL, LANES_SQL, NODES_SQL, ROUNDS, sql_relaxation
 from tidewater.sources import fixtures as FX
 from tidewater.sources.tables import order_lines, read_table
@@ -55,9 +56,9 @@ def decision_inputs(spark, sf_dir, literal_scalars: bool = False) -> dict:
     auv = F.round(ol.agg(F.avg("order_value") / F.greatest(F.avg("quantity"), F.lit(1.0))).scalar(), 6)
     q = _q(spark, sf_dir, 2)
     adj = RT.adjacency(RT.edge_weights(FX.net_edges(spark, sf_dir)))
-    reqs = FX.route_requests(spark, sf_dir)
-    best_paths = RT.shortest_paths(adj, reqs.select("start"))
-    routed = RT.routes(reqs, best_paths, FX.net_nodes(spark, sf_dir))
+    starts = FX.route_requests(spark, sf_dir).select("start")
+    best_paths = RT.shortest_paths(adj, starts)
+    routed = cut_lineage(RT.route_table(best_paths, FX.net_nodes(spark, sf_dir)))
     base_fc = fc.agg(F.array_sort(F.collect_list(F.struct("step", "forecast")))).scalar()
     if literal_scalars:
         auv = F.lit(ol.agg(F.round(F.avg("order_value") / F.greatest(F.avg("quantity"), F.lit(1.0)), 6)).first()[0])
@@ -93,7 +94,8 @@ def decisions(spark, sf_dir, inputs: dict | None = None) -> DataFrame:
     o = o.join(small_side(best), "state", "left")
     rt = x["routes"].select(F.col("start").alias("supplier_nation"), F.col("goal").alias("customer_nation"),
                             F.col("total_cost").alias("route_cost"), "path_names")
-    o = o.join(small_side(rt), ["supplier_nation", "customer_nation"], "left")
+    o = o.join(small_side(rt), ["supplier_nation", "customer_nation"], "left").withColumn(
+        "path_names", F.coalesce("path_names", F.array().cast("array<string>")))
     o = o.withColumn("action", DC.action_name(F.col("action_id")))
     emergency = DC.is_emergency(F.col("action"), F.col("risk_score"), F.col("is_anomaly"))
     o = o.withColumns({
