@@ -430,3 +430,65 @@ def dept_series_or_global(spark, sf_dir):
     dl = D.last_days(D.spine(D.daily_demand(ol, ["department"]), ["department"]), ["department"], 30)
     gl = D.last_days(D.spine(D.daily_demand(ol.select("order_date", "quantity"))), None, 30)
     return DC.dept_series_or_global(requested, dl, gl)
+
+
+# ------------------------------------------------------------ H12 allocation
+def warehouse_offers(spark, sf_dir) -> DataFrame:
+    """Warehouses (nodes of type warehouse) with capacity, unit cost and shipping cost to each reachable goal.
+
+    capacity = floor(total lane capacity at the node / 100); cost_per_unit = mean order value per unit of
+    lines supplied from the node's nation / 100 (2 decimals); shipping_cost = least-cost route time from
+    the warehouse to the goal x 0.01 (2 decimals).
+    """
+    nodes = FX.net_nodes(spark, sf_dir)
+    wh = nodes.where(F.col("type") == "warehouse").select(F.col("node_id").alias("warehouse"))
+    e = FX.net_edges(spark, sf_dir)
+    cap = (e.select(F.col("source").alias("warehouse"), "capacity")
+           .unionByName(e.select(F.col("target").alias("warehouse"), "capacity"))
+           .groupBy("warehouse").agg(F.floor(F.sum("capacity") / 100).cast("double").alias("capacity")))
+    ol = order_lines(spark, sf_dir, ["supplier_nation", "order_value", "quantity"])
+    unit = ol.groupBy(F.col("supplier_nation").cast("int").alias("warehouse")).agg(
+        F.round(F.avg(F.col("order_value") / F.col("quantity")) / 100, 2).alias("cost_per_unit"))
+    adj = RT.adjacency(RT.edge_weights(e))
+    best = RT.shortest_paths(adj, wh.select(F.col("warehouse").alias("start")))
+    ship = best.select(F.col("start").alias("warehouse"), F.col("node").alias("goal"),
+                       F.round(F.col("cents") / 100.0 * 0.01, 2).alias("shipping_cost"))
+    return (ship.join(F.broadcast(wh), "warehouse").join(cap, "warehouse")
+            .join(unit, "warehouse", "left").fillna(0.0, subset=["cost_per_unit"]))
+
+
+@query("least_cost_allocation", DECISIONS_SQL + """,
+probs AS (SELECT DISTINCT CAST(CASE action_id WHEN 1 THEN 150.0 WHEN 2 THEN 400.0 WHEN 3 THEN 800.0 WHEN 4 THEN 600.0
+  ELSE 0.0 END AS DOUBLE) AS target, risk_level = 'HIGH' AS is_high_risk, CAST(customer_nation AS INTEGER) AS goal
+  FROM decf),
+probs2 AS (SELECT *, CAST(target AS VARCHAR) || ':' || CAST(is_high_risk AS VARCHAR) || ':' || CAST(goal AS VARCHAR)
+  AS problem_id FROM probs WHERE target > 0),
+wh AS (SELECT node_id AS warehouse FROM nodes WHERE type = 'warehouse'),
+cap AS (SELECT warehouse, CAST(FLOOR(SUM(capacity) / 100) AS DOUBLE) AS capacity FROM (
+  SELECT source AS warehouse, capacity FROM edges UNION ALL SELECT target, capacity FROM edges) GROUP BY 1),
+unitc AS (SELECT CAST(supplier_nation AS INTEGER) AS warehouse, ROUND(AVG(order_value / quantity) / 100, 2) AS cost_per_unit
+  FROM order_lines GROUP BY 1),
+""" + sql_relaxation(ROUNDS, "SELECT warehouse AS start FROM wh", "wb", "wbest") + """,
+offers AS (SELECT b.start AS warehouse, b.node AS goal, ROUND(b.cents / 100.0 * 0.01, 2) AS shipping_cost, c.capacity,
+  COALESCE(u.cost_per_unit, 0.0) AS cost_per_unit FROM wbest b JOIN cap c ON c.warehouse = b.start
+  LEFT JOIN unitc u ON u.warehouse = b.start),
+al AS (SELECT p.problem_id, p.target, o.warehouse, o.capacity,
+  o.cost_per_unit + o.shipping_cost * CASE WHEN p.is_high_risk THEN 1.5 ELSE 1.0 END AS unit_cost
+  FROM probs2 p JOIN offers o USING (goal)),
+al2 AS (SELECT *, LEAST(capacity, GREATEST(0.0, target - COALESCE(SUM(capacity) OVER (PARTITION BY problem_id
+  ORDER BY unit_cost, warehouse ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))) AS qty FROM al)
+SELECT problem_id, target, list(warehouse ORDER BY warehouse) FILTER (WHERE qty > 0) AS warehouses,
+  list(qty ORDER BY warehouse) FILTER (WHERE qty > 0) AS quantities,
+  CASE WHEN SUM(capacity) >= target THEN 'OPTIMAL' ELSE 'INFEASIBLE' END AS status,
+  ROUND(SUM(qty * unit_cost), 4) AS total_cost FROM al2 GROUP BY problem_id, target""")
+def least_cost_allocation(spark, sf_dir):
+    """Where to buy each order's reorder quantity: warehouses filled in unit-cost order under capacity."""
+    d = decisions(spark, sf_dir)
+    target = DC.action_qty(F.col("action_id"))
+    probs = d.select(target.alias("target"), (F.col("risk_level") == "HIGH").alias("is_high_risk"),
+                     F.col("customer_nation").cast("int").alias("goal")).distinct().where(F.col("target") > 0)
+    probs = probs.withColumn("problem_id", F.concat_ws(":", F.col("target").cast("string"),
+                                                        F.col("is_high_risk").cast("string"),
+                                                        F.col("goal").cast("string")))
+    out = DC.least_cost_allocation(probs, warehouse_offers(spark, sf_dir))
+    return out.withColumn("total_cost", F.round("total_cost", 4))

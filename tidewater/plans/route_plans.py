@@ -42,16 +42,17 @@ reqs AS (SELECT DISTINCT CAST(supplier_nation AS INTEGER) AS start, CAST(custome
   FROM order_lines)"""
 
 
-def sql_relaxation(rounds: int) -> str:
-    ctes = ["b0 AS MATERIALIZED (SELECT DISTINCT start, start AS node, CAST(0 AS BIGINT) AS cents, 0 AS hops, "
-            "[start] AS path FROM reqs)"]
+def sql_relaxation(rounds: int, starts_sql: str = "SELECT DISTINCT start FROM reqs", prefix: str = "b",
+                   out: str = "rbest") -> str:
+    ctes = [f"{prefix}0 AS MATERIALIZED (SELECT DISTINCT start, start AS node, CAST(0 AS BIGINT) AS cents, 0 AS hops, "
+            f"[start] AS path FROM ({starts_sql}))"]
     for k in range(rounds):
-        ctes.append(f"""b{k + 1} AS MATERIALIZED (SELECT start, node, m['cents'] AS cents, m['hops'] AS hops,
+        ctes.append(f"""{prefix}{k + 1} AS MATERIALIZED (SELECT start, node, m['cents'] AS cents, m['hops'] AS hops,
   m['path'] AS path FROM (SELECT start, node, MIN({{'cents': cents, 'hops': hops, 'path': path}}) AS m FROM (
-    SELECT start, node, cents, hops, path FROM b{k} UNION ALL
-    SELECT b.start, a.dst, b.cents + a.w_cents, b.hops + 1, list_append(b.path, a.dst) FROM b{k} b
+    SELECT start, node, cents, hops, path FROM {prefix}{k} UNION ALL
+    SELECT b.start, a.dst, b.cents + a.w_cents, b.hops + 1, list_append(b.path, a.dst) FROM {prefix}{k} b
     JOIN radj a ON a.src = b.node WHERE NOT list_contains(b.path, a.dst)) GROUP BY start, node))""")
-    ctes.append(f"rbest AS (SELECT * FROM b{rounds})")
+    ctes.append(f"{out} AS (SELECT * FROM {prefix}{rounds})")
     return ",\n".join(ctes)
 
 
