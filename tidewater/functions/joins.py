@@ -6,22 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rows above which a look-up side is joined by shuffle instead of broadcast.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Return ``df`` hinted for broadcast when it has at most ``max_rows`` rows.
 
     Used for look-up tables derived from the data (distinct category values,
-    per-group statistics) whose size is bounded in practice but not by the
-    schema.  The side is cached so the count and the join share one
-    computation; a lost cache block is recomputed from lineage.  Above the
-    bound the hint is dropped and Spark plans a shuffle join (AQE may still
-    pick a broadcast from runtime statistics).
+    per-group statistics, class shares, routes per node pair) whose size is
+    bounded in practice but not by the schema.  The side is written once with
+    a reliable checkpoint to the shared folder — it survives executor loss,
+    holds no executor memory, and the count and the join read the same files.
+    Above the bound the hint is dropped and Spark plans a shuffle join (AQE
+    may still pick a broadcast from runtime statistics).
     """
-    cached = df.cache()
-    n = cached.count()
-    return F.broadcast(cached) if n <= max_rows else cached
+    from tidewater.session import cut_lineage
+    side = cut_lineage(df)
+    n = side.count()
+    return F.broadcast(side) if n <= max_rows else side
 
 
 def fixed_side(df: DataFrame) -> DataFrame:

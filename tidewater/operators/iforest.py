@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewater.functions.constants import IFOREST_CONTAMINATION, IFOREST_MAX_SAMPLES, IFOREST_TREES
+from tidewater.session import cut_lineage
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left_child int, right_child int, "
                "size long, depth int")
@@ -103,7 +104,7 @@ def sample_for_trees(df: DataFrame, n_trees: int, psi: int, seed: int) -> tuple[
 
 def fit(df: DataFrame, features: list[str], n_trees: int = IFOREST_TREES, psi: int = IFOREST_MAX_SAMPLES,
         seed: int = 42) -> tuple[DataFrame, int]:
-    """grow ``n_trees`` trees; returns the node table (cached) and the sample size used."""
+    """grow ``n_trees`` trees; returns the node table (checkpointed) and the sample size used."""
     pairs, _, psi_used = sample_for_trees(df.select(*features), n_trees, psi, seed)
     max_depth = int(math.ceil(math.log2(max(psi_used, 2))))
 
@@ -118,7 +119,7 @@ def fit(df: DataFrame, features: list[str], n_trees: int = IFOREST_TREES, psi: i
         return out
 
     nodes = pairs.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
-    return nodes.cache(), psi_used
+    return cut_lineage(nodes), psi_used
 
 
 def _tables(nodes_pdf: pd.DataFrame, n_trees: int):

@@ -35,6 +35,9 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     for k, v in _DEFAULT_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # local runs share one JVM for driver and executors; a cluster session sets its own sizes
+        builder = builder.config("spark.driver.memory", os.environ.get("TIDEWATER_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     checkpoint_dir(spark)
     return spark
