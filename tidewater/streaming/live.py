@@ -37,15 +37,31 @@ def _run_to_end(stream_df: DataFrame, sink: str, checkpoint: str, mode: str = "a
 
 
 # ------------------------------------------------------------------- K2
+def event_time(events: DataFrame, col: str = "ts") -> F.Column:
+    """The event time as an instant, whatever the session time zone.
+
+    Watermarks need a TIMESTAMP; a TIMESTAMP_NTZ wall clock is read as UTC
+    (a plain cast would read it in the session's zone and shift days).
+    """
+    if events.schema[col].dataType.typeName() == "timestamp_ntz":
+        return F.concat(F.col(col).cast("string"), F.lit("Z")).cast("timestamp")
+    return F.col(col)
+
+
+def utc_day(instant: F.Column) -> F.Column:
+    """Calendar day (UTC) of an instant, independent of the session time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
+
+
 def purchases(events: DataFrame) -> DataFrame:
     return (events.where(F.col("event_type") == "purchase")
-            .select(F.col("ts").cast("timestamp").alias("ts"), "value", "event_id"))
+            .select(event_time(events).alias("ts"), "value", "event_id"))
 
 
 def daily_demand_batch(events: DataFrame) -> DataFrame:
-    """Batch twin of the stream: purchase value per calendar day."""
+    """Batch twin of the stream: purchase value per (UTC) calendar day."""
     p = purchases(events)
-    return p.groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("demand"))
+    return p.groupBy(utc_day(F.col("ts")).alias("day")).agg(F.sum("value").alias("demand"))
 
 
 def daily_demand_stream(spark: SparkSession, source: str, schema, watermark: str = "2 days",
@@ -65,8 +81,9 @@ def daily_demand_stream(spark: SparkSession, source: str, schema, watermark: str
            .agg(F.sum("value").alias("demand")))
     _run_to_end(agg, sink, ck, mode="update")
     out = spark.read.parquet(sink)
+    # windows are aligned to the epoch, i.e. to UTC days
     return (out.groupBy("window").agg(F.max_by("demand", "batch_id").alias("demand"))
-            .select(F.to_date(F.col("window.start")).alias("day"), "demand"))
+            .select(utc_day(F.col("window.start")).alias("day"), "demand"))
 
 
 # ------------------------------------------------------------------- K4
@@ -75,9 +92,9 @@ def dedup_stream(spark: SparkSession, source: str, schema, key: str = "event_id"
     """K4: redelivered rows (same key within the watermark) are dropped, as B3 drops copies in batch."""
     sink = sink or scratch_path(spark, "stream-dedup")
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
-    s = s.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    s = s.withColumn("_et", event_time(s)).withWatermark("_et", watermark)
     _run_to_end(s.dropDuplicatesWithinWatermark([key]), sink, sink + "-checkpoint")
-    return spark.read.parquet(sink).drop("batch_id")
+    return spark.read.parquet(sink).drop("batch_id", "_et")
 
 
 # ------------------------------------------------------------------- K1, K3
