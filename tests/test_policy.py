@@ -1,6 +1,5 @@
 """Reorder policy: bins, reward parts, fitted Q and the read-outs."""
 
-from pyspark.sql import functions as F
 
 from tidewater.functions.constants import INV_BINS
 from tidewater.functions.exprs import bin_index

@@ -1,6 +1,5 @@
 """Routes: a toy network with a known answer, and properties on the fixture network."""
 
-from pyspark.sql import functions as F
 
 from tidewater.operators import routes as RT
 from tidewater.sources import fixtures as FX

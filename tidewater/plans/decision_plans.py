@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.constants import ACTIONS, RISK_LABELS
 from tidewater.functions.exprs import round_half_up
 from tidewater.functions.joins import small_side
 from tidewater.operators import decide as DC
