@@ -19,6 +19,7 @@ MLlib has no isolation forest.  Following Liu, Ting and Zhou (2008):
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tidewater.functions.constants import IFOREST_CONTAMINATION, IFOREST_MAX_SAMPLES, IFOREST_TREES
 from tidewater.session import cut_lineage
 
+# The tree builder and the scorer run in Python workers; ship this module's code with them
+# (by value) so that workers need numpy and pandas but not this package on their path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):       # older cloudpickle: ship the package instead
+    pass
+
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left_child int, right_child int, "
                "size long, depth int")
 EULER = 0.5772156649015329

@@ -6,7 +6,8 @@ best reorder action for its state, and the least-cost route between its
 supplier's and customer's nations.  The model stages use deterministic
 predictors here (seasonal-naive forecast, class shares per shipping mode,
 z-score outlier rule, fitted Q with two sweeps), so the whole chain has an
-exact SQL twin; ``model_plans`` runs the same chain with learned models.
+exact SQL twin; ``order_decisions_learned`` (in ``model_plans``) runs the same chain with the
+learned models.
 """
 
 from __future__ import annotations
@@ -69,8 +70,12 @@ def decision_inputs(spark, sf_dir, literal_scalars: bool = False) -> dict:
 
 
 def decisions(spark, sf_dir, inputs: dict | None = None) -> DataFrame:
+    """The chain over ``inputs['orders']`` (batch or stream).  ``inputs['risk_scorer']``, when
+    given, maps the orders to orders with an integer ``prediction`` column (a learned model);
+    otherwise the class shares per shipping mode decide."""
     x = inputs or decision_inputs(spark, sf_dir)
-    o = R.prior_classifier(x["train"], x["orders"])
+    scorer = x.get("risk_scorer")
+    o = scorer(x["orders"]) if scorer else R.prior_classifier(x["train"], x["orders"])
     o = o.withColumns({"risk_level": DC.risk_label(F.col("prediction"))})
     o = o.withColumn("risk_score", DC.risk_score(F.col("risk_level")))
     o = o.join(small_side(x["flags"]), "department", "left").withColumns({
