@@ -26,8 +26,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUALITY_RULES_SQL = r"""
 WITH d AS (SELECT doc_id, source, COALESCE(text, '') AS t FROM documents),
-w AS (SELECT doc_id, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT doc_id, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT *, row_number() OVER () AS rid FROM w),
 win AS (SELECT rid, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM g)),
 rep AS (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, a, b, c) AS k FROM win),
