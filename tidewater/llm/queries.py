@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import html_text, pii, quality_rules, token_counts
+from tidewater.llm import html_text, pii, quality_rules, simhash, syncmers, token_counts
 from tidewater.llm.common import read
 from tidewater.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["QUERIES", "ORACLES", "tokenizer_path"]
 
 TOKEN_LIMIT = 4096
+SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +25,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), SIMHASH_WORDS, SIMHASH_BITS)
+
+
 QUALITY_RULES_SQL = r"""
 WITH d AS (SELECT doc_id, source, COALESCE(text, '') AS t FROM documents),
 w AS (SELECT doc_id, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -55,6 +61,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
+@query("op5_syncmers")
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edit_fingerprints(read(spark, sf_dir, "documents"))
+
+
 @query("op6_pii")
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(read(spark, sf_dir, "documents"))
