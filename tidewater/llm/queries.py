@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import html_text, pii, quality_rules, simhash, syncmers, token_counts
+from tidewater.llm import html_text, packing, pii, quality_model, quality_rules, simhash, syncmers, token_counts
 from tidewater.llm.common import read
 from tidewater.llm.registry import ORACLES, QUERIES, query
 
@@ -12,6 +12,7 @@ __all__ = ["QUERIES", "ORACLES", "tokenizer_path"]
 
 TOKEN_LIMIT = 4096
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
+SEQUENCE_TOKENS, END_ID = 4096, 2
 
 
 def tokenizer_path(name: str) -> str:
@@ -61,6 +62,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), SEQUENCE_TOKENS, END_ID)
+
+
 @query("op5_syncmers")
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_fingerprints(read(spark, sf_dir, "documents"))
@@ -74,3 +80,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_text")
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
+@query("op9_quality_model")
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_model.quality_scores(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
