@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import html_text, packing, pii, quality_model, quality_rules, simhash, syncmers, token_counts
+from tidewater.llm import (html_text, packing, pii, piece_viterbi, quality_model, quality_rules, sharding, simhash,
+                           syncmers, token_counts)
 from tidewater.llm.common import read
 from tidewater.llm.registry import ORACLES, QUERIES, query
 
@@ -13,6 +14,7 @@ __all__ = ["QUERIES", "ORACLES", "tokenizer_path"]
 TOKEN_LIMIT = 4096
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 SEQUENCE_TOKENS, END_ID = 4096, 2
+SHARDS = 40
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,6 +79,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(read(spark, sf_dir, "documents"))
 
 
+@query("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(read(spark, sf_dir, "documents"), SHARDS)
+
+
 @query("op8_html_text")
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read(spark, sf_dir, "pages"))
@@ -86,3 +93,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_model.quality_scores(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_viterbi.piece_digest(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
