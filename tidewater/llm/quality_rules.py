@@ -124,6 +124,9 @@ def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
                        F.col(text_col).alias("text"), F.col(host_col).alias("host"))
     verdicts = small_side(host_verdicts(rule_figures(work.select("text", "host")).drop("text"), "host", max_rate)
                           .select("host", "host_ok"))
-    kept = (rule_figures(work).where(~base_failed()).join(verdicts, "host", "left")
+    # the row number, used in the filter, keeps it above the figures: pushed below, it would inline
+    # them and evaluate whole arrays again for every element
+    figures = rule_figures(work).withColumn("_barrier", F.monotonically_increasing_id())
+    kept = (figures.where(~base_failed() & (F.col("_barrier") >= 0)).join(verdicts, "host", "left")
             .where(F.coalesce("host_ok", F.lit(True))))
     return kept.select(*[F.col("_row")[c].alias(c) for c in cols])
