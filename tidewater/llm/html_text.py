@@ -4,8 +4,8 @@ A page is cut into tags and words in one pass.  A token's weight is the log rati
 of its kind's frequency inside and outside the content of labelled pages; pages
 that mark their content themselves (one article or main element) are the labels,
 and the marking tag is itself no feature.  Words inside content score positive,
-tags of menus, adverts and footers negative, and words in such containers follow
-their container.  A linear scan keeps the contiguous run with the greatest sum;
+tags of menus, adverts and footers negative, and words in such containers a little
+negative.  A linear scan keeps the contiguous run with the greatest sum;
 the text is what lies in that run outside boilerplate containers.
 
 Kinds are tag names of HTML and container groups, so the weight table has a fixed
@@ -74,7 +74,9 @@ SPLIT = re.compile(r"[^A-Za-z0-9-]+|(?<=[a-z])(?=[A-Z])")
 WORD, CONTENT = "word", ("article", "main")
 PRIOR_WORD, PRIOR_TAG, SMOOTH = 1.0, -0.5, 0.5
 MAX_WEIGHT = 12.0
-BOILER_WORD = -2.0
+# A word in a boilerplate container counts against a run, but only this share of a content word: a
+# run may pass an advert inside an article, whose words are left out of the text anyway.
+BOILER_SHARE = 0.1
 
 
 def container_group(tag: str, attrs: str, in_content: bool) -> str | None:
@@ -149,7 +151,8 @@ def label_counts(page: str) -> Counter | None:
     for kind, k, _, _, group, inside in tokens(page):
         if kind in ("tag:article", "tag:main") or not k:
             continue
-        n[(f"word:{group}" if kind == WORD and group else kind, inside)] += k
+        if kind != WORD or not group:
+            n[(kind, inside)] += k
     return n
 
 
@@ -175,9 +178,8 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
 
 def _weight(weights: dict[str, float], kind: str, group: str | None) -> float:
     if kind == WORD:
-        if group:
-            return min(BOILER_WORD, weights.get(f"word:{group}", BOILER_WORD))
-        return max(0.1, weights.get(WORD, PRIOR_WORD))
+        word = max(0.1, weights.get(WORD, PRIOR_WORD))
+        return -BOILER_SHARE * word if group else word
     if kind.startswith("group:"):
         return min(PRIOR_TAG, weights.get(kind, PRIOR_TAG * 8))
     # a tag that content also uses costs little; it never pays
@@ -195,7 +197,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     for i, (kind, k, _, _, group, inside) in enumerate(toks):
         w = _weight(weights, kind, group)
         if kind == WORD and marked and not inside:
-            w = min(w, BOILER_WORD)  # the page itself marks its content, and this is not in it
+            w = -BOILER_SHARE * abs(w)  # the page itself marks its content, and this is not in it
         if total <= 0:
             total, start = 0.0, i
         total += w * k
