@@ -5,10 +5,11 @@ as one integer ``state`` in [0, 1440).  The action-value table therefore has
 at most 1440 x 6 = 8640 rows, a bound fixed by the bins, and is broadcast.
 
 Fitted Q iteration (H5) replaces the reference's random-episode simulator:
-transitions are built once from observed series (each state row x each of
-the six actions, by ``explode`` of a literal array, no join), persisted, and
-every sweep is one scan of them with a broadcast look-up of
-V_k(s') = max_a Q_k(s', a) and a partial aggregate.
+transitions come from observed rows (each state row x each of the six actions,
+by ``explode`` of a literal array, no join) and are reduced map-side to counts
+and reward sums per (state, action, next state), a table bounded by the bins.
+Every sweep reads only that table.  Rewards are whole thousandths and values
+whole millionths, so sums are exact and no result depends on their order.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from tidewater.functions.constants import (ACTIONS, ANOMALY_MITIGATION, DAY_BINS
                                            OVERCAPACITY_PENALTY, REORDER_QTY, RISK_BINS,
                                            STANDARD_ACTION_COST, STOCKOUT_PENALTY)
 from tidewater.functions.exprs import bin_index
+from tidewater.functions.joins import small_side
 from tidewater.session import cut_lineage
 
 N_STATES = len(INV_BINS) * len(DEMAND_BINS) * len(RISK_BINS) * 2 * len(DAY_BINS)
-# Action values are compared at this many decimals: two actions whose values
-# differ only by floating summation order count as tied (lowest id wins).
+# Action values are whole multiples of 10^-6 (ties: lowest action id wins).
 Q_DIGITS = 6
+Q_SCALE = 10 ** Q_DIGITS
 COMPONENTS = ["holding_cost", "stockout_penalty", "demand_fulfillment", "overcapacity_penalty",
               "action_cost", "anomaly_mitigation"]
 
@@ -110,8 +112,35 @@ def projected_inventory_ui(inv: Column, demand_avg: Column, qty: Column) -> Colu
 
 
 # ------------------------------------------------------------ H5 fitted Q
+def reward_milli(inv_after: Column, demand: Column, action_id: Column, anomaly: Column) -> Column:
+    """One-step reward in whole thousandths: each component rounded half up, then summed as integers."""
+    milli = lambda c: F.floor(c * 1000.0 + 0.5)
+    const = lambda v: F.lit(int(round(v * 1000))).cast("long")
+    zero = F.lit(0).cast("long")
+    return (milli(-inv_after * HOLDING_COST_PER_UNIT)
+            + F.when(inv_after < 0, const(STOCKOUT_PENALTY)).otherwise(milli(demand * FULFILMENT_PER_UNIT))
+            + F.when(inv_after > OVERCAPACITY_LIMIT, const(OVERCAPACITY_PENALTY)).otherwise(zero)
+            + F.when(action_id == 4, const(EMERGENCY_ACTION_COST))
+            .when(action_id.isin(1, 2, 3), const(STANDARD_ACTION_COST)).otherwise(zero)
+            + F.when((action_id == 5) & (F.coalesce(anomaly, F.lit(0)) != 0), const(ANOMALY_MITIGATION)).otherwise(zero))
+
+
+def _steps(s: DataFrame, demand: str, risk: str, anomaly: str, days: str) -> DataFrame:
+    """(state, action_id, reward, next_state) of rows that carry n_demand, n_risk, n_anomaly and lead_days."""
+    s = with_actions(with_state(s, inv="inventory", demand=demand, risk=risk, anomaly=anomaly, days=days))
+    after = F.col("inventory") + F.col("qty") - F.col(demand)
+    s = s.withColumns({
+        "reward": reward_milli(after, F.col(demand), F.col("action_id"), F.col(anomaly)),
+        "n_inv": F.greatest(after, F.lit(0.0)),
+        "n_days": F.when(F.col("action_id").isin(1, 2, 3, 4), F.coalesce("lead_days", F.col(days)))
+        .otherwise(F.greatest(F.col(days) - 1, F.lit(1.0))),
+        "n_anom": F.when(F.col("action_id") == 5, F.lit(0)).otherwise(F.col("n_anomaly"))})
+    nb = state_bins(inv="n_inv", demand="n_demand", risk="n_risk", anomaly="n_anom", days="n_days")
+    return s.select("state", "action_id", "reward", state_code(nb).alias("next_state"))
+
+
 def transitions(states: DataFrame, by: list[str], lead_days: DataFrame | None = None) -> DataFrame:
-    """(state, action, reward, next_state) for every series row with a next day and each action.
+    """(state, action, reward in thousandths, next_state) for every series row with a next day and each action.
 
     Next inventory is the floored inventory after the step; next demand,
     risk and anomaly are the next day's (anomaly 0 after SWITCH_SUPPLIER);
@@ -125,59 +154,70 @@ def transitions(states: DataFrame, by: list[str], lead_days: DataFrame | None =
         "n_anomaly": F.lead("anomaly", 1).over(w),
     }).where(F.col("n_demand").isNotNull())
     if lead_days is not None:
-        s = s.join(F.broadcast(lead_days), on=by, how="left")
+        s = s.join(lead_days, on=by, how="left")
     else:
         s = s.withColumn("lead_days", F.lit(None).cast("double"))
-    s = with_state(s, inv="inventory", demand="demand7", risk="risk", anomaly="anomaly", days="days")
-    s = with_actions(s)
-    parts = reward_parts(F.col("inventory"), F.col("demand7"), F.col("action_id"), F.col("anomaly"))
-    n_days = F.when(F.col("action_id").isin(1, 2, 3, 4), F.coalesce("lead_days", F.col("days"))) \
-        .otherwise(F.greatest(F.col("days") - 1, F.lit(1.0)))
-    n_anom = F.when(F.col("action_id") == 5, F.lit(0)).otherwise(F.col("n_anomaly"))
-    s = s.withColumns({"reward": total_reward(parts),
-                       "n_inv": F.greatest(parts["inv_after"], F.lit(0.0)),
-                       "n_days": n_days, "n_anom": n_anom})
-    nb = state_bins(inv="n_inv", demand="n_demand", risk="n_risk", anomaly="n_anom", days="n_days")
-    return s.select("state", "action_id", "reward", state_code(nb).alias("next_state"))
+    return _steps(s, "demand7", "risk", "anomaly", "days")
+
 
+def daily_changes(states: DataFrame, by: list[str]) -> DataFrame:
+    """By + order_date + change: how much the mean daily demand of the trailing week moves to the next day."""
+    w = Window.partitionBy(*by).orderBy("order_date")
+    return states.select(*by, "order_date", ((F.lead("demand7", 1).over(w) - F.col("demand7")) / 7.0).alias("change"))
 
-def state_values(q: DataFrame) -> DataFrame:
-    return q.groupBy("state").agg(F.max("q").alias("v"))
 
+def order_transitions(orders: DataFrame, changes: DataFrame, lead_days: DataFrame, by: list[str]) -> DataFrame:
+    """Transitions from the state of every order line, in the columns that decisions read.
 
-def q_sweep(trans: DataFrame, q: DataFrame | None, gamma: float = GAMMA) -> DataFrame:
-    """One fitted-Q sweep: Q'(s,a) = mean over transitions of r + gamma * max_a' Q(s', a')."""
-    if q is None:
-        target = F.col("reward")
-        t = trans
-    else:
-        v = F.broadcast(state_values(q).withColumnRenamed("state", "next_state"))
-        t = trans.join(v, on="next_state", how="left")
-        target = F.col("reward") + F.lit(gamma) * F.coalesce(F.col("v"), F.lit(0.0))
-    return t.groupBy("state", "action_id").agg(F.avg(target).alias("q"))
+    Demand moves by its group's observed change of that day (0 on the last day); risk and
+    anomaly stay (anomaly 0 after SWITCH_SUPPLIER); days as in ``transitions``.
+    """
+    s = orders.join(small_side(changes), [*by, "order_date"], "left").join(small_side(lead_days), by, "left")
+    s = s.withColumns({"n_demand": F.greatest(F.col("demand_7d_avg_raw") + F.coalesce("change", F.lit(0.0)), F.lit(0.0)),
+                       "n_risk": F.col("risk_score"), "n_anomaly": F.col("is_anomaly")})
+    return _steps(s, "demand_7d_avg_raw", "risk_score", "is_anomaly", "days_to_delivery")
+
+
+def transition_counts(trans: DataFrame) -> DataFrame:
+    """n and reward sum per (state, action, next state): bounded by the bins, combined map-side."""
+    return trans.groupBy("state", "action_id", "next_state").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("reward").alias("r"))
+
+
+def q_sweep(counts: DataFrame, q: DataFrame | None, gamma: float = GAMMA) -> DataFrame:
+    """One sweep: Q'(s,a) = mean over transitions of r + gamma * max_a' Q(s', a'), in whole millionths."""
+    t = counts
+    worth = F.lit(0).cast("long")
+    if q is not None:
+        v = q.groupBy("state").agg(F.floor(F.max("m") * F.lit(gamma) + 0.5).alias("worth"))
+        t = t.join(F.broadcast(v.withColumnRenamed("state", "next_state")), "next_state", "left")  # at most N_STATES rows
+        worth = F.coalesce(F.col("worth"), F.lit(0).cast("long"))
+    wide = lambda c: c.cast("decimal(28,0)")
+    total = F.sum(wide(F.col("r")) * 1000 + wide(F.col("n")) * worth).cast("double")
+    return t.groupBy("state", "action_id").agg(F.floor(total / F.sum("n").cast("double") + 0.5).alias("m"))
 
 
 def fit_q(trans: DataFrame, sweeps: int, gamma: float = GAMMA, checkpoint_every: int = 5) -> DataFrame:
-    """H5: ``sweeps`` rounds of fitted Q iteration from Q0 = 0.
+    """H5: ``sweeps`` rounds of fitted Q iteration from Q0 = 0; returns state, action_id, q.
 
-    The transitions are persisted once (recomputable from their short lineage)
-    and scanned once per sweep; the Q table (at most 8640 rows) is written
-    with a reliable checkpoint every ``checkpoint_every`` sweeps and at the end.
+    The transitions are reduced and written once; the Q table (at most 8640 rows) is
+    written with a reliable checkpoint every ``checkpoint_every`` sweeps and at the end.
     """
-    trans = trans.persist()
+    counts = cut_lineage(transition_counts(trans))
     q = None
     for k in range(1, sweeps + 1):
-        q = q_sweep(trans, q, gamma)
-        q = cut_lineage(q) if (k % checkpoint_every == 0 or k == sweeps) else q.cache()
-    trans.unpersist()
-    return q
+        q = q_sweep(counts, q, gamma)
+        if k % checkpoint_every == 0 or k == sweeps:
+            q = cut_lineage(q)
+    return q.select("state", "action_id", (F.col("m") / float(Q_SCALE)).alias("q"))
 
 
 # ----------------------------------------------------------- H6-H11 read-outs
 def q_full(q: DataFrame, states: DataFrame) -> DataFrame:
-    """All six actions for each requested state; pairs never seen keep Q = 0."""
+    """All six actions for each requested state; pairs never seen keep Q = 0 and trained = false."""
     base = with_actions(states.select("state").distinct()).select("state", "action_id", "action")
-    return base.join(q, ["state", "action_id"], "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
+    return base.join(q, ["state", "action_id"], "left").withColumns(
+        {"trained": F.col("q").isNotNull(), "q": F.coalesce("q", F.lit(0.0))})
 
 
 def best_action(qf: DataFrame) -> DataFrame:
@@ -190,6 +230,9 @@ def best_action(qf: DataFrame) -> DataFrame:
     return e.groupBy("state").agg(
         F.max_by("action_id", F.struct(F.round("q", Q_DIGITS), -F.col("action_id"))).alias("action_id"),
         F.max("q").alias("q_value"),
+        F.bool_or("trained").alias("trained"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", F.floor(F.col("q") * 1000.0 + 0.5) / 1000.0))))
+        .alias("q_values"),
         (1.0 / F.sum("_e")).alias("confidence"))
 
 

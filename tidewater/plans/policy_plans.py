@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions.constants import ACTIONS, DAY_BINS, DEMAND_BINS, INV_BINS, REORDER_QTY, RISK_BINS
+from tidewater.functions.exprs import round_half_up
 from tidewater.operators import policy as P
 from tidewater.operators import supplier as S
 from tidewater.plans.demand_plans import sql_spine
@@ -58,22 +59,53 @@ def sql_total(prefix="") -> str:
     return "ROUND(" + " + ".join(f"COALESCE({prefix}{c}, CAST(0.0 AS DOUBLE))" for c in P.COMPONENTS) + ", 3)"
 
 
+def sql_reward_milli(dem: str, act: str, anom: str, after: str) -> str:
+    """Whole thousandths: each component rounded half up, then added."""
+    return f"""(CAST(FLOOR((-{after} * CAST(0.05 AS DOUBLE)) * 1000.0 + 0.5) AS BIGINT)
+  + CASE WHEN {after} < 0 THEN -50000 ELSE CAST(FLOOR(({dem} * CAST(0.5 AS DOUBLE)) * 1000.0 + 0.5) AS BIGINT) END
+  + CASE WHEN {after} > 1000 THEN -20000 ELSE 0 END
+  + CASE WHEN {act} = 4 THEN -15000 WHEN {act} IN (1, 2, 3) THEN -2000 ELSE 0 END
+  + CASE WHEN {act} = 5 AND COALESCE({anom}, 0) <> 0 THEN 10000 ELSE 0 END)"""
+
+
+def sql_steps(src: str, dem: str, risk: str, anom: str, days: str, out: str) -> str:
+    """CTE ``out``: counts and reward sums per (state, action, next state) of the rows of ``src``."""
+    after = f"(inventory + qty - {dem})"
+    return f"""{out}_1 AS (SELECT s.*, a.action_id, a.qty FROM {src} s, actions_t a),
+{out}_2 AS (SELECT *, {after} AS i_after, {sql_reward_milli(dem, 'action_id', anom, after)} AS reward FROM {out}_1),
+{out}_3 AS (SELECT *, GREATEST(i_after, 0.0) AS n_inv,
+  CASE WHEN action_id IN (1, 2, 3, 4) THEN COALESCE(lead_days, {days}) ELSE GREATEST({days} - 1, 1.0) END AS n_days,
+  CASE WHEN action_id = 5 THEN 0 ELSE n_anomaly END AS n_anom FROM {out}_2),
+{out} AS MATERIALIZED (SELECT {sql_state("inventory", dem, risk, anom, days)} AS state, action_id,
+  {sql_state("n_inv", "n_demand", "n_risk", "n_anom", "n_days")} AS next_state, COUNT(*) AS n, SUM(reward) AS r
+  FROM {out}_3 GROUP BY 1, 2, 3)"""
+
+
+def sql_sweeps(counts: str, sweeps: int, prefix: str = "q") -> str:
+    """CTEs ``{prefix}1`` .. ``{prefix}{sweeps}`` (state, action_id, q) over ``counts``."""
+    out = []
+    for k in range(1, sweeps + 1):
+        join = f"""LEFT JOIN (SELECT state, CAST(FLOOR(MAX(m) * CAST(0.95 AS DOUBLE) + 0.5) AS BIGINT) AS worth
+  FROM {prefix}m{k - 1} GROUP BY 1) v ON v.state = t.next_state""" if k > 1 else ""
+        worth = "COALESCE(v.worth, 0)" if k > 1 else "0"
+        out.append(f"""{prefix}m{k} AS MATERIALIZED (SELECT t.state, t.action_id,
+  CAST(FLOOR(CAST(SUM(t.r * 1000 + t.n * {worth}) AS DOUBLE) / CAST(SUM(t.n) AS DOUBLE) + 0.5) AS BIGINT) AS m
+  FROM {counts} t {join} GROUP BY 1, 2),
+{prefix}{k} AS (SELECT state, action_id, m / CAST(1000000.0 AS DOUBLE) AS q FROM {prefix}m{k})""")
+    return ",\n".join(out)
+
+
+def sql_half_up(x: str, digits: int) -> str:
+    k = f"CAST({10.0 ** digits} AS DOUBLE)"
+    return f"(FLOOR({x} * {k} + 0.5) / {k})"
+
+
 TRANSITIONS_CTES = ACTIONS_SQL + """,
 lead_d AS (SELECT department, AVG(actual_days) AS lead_days FROM order_lines GROUP BY department),
-nx AS (SELECT s.*, l.lead_days, LEAD(demand7, 1) OVER w AS n_demand, LEAD(risk, 1) OVER w AS n_risk,
+nx AS (SELECT * FROM (SELECT s.*, l.lead_days, LEAD(demand7, 1) OVER w AS n_demand, LEAD(risk, 1) OVER w AS n_risk,
        LEAD(anomaly, 1) OVER w AS n_anomaly FROM ss s LEFT JOIN lead_d l USING (department)
-       WINDOW w AS (PARTITION BY department ORDER BY order_date)),
-tr0 AS (SELECT nx.*, a.action_id, a.qty, """ + sql_parts("inventory", "demand7", "a.action_id", "anomaly") + """
-        FROM nx, actions_t a WHERE n_demand IS NOT NULL),
-tr1 AS (SELECT *, """ + sql_total() + """ AS reward, GREATEST(inv_after, 0.0) AS n_inv,
-  CASE WHEN action_id IN (1, 2, 3, 4) THEN COALESCE(lead_days, days) ELSE GREATEST(days - 1, 1.0) END AS n_days,
-  CASE WHEN action_id = 5 THEN 0 ELSE n_anomaly END AS n_anom FROM tr0),
-tr AS (SELECT """ + sql_state("inventory", "demand7", "risk", "anomaly", "days") + """ AS state, action_id, reward,
-  """ + sql_state("n_inv", "n_demand", "n_risk", "n_anom", "n_days") + """ AS next_state FROM tr1),
-q1 AS (SELECT state, action_id, AVG(reward) AS q FROM tr GROUP BY 1, 2),
-v1 AS (SELECT state, MAX(q) AS v FROM q1 GROUP BY 1),
-q2 AS (SELECT t.state, t.action_id, AVG(t.reward + 0.95 * COALESCE(v.v, 0.0)) AS q FROM tr t
-       LEFT JOIN v1 v ON v.state = t.next_state GROUP BY 1, 2),
+       WINDOW w AS (PARTITION BY department ORDER BY order_date)) WHERE n_demand IS NOT NULL),
+""" + sql_steps("nx", "demand7", "risk", "anomaly", "days", "tc") + ",\n" + sql_sweeps("tc", 2) + """,
 ss_state AS (SELECT ss.*, """ + sql_state("inventory", "demand7", "risk", "anomaly", "days") + """ AS state FROM ss),
 qf AS (SELECT d.state, a.action_id, a.action, a.qty, COALESCE(q2.q, 0.0) AS q
        FROM (SELECT DISTINCT state FROM ss_state) d CROSS JOIN actions_t a
@@ -105,6 +137,10 @@ def _qf(spark, sf_dir, sweeps=2):
     return P.q_full(_q(spark, sf_dir, sweeps), _states(spark, sf_dir))
 
 
+def _rounded(q, digits: int = 4):
+    return q.withColumn("q", round_half_up("q", digits))
+
+
 @query("series_states", with_order_lines(SERIES_STATES_CTES)
        + "SELECT department, order_date, demand7, inventory, ROUND(risk, 4) AS risk, days, anomaly FROM ss")
 def series_states_q(spark, sf_dir):
@@ -154,60 +190,69 @@ def reward_breakdown(spark, sf_dir):
 
 
 @query("action_values_k1", with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES)
-       + "SELECT state, action_id, ROUND(q, 4) AS q FROM q1")
+       + f"SELECT state, action_id, {sql_half_up('q', 4)} AS q FROM q1")
 def action_values_k1(spark, sf_dir):
     """H5, one fitted-Q sweep (Q1 = mean one-step reward)."""
-    return round_doubles(_q(spark, sf_dir, 1))
+    return _rounded(_q(spark, sf_dir, 1))
 
 
 @query("action_values_k2", with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES)
-       + "SELECT state, action_id, ROUND(q, 4) AS q FROM q2")
+       + f"SELECT state, action_id, {sql_half_up('q', 4)} AS q FROM q2")
 def action_values_k2(spark, sf_dir):
     """H5, two sweeps: Q2 = mean of r + 0.95 max_a' Q1(s', a')."""
-    return round_doubles(_q(spark, sf_dir, 2))
+    return _rounded(_q(spark, sf_dir, 2))
 
 
-@query("action_values_k20")
+@query("action_values_k20", with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES, sql_sweeps("tc", 20, "z"))
+       + f"SELECT state, action_id, {sql_half_up('q', 4)} AS q FROM z20")
 def action_values_k20(spark, sf_dir):
-    """H5 run to 20 sweeps (rows check: iteration has no closed SQL form here)."""
-    return round_doubles(_q(spark, sf_dir, 20))
+    """H5 run to 20 sweeps (the oracle unrolls them)."""
+    return _rounded(_q(spark, sf_dir, 20))
 
 
 @query("best_action", with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES)
-       + "SELECT state, action_id, action, ROUND(q_value, 3) AS q_value, ROUND(confidence, 4) AS confidence FROM best")
+       + "SELECT state, action_id, action, " + sql_half_up("q_value", 3) + " AS q_value, ROUND(confidence, 4) AS confidence FROM best")
 def best_action(spark, sf_dir):
     """H6/H7 on the K=2 values for every state the series visit (unvisited pairs are 0 -> HOLD on ties)."""
     qf = _qf(spark, sf_dir)
     b = P.best_action(qf)
     names = F.element_at(F.array(*[F.lit(n) for n in ACTIONS.values()]), F.col("action_id") + 1)
-    return b.select("state", "action_id", names.alias("action"), F.round("q_value", 3).alias("q_value"),
+    return b.select("state", "action_id", names.alias("action"), round_half_up("q_value", 3).alias("q_value"),
                     F.round("confidence", 4).alias("confidence"))
 
 
 @query("action_values_wide", with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES) + "SELECT state, "
-       + ", ".join(f"ROUND(MAX(q) FILTER (WHERE action_id = {a}), 3) AS \"{n}\"" for a, n in ACTIONS.items())
+       + ", ".join(sql_half_up(f"MAX(q) FILTER (WHERE action_id = {a})", 3) + f" AS \"{n}\"" for a, n in ACTIONS.items())
        + " FROM qf GROUP BY state")
 def action_values_wide(spark, sf_dir):
     """H8: one column per action name, values rounded to 3."""
     qf = _qf(spark, sf_dir)
     wide = qf.groupBy("state").pivot("action", list(ACTIONS.values())).agg(F.max("q"))
-    return wide.select("state", *[F.round(F.col(n), 3).alias(n) for n in ACTIONS.values()])
+    return wide.select("state", *[round_half_up(n, 3).alias(n) for n in ACTIONS.values()])
+
+
+@query("action_value_map", with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES) + "SELECT state, map_from_entries(list((action, "
+       + sql_half_up("q", 3) + ") ORDER BY action)) AS q_values FROM qf GROUP BY state")
+def action_value_map(spark, sf_dir):
+    """H8 as one map per state: action name -> value, rounded to 3."""
+    return P.best_action(_qf(spark, sf_dir)).select("state", "q_values")
 
 
 @query("action_rank", with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES)
-       + "SELECT state, action_id, ROUND(q, 4) AS q, rank FROM qr")
+       + f"SELECT state, action_id, {sql_half_up('q', 4)} AS q, rank FROM qr")
 def action_rank(spark, sf_dir):
     r = P.action_rank(_qf(spark, sf_dir))
-    return round_doubles(r.select("state", "action_id", "q", F.col("rank")))
+    return _rounded(r.select("state", "action_id", "q", F.col("rank")))
 
 
 @query("action_scale", with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES, """
 sc AS (SELECT *, LEAST(MIN(q) OVER (PARTITION BY state), 0.0) AS lo, MAX(q) OVER (PARTITION BY state) AS hi FROM qf)""")
-       + """SELECT state, action_id, ROUND((q - lo) / CASE WHEN hi - lo = 0 THEN 1.0 ELSE hi - lo END * 100, 4) AS bar_pct,
-  ROUND(LEAST(GREATEST((q + 20) * 2.5, 0.0), 100.0), 4) AS card_pct FROM sc""")
+       + "SELECT state, action_id, " + sql_half_up("((q - lo) / CASE WHEN hi - lo = 0 THEN 1.0 ELSE hi - lo END * 100)", 4)
+       + " AS bar_pct, " + sql_half_up("LEAST(GREATEST((q + 20) * 2.5, 0.0), 100.0)", 4) + " AS card_pct FROM sc")
 def action_scale(spark, sf_dir):
     s = P.action_scale(_qf(spark, sf_dir))
-    return round_doubles(s.select("state", "action_id", "bar_pct", "card_pct"))
+    return s.select("state", "action_id", round_half_up("bar_pct", 4).alias("bar_pct"),
+                    round_half_up("card_pct", 4).alias("card_pct"))
 
 
 _JUST_SQL = with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES, """
