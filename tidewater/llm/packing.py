@@ -1,9 +1,9 @@
 """Operator 4: training sequences packed by Karmarkar-Karp multiway differencing.
 
-Token ids: each text is cut at spaces and line feeds, which the tokenizer drops and
-never joins across; a bounded memo maps each distinct chunk to its ids.  A chunk of
-Latin letters, then signs, is two pre-tokens for the library's merges; any other
-chunk, and a text that holds a special string, goes through the whole tokenizer.
+Token ids: a text of plain Latin characters is lower-cased and cut into the tokenizer's
+pre-tokens, and a bounded memo maps each distinct one to the ids of the library's
+merges.  Any other text, and one that holds a special string, goes through the whole
+tokenizer.
 Every document ends with ``end_id``.
 
 Packing: a document of at least ``capacity`` tokens is cut into full pieces and a
@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,13 +41,16 @@ from tidewater.llm.common import cut_lineage, map_batches, ship_package
 
 GROUP_PIECES = 4096
 CUT_ONE_IN, CUT_TOKENS = 64, 32
-MEMO_ENTRIES = 900_000
+COARSE = 512
+MEMO_ENTRIES = 600_000
 # Ids of a sequence are unique over groups: the group's number is shifted past its windows.
 GROUP_SHIFT = 24
 
 
-# Letters whose lower case and composed form are one character each, then signs that form a pre-token of their own.
-WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+# A text of these characters alone has one lower and one composed form per character.
+SIMPLE = re.compile(r"[\n\x20-~À-ÖØ-öø-ÿ]*")
+# Pre-tokens of a lower-cased simple text: fixed pattern of the tokenizer file, letters first as nothing else starts with one.
+PRE_TOKEN = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 def _byte_chars() -> list[str]:
@@ -56,54 +60,45 @@ def _byte_chars() -> list[str]:
     return [chr(256 + other.index(b)) if b in set(other) else chr(b) for b in range(256)]
 
 
-class ChunkEncoder:
+class _Memo(dict):
+    """Pre-token -> ids as bytes, by the library's merges; bounded, refilled on demand."""
+
+    def __init__(self, merge) -> None:
+        super().__init__()
+        self.merge, self.chars = merge, _byte_chars()
+
+    def __missing__(self, word: str) -> bytes:
+        mapped = word if word.isascii() else "".join(self.chars[b] for b in word.encode())
+        found = array("I", [t.id for t in self.merge(mapped)]).tobytes()
+        if len(word) <= 64:
+            if len(self) > MEMO_ENTRIES:
+                self.clear()
+            self[word] = found
+        return found
+
+
+class TextEncoder:
     """Text -> ids as little-endian unsigned 32-bit bytes, exactly as the library encodes the whole text."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.chars = _byte_chars()
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pre_token(self, word: str) -> bytes:
-        """Ids of one letter run or sign run by the library's merges, remembered."""
-        found = self.memo.get(word)
-        if found is None:
-            mapped = word if word.isascii() else "".join(self.chars[b] for b in word.encode())
-            found = self.memo[word] = np.array([t.id for t in self.tok.model.tokenize(mapped)], dtype="<u4").tobytes()
-        return found
-
-    def _learn(self, fresh: list[str]) -> None:
-        odd = []
-        for c in fresh:
-            m = WORD_AND_SIGNS.fullmatch(c)
-            if m:
-                self.memo[c] = self._pre_token(m[1].lower()) + self._pre_token(m[2])
-            else:
-                odd.append(c)
-        self.memo.update(zip(odd, self._library(odd)))
+        self.get = _Memo(self.tok.model.tokenize).__getitem__
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [None if t and any(s in t for s in self.special) else (t or "").replace("\n", " ").split(" ") for t in texts]
-        words = {c for cs in chunks if cs for c in cs}
-        fresh = words.difference(self.memo)
-        if len(self.memo) + len(fresh) > MEMO_ENTRIES:
-            self.memo = {"": b""}
-            fresh = words
-        self._learn(list(fresh))
-        get = self.memo.__getitem__
-        return [self._library([t])[0] if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, chunks)]
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if SIMPLE.fullmatch(text) and not any(x in text for x in self.special):
+            return b"".join(map(self.get, PRE_TOKEN.findall(text.lower())))
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> TextEncoder:
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    return ChunkEncoder(path)
+    return TextEncoder(path)
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
@@ -156,7 +151,8 @@ def fit_windows(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of at most ``capacity``, as few as found.
 
     Their number starts at ceil(total / capacity) and rises in doubling steps while a
-    window exceeds the capacity; the last step is then halved down to the least number that held.
+    window exceeds the capacity; the last step is then halved down to the least number that held,
+    to within one in COARSE.
     """
     if not sizes:
         return []
@@ -165,11 +161,12 @@ def fit_windows(sizes: list[int], capacity: int) -> list[list[int]]:
         windows = karmarkar_karp(sizes, k)
         return windows if all(sum(sizes[i] for i in w) <= capacity for w in windows) else None
 
-    failed, step = -(-sum(sizes) // capacity) - 1, 1
+    least = -(-sum(sizes) // capacity)
+    failed, step = least - 1, 1
     while (best := attempt(min(len(sizes), failed + step))) is None:
         failed, step = failed + step, 2 * step
     low, high = failed, min(len(sizes), failed + step)
-    while high - low > 1:
+    while high - low > 1 + least // COARSE:
         mid = (low + high) // 2
         found = attempt(mid)
         low, high, best = (low, mid, found) if found else (mid, high, best)
@@ -187,7 +184,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids = [x + end for x in encoder(path).encode(batch.column(1).to_pylist())]
+        encode = encoder(path).encode
+        ids = [encode(t) + end for t in batch.column(1).to_pylist()]
         names = batch.column(0).to_pylist()
         step = [4 * (CUT_TOKENS if zlib.crc32(str(i).encode(), zlib.crc32(x)) % CUT_ONE_IN == 0 else capacity)
                 for i, x in zip(names, ids)]
