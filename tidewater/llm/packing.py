@@ -117,16 +117,16 @@ def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
         _, _, sa, na = heapq.heappop(heap)
         _, _, sb, nb = heapq.heappop(heap)
         a, b = len(sa), len(sb)
-        over = max(0, a + b - k)  # windows that meet: the emptiest of a against the emptiest of b, crosswise
+        over = max(0, a + b - k)  # windows that meet, crosswise; the others stay alone
         if over:
-            sb, nb = sb[::-1], nb[::-1]  # emptiest first, so that b's fullest windows meet a's emptiest or stay alone
-            i, j = np.arange(a - over, a), np.arange(b - over, b)
+            sb, nb = sb[::-1], nb[::-1]  # b's emptiest windows first, against a's fullest of those that must meet
+            i, j = np.arange(a - over, a), np.arange(over)
             sums = sa[i] + sb[j]
             joined = np.arange(free, free + over)
             left[joined], right[joined] = na[i], nb[j]
             free += over
-            s = np.concatenate([sa[:a - over], sb[:b - over], sums])
-            nodes = np.concatenate([na[:a - over], nb[:b - over], joined])
+            s = np.concatenate([sa[:a - over], sb[over:], sums])
+            nodes = np.concatenate([na[:a - over], nb[over:], joined])
         else:
             s, nodes = np.concatenate([sa, sb]), np.concatenate([na, nb])
         order = np.argsort(-s, kind="stable")
