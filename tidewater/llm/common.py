@@ -21,12 +21,20 @@ __all__ = ["cut_lineage", "map_batches", "read", "number_rows", "row_buckets", "
 # Words are maximal runs of characters outside this class (space and \x09-\x0D).
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
+
 # Rows of one numbering bucket: bounds what a single window task sorts.
 BUCKET_ROWS = 20_000
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per Spark application (Spark's own file distribution)."""
+    """Send this package to the Python workers once per Spark application (Spark's own file distribution).
+
+    Also lowers the bytes of an Arrow batch from Spark's default, unless the caller has set them: the JVM
+    and the worker each hold a batch several times while a text column passes.
+    """
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_tidewater_shipped", None) == sc.applicationId:
         return
@@ -46,8 +54,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.StructType | str) -> DataFrame:
     """Map Arrow batches of ``df`` through ``fn`` (batch -> dict of equally long columns).
 
-    Batches are cut by ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows, so a
-    worker holds one batch at a time; ``fn`` must not keep rows between batches.
+    Batches are bounded in rows and bytes, and a worker holds one at a time; ``fn`` must
+    not keep rows between batches.
     """
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)

@@ -42,7 +42,7 @@ from tidewater.llm.common import cut_lineage, map_batches, ship_package
 GROUP_PIECES = 4096
 CUT_ONE_IN, CUT_TOKENS = 64, 32
 COARSE = 512
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
 # Ids of a sequence are unique over groups: the group's number is shifted past its windows.
 GROUP_SHIFT = 24
 

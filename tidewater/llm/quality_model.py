@@ -34,7 +34,7 @@ SAMPLE_ROWS = 12_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-3, 1e-4
 FOLDS, HELD_OUT = 3, 1
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 _PAIR = np.uint32(0x9E3779B1)
 _SHAPE_SEED = 0x5BD1E995
 

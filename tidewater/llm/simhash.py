@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.common import cut_lineage, map_batches, ship_package
 from tidewater.llm.components import components
@@ -76,17 +77,17 @@ def fingerprint(text: str | None, size: int) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text column, plus fp (long)."""
+def fingerprints(docs: DataFrame, shingle: int, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without its text column unless ``keep_text``) plus fp (long)."""
     rest = [c for c in docs.columns if c != text_col]
     src = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col))
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {c: batch.column(i) for i, c in enumerate(rest)}
+        out = {c: batch.column(i) for i, c in enumerate(kept)}
         return out | {"fp": [fingerprint(t, shingle) for t in batch.column(len(rest)).to_pylist()]}
 
-    fields = src.drop(text_col).schema.add("fp", "long")
-    return map_batches(src, run, fields)
+    kept = [*rest, text_col] if keep_text else rest
+    return map_batches(src, run, T.StructType([*(src.schema[c] for c in kept), T.StructField("fp", T.LongType())]))
 
 
 class _Forest:
@@ -267,12 +268,13 @@ def keep_one(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc_id
     place = scratch_path(spark, "simhash-rows")
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     cols = docs.columns
-    packed = numbered.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_doc"), "_row", F.col(id_col).alias("_id"),
-                             F.col(text_col).alias("_text"))
-    fingerprints(packed, shingle, "_text").write.parquet(place)
+    packed = numbered.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != text_col]).alias("_doc"), "_row",
+                             F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    fingerprints(packed, shingle, "_text", keep_text=True).write.parquet(place)
     stored = spark.read.parquet(place)
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     rows = stored.select("_row", "_id", "fp")
     best = class_ids(rows, max_bits, order)
     gone = rows.join(best, "fp").where(F.col("best.row") != F.col("_row")).select("_row")
-    return stored.join(gone, "_row", "left_anti").select(*[F.col("_doc")[c].alias(c) for c in cols])
+    return stored.join(gone, "_row", "left_anti").select(
+        *[(F.col("_text") if c == text_col else F.col("_doc")[c]).alias(c) for c in cols])
