@@ -37,8 +37,8 @@ def test_best_action_ties_and_confidence(spark):
 
 
 def test_fitted_q_one_sweep_is_mean_reward(spark):
-    t = spark.createDataFrame([(1, 0, 2.0, 3), (1, 0, 4.0, 3), (1, 1, -1.0, 1)],
-                              "state int, action_id int, reward double, next_state int")
+    t = spark.createDataFrame([(1, 0, 2000, 3), (1, 0, 4000, 3), (1, 1, -1000, 1)],   # thousandths
+                              "state int, action_id int, reward long, next_state int")
     q1 = {(r.state, r.action_id): r.q for r in P.fit_q(t, 1).collect()}
     assert q1[(1, 0)] == 3.0 and q1[(1, 1)] == -1.0
     q2 = {(r.state, r.action_id): r.q for r in P.fit_q(t, 2).collect()}

@@ -1,4 +1,4 @@
-"""tidewater: supply-chain analytics as Spark DataFrame jobs.
+"""tidewater: order, demand and route analytics as Spark DataFrame jobs.
 
 Every job takes DataFrames and returns a DataFrame; no job performs an
 action except the iterative ones (routes, fitted Q, recursive forecast) and

@@ -31,9 +31,6 @@ EMERGENCY_ACTION_COST = -15.0
 STANDARD_ACTION_COST = -2.0
 ANOMALY_MITIGATION = 10.0
 GAMMA = 0.95
-ALPHA = 0.1
-EPSILON_START = 0.3
-EPSILON_MIN = 0.01
 
 # --- fixed values: shipping mode ordinal, risk label score -----------------
 SHIPPING_MODE_ENC = {"Standard Class": 0, "Second Class": 1, "First Class": 2, "Same Day": 3}
@@ -104,13 +101,15 @@ FUEL_COST_PER_KM = 0.08
 TIME_COST_FACTOR = 0.5
 AIR_COST_MULTIPLIER = 10.0
 
+# --- texts: each names the step that really decided --------------------------
+ROUTE_TYPE_EMERGENCY = "EMERGENCY"
+ROUTE_TYPE_STANDARD = "STANDARD"
+TRIGGER_RL = "Reorder policy: EMERGENCY_REORDER"
+TRIGGER_ANOMALY = "Supplier statistics: department flagged as unusual"
+TRIGGER_RISK = "Delay risk: score %s > 0.8"
+TRIGGER_NORMAL = "None: least-cost route"
+
 # --- fixed values: texts ----------------------------------------------------
-ROUTE_TYPE_EMERGENCY = "EMERGENCY (A*)"
-ROUTE_TYPE_STANDARD = "STANDARD (A*)"
-TRIGGER_RL = "RL agent: EMERGENCY_REORDER"
-TRIGGER_ANOMALY = "Isolation Forest: supplier anomaly detected"
-TRIGGER_RISK = "Random Forest: risk score %s > 0.8"
-TRIGGER_NORMAL = "Normal operations - A* shortest-path routing"
 NO_PATH_ERROR = "No path found"
 HISTORY_LIMIT = 50
 CHAT_HISTORY_TURNS = 6

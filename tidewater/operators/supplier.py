@@ -70,14 +70,14 @@ def avg_unit_value(orders: DataFrame) -> DataFrame:
 def zscore_outliers(stats_df: DataFrame, by: str, z: float = 2.0) -> DataFrame:
     """Deterministic outlier rule: score = largest |x - mean| / population std over the statistics.
 
-    Means and deviations are scalar subqueries (one partial aggregate each);
+    Means and deviations are one aggregate row, read as one scalar struct;
     a statistic with zero spread contributes 0.  Flag when the score exceeds ``z``.
     """
     from tidewater.functions.constants import SUPPLIER_FEATURES as FEATS
+    row = stats_df.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in FEATS for n, f in (("m", F.avg), ("s", F.stddev_pop))])).scalar()
     parts = []
     for c in FEATS:
-        mean = stats_df.agg(F.avg(c)).scalar()
-        std = stats_df.agg(F.stddev_pop(c)).scalar()
+        mean, std = row[f"m_{c}"], row[f"s_{c}"]
         parts.append(F.when(std > 0, F.abs(F.col(c) - mean) / std).otherwise(F.lit(0.0)))
     score = F.greatest(*parts)
     return stats_df.select(by, score.alias("anomaly_score"), (score > z).alias("is_anomaly"))

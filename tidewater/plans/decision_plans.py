@@ -3,7 +3,9 @@
 ``decisions`` is the flagship: every order line gets a 7-day forecast scaled
 to the order, a delay-risk label, the supplier (department) anomaly flag, the
 best reorder action for its state, and the least-cost route between its
-supplier's and customer's nations.  The model stages use deterministic
+supplier's and customer's nations.  The policy is fitted on transitions from
+the states of the order lines themselves, in the columns the decision reads,
+so every order's state is a trained one.  The model stages use deterministic
 predictors here (seasonal-naive forecast, class shares per shipping mode,
 z-score outlier rule, fitted Q with two sweeps), so the whole chain has an
 exact SQL twin; ``order_decisions_learned`` (in ``model_plans``) runs the same chain with the
@@ -12,7 +14,7 @@ learned models.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.exprs import round_half_up
@@ -26,7 +28,8 @@ from tidewater.operators import supplier as S
 from tidewater.plans.core_plans import _RISK_CTES, _SPLIT_CTE
 from tidewater.plans.demand_plans import sql_naive, sql_spine
 from tidewater.plans.oracle_base import with_order_lines
-from tidewater.plans.policy_plans import SERIES_STATES_CTES, TRANSITIONS_CTES, _q, sql_state
+from tidewater.plans.policy_plans import (SERIES_STATES_CTES, TRANSITIONS_CTES, sql_state, sql_steps,
+                                          sql_sweeps)
 from tidewater.plans.registry import query, round_doubles
 from tidewater.session import cut_lineage
 from tidewater.plans.route_plans import EDGES_SQL, LANES_SQL, NODES_SQL, ROUNDS, sql_relaxation
@@ -39,41 +42,45 @@ DECISION_IN = ["order_id", "line_no", "order_date", "quantity", "order_value", "
 
 
 # ----------------------------------------------------------------- Spark side
-def decision_inputs(spark, sf_dir, literal_scalars: bool = False) -> dict:
+def decision_inputs(spark, sf_dir, policy_sweeps: int | None = 2) -> dict:
     """The look-up tables of the chain, each small and built once.
 
-    ``literal_scalars`` turns the two scalar inputs (unit value, 7-value base
-    forecast) into literals, for use inside a streaming query.
+    The two scalar inputs (unit value, 7-value base forecast) are read here, so the chain
+    also runs inside a streaming query.  ``policy_sweeps=None`` leaves the policy to the caller.
     """
     ol = order_lines(spark, sf_dir, DECISION_IN)
     base = R.delay_columns(ol)
     split = R.stratified_split(base, ["order_id", "line_no"])
-    shares = split.where(~F.col("is_test"))
-    stats = S.stats(ol, "department")
-    flags = S.zscore_outliers(stats, "department")
+    stats = cut_lineage(S.stats(ol, "department"))
     series = D.spine(D.daily_demand(ol.select("order_date", "quantity")))
     fc = D.naive_forecast(series, horizon=7)
-    auv = F.round(ol.agg(F.avg("order_value") / F.greatest(F.avg("quantity"), F.lit(1.0))).scalar(), 6)
-    q = _q(spark, sf_dir, 2)
     adj = RT.adjacency(RT.edge_weights(FX.net_edges(spark, sf_dir)))
-    starts = FX.route_requests(spark, sf_dir).select("start")
-    best_paths = RT.shortest_paths(adj, starts)
-    routed = cut_lineage(RT.route_table(best_paths, FX.net_nodes(spark, sf_dir)))
-    base_fc = fc.agg(F.array_sort(F.collect_list(F.struct("step", "forecast")))).scalar()
-    if literal_scalars:
-        auv = F.lit(ol.agg(F.round(F.avg("order_value") / F.greatest(F.avg("quantity"), F.lit(1.0)), 6)).first()[0])
-        vals = [r["forecast"] for r in fc.orderBy("step").collect()]   # `horizon` values
-        base_fc = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(float(v)).alias("forecast"))
-                            for i, v in enumerate(vals)])
-    return dict(orders=base, train=shares, flags=flags, forecast=fc, base_fc=base_fc, auv=auv, q=q,
-                routes=routed, stats=stats)
+    requests = FX.route_requests(spark, sf_dir)
+    best_paths = RT.shortest_paths(adj, requests.select("start"))
+    x = dict(orders=base, train=split.where(~F.col("is_test")), flags=S.zscore_outliers(stats, "department"),
+             forecast=fc, base_fc=base_forecast(fc), auv=F.lit(ol.agg(F.round(
+                 F.avg("order_value") / F.greatest(F.avg("quantity"), F.lit(1.0)), 6)).first()[0]),
+             routes=cut_lineage(RT.route_table(best_paths, FX.net_nodes(spark, sf_dir))), stats=stats,
+             changes=P.daily_changes(FX.series_states(spark, sf_dir), ["department"]),
+             lead_days=stats.select("department", F.col("avg_delivery_time").alias("lead_days")))
+    if policy_sweeps:
+        x["q"] = order_policy(x, policy_sweeps)
+    return x
 
 
-def decisions(spark, sf_dir, inputs: dict | None = None) -> DataFrame:
-    """The chain over ``inputs['orders']`` (batch or stream).  ``inputs['risk_scorer']``, when
-    given, maps the orders to orders with an integer ``prediction`` column (a learned model);
-    otherwise the class shares per shipping mode decide."""
-    x = inputs or decision_inputs(spark, sf_dir)
+def base_forecast(fc: DataFrame) -> Column:
+    """The forecast (one row a step of a fixed horizon) as a literal array of (step, forecast)."""
+    return F.array(*[F.struct(F.lit(r["step"]).alias("step"), F.lit(float(r["forecast"])).alias("forecast"))
+                     for r in fc.orderBy("step").collect()])
+
+
+def order_policy(x: dict, sweeps: int) -> DataFrame:
+    """Q values fitted on the transitions of the order lines' own states."""
+    return P.fit_q(P.order_transitions(order_states(x), x["changes"], x["lead_days"], ["department"]), sweeps)
+
+
+def order_states(x: dict) -> DataFrame:
+    """``x['orders']`` with risk, supplier flag, scaled forecast and the state they make."""
     scorer = x.get("risk_scorer")
     o = scorer(x["orders"]) if scorer else R.prior_classifier(x["train"], x["orders"])
     o = o.withColumns({"risk_level": DC.risk_label(F.col("prediction"))})
@@ -81,17 +88,22 @@ def decisions(spark, sf_dir, inputs: dict | None = None) -> DataFrame:
     o = o.join(small_side(x["flags"]), "department", "left").withColumns({
         "is_anomaly": F.coalesce(F.col("is_anomaly").cast("int"), F.lit(0)),
         "anomaly_score": F.round("anomaly_score", 4)})
-    # scalar subqueries (the 7-value global forecast, the unit value) become plain columns
-    # first: Spark does not evaluate subqueries inside higher-order functions
-    base = x["base_fc"]
     mult = DC.order_multiplier(F.col("order_value"), x["auv"], F.col("days_to_delivery").cast("double"),
                                F.col("quantity"))
-    o = o.withColumns({"_base": base, "_mult": mult})
+    o = o.withColumns({"_base": x["base_fc"], "_mult": mult})
     fc, mean = DC.scaled_forecast(F.transform("_base", lambda s: s["forecast"]), F.col("_mult"))
     o = o.withColumns({"forecast_raw": fc}).withColumn(
         "demand_7d_avg_raw", F.aggregate("forecast_raw", F.lit(0.0), lambda acc, v: acc + v) / F.size("forecast_raw"))
-    o = P.with_state(o, inv="inventory", demand="demand_7d_avg_raw", risk="risk_score", anomaly="is_anomaly",
-                     days="days_to_delivery")
+    return P.with_state(o, inv="inventory", demand="demand_7d_avg_raw", risk="risk_score", anomaly="is_anomaly",
+                        days="days_to_delivery")
+
+
+def decisions(spark, sf_dir, inputs: dict | None = None) -> DataFrame:
+    """The chain over ``inputs['orders']`` (batch or stream).  ``inputs['risk_scorer']``, when
+    given, maps the orders to orders with an integer ``prediction`` column (a learned model);
+    otherwise the class shares per shipping mode decide."""
+    x = inputs or decision_inputs(spark, sf_dir)
+    o = order_states(x)
     # every possible state (the bins fix 1440): no distinct over the orders, and usable from a stream
     states = spark.range(P.N_STATES).select(F.col("id").cast("int").alias("state"))
     best = P.best_action(P.q_full(x["q"], states))
@@ -113,12 +125,12 @@ def decisions(spark, sf_dir, inputs: dict | None = None) -> DataFrame:
 
 
 DECISION_COLS = ["order_id", "line_no", "department", "demand_forecast_7d", "demand_7d_avg", "risk_level",
-                 "risk_score", "is_anomaly", "anomaly_score", "state", "action_id", "action", "q_value",
+                 "risk_score", "is_anomaly", "anomaly_score", "state", "trained", "action_id", "action", "q_value",
                  "confidence", "route_cost", "path_names", "is_emergency", "route_type", "trigger"]
 
 
 def _decision_out(d):
-    return d.select(*[F.round(c, 3).alias(c) if c == "q_value" else
+    return d.select(*[round_half_up(c, 3).alias(c) if c == "q_value" else
                       F.round(c, 4).alias(c) if c == "confidence" else F.col(c) for c in DECISION_COLS])
 
 
@@ -155,42 +167,56 @@ d3 AS (SELECT d2.*, LEAST(GREATEST(order_value / GREATEST(auv.auv, 1.0), 0.5), 1
   FROM d2, auv, base),
 d4 AS (SELECT *, list_transform(base, lambda v: GREATEST(v * mult, 0.0)) AS fc FROM d3),
 d5 AS (SELECT *, list_reduce(fc, lambda a, b: a + b) / len(fc) AS demand_raw FROM d4),
-d6 AS (SELECT *, """ + sql_state("inventory", "demand_raw", "risk_score", "is_anomaly", "days_to_delivery")
+d6 AS MATERIALIZED (SELECT *, """ + sql_state("inventory", "demand_raw", "risk_score", "is_anomaly", "days_to_delivery")
              + """ AS state FROM d5)""", SERIES_STATES_CTES, TRANSITIONS_CTES, """
-oq AS (SELECT d.state, a.action_id, a.action, COALESCE(q2.q, 0.0) AS q FROM (SELECT DISTINCT state FROM d6) d
-  CROSS JOIN actions_t a LEFT JOIN q2 ON q2.state = d.state AND q2.action_id = a.action_id),
+dch AS (SELECT department, order_date, (LEAD(demand7, 1) OVER (PARTITION BY department ORDER BY order_date) - demand7)
+  / CAST(7.0 AS DOUBLE) AS change FROM ss),
+d6n AS (SELECT d6.*, l.lead_days, GREATEST(demand_raw + COALESCE(c.change, CAST(0.0 AS DOUBLE)), CAST(0.0 AS DOUBLE)) AS n_demand,
+  risk_score AS n_risk, is_anomaly AS n_anomaly FROM d6 LEFT JOIN dch c USING (department, order_date)
+  LEFT JOIN lead_d l USING (department))""", sql_steps("d6n", "demand_raw", "risk_score", "is_anomaly", "days_to_delivery", "oc"),
+             sql_sweeps("oc", 2, "p"), """
+oq AS (SELECT d.state, a.action_id, a.action, p2.q IS NOT NULL AS seen, COALESCE(p2.q, 0.0) AS q
+  FROM (SELECT DISTINCT state FROM d6) d
+  CROSS JOIN actions_t a LEFT JOIN p2 ON p2.state = d.state AND p2.action_id = a.action_id),
 oqr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY state ORDER BY ROUND(q, 6) DESC, action_id) AS rank FROM oq),
 obest AS (SELECT b.state, b.action_id, b.action, b.q AS q_value,
+  (SELECT BOOL_OR(x.seen) FROM oq x WHERE x.state = b.state) AS trained,
   1.0 / (SELECT SUM(EXP(x.q - (SELECT MAX(y.q) FROM oq y WHERE y.state = b.state))) FROM oq x WHERE x.state = b.state)
   AS confidence FROM oqr b WHERE rank = 1)""", NODES_SQL, LANES_SQL, EDGES_SQL, sql_relaxation(ROUNDS), """
 rr AS (SELECT q.start, q.goal, b.path, b.cents FROM reqs q LEFT JOIN rbest b ON b.start = q.start AND b.node = q.goal),
 rpn AS (SELECT start, goal, list(name ORDER BY pos) AS path_names FROM (
   SELECT rr.start, rr.goal, u.pos, n.name FROM rr, unnest(rr.path) WITH ORDINALITY AS u(node_id, pos)
   JOIN nodes n ON n.node_id = u.node_id) GROUP BY 1, 2),
-d7 AS (SELECT d6.*, ob.action_id, ob.action, ob.q_value, ob.confidence, rr.cents / 100.0 AS route_cost,
+d7 AS (SELECT d6.*, ob.action_id, ob.action, ob.q_value, ob.trained, ob.confidence, rr.cents / 100.0 AS route_cost,
   COALESCE(rpn.path_names, []) AS path_names
   FROM d6 LEFT JOIN obest ob USING (state)
   LEFT JOIN rr ON rr.start = d6.supplier_nation AND rr.goal = d6.customer_nation
   LEFT JOIN rpn ON rpn.start = d6.supplier_nation AND rpn.goal = d6.customer_nation),
 dec AS (SELECT *, (action = 'EMERGENCY_REORDER' OR risk_score > 0.8 OR is_anomaly = 1) AS is_emergency FROM d7),
-decf AS (SELECT *, CASE WHEN is_emergency THEN 'EMERGENCY (A*)' ELSE 'STANDARD (A*)' END AS route_type,
-  CASE WHEN NOT is_emergency THEN 'Normal operations - A* shortest-path routing'
-       WHEN action = 'EMERGENCY_REORDER' THEN 'RL agent: EMERGENCY_REORDER'
-       WHEN is_anomaly = 1 THEN 'Isolation Forest: supplier anomaly detected'
-       ELSE format('Random Forest: risk score {} > 0.8', CAST(risk_score AS VARCHAR)) END AS trigger,
+decf AS (SELECT *, CASE WHEN is_emergency THEN 'EMERGENCY' ELSE 'STANDARD' END AS route_type,
+  CASE WHEN NOT is_emergency THEN 'None: least-cost route'
+       WHEN action = 'EMERGENCY_REORDER' THEN 'Reorder policy: EMERGENCY_REORDER'
+       WHEN is_anomaly = 1 THEN 'Supplier statistics: department flagged as unusual'
+       ELSE format('Delay risk: score {} > 0.8', CAST(risk_score AS VARCHAR)) END AS trigger,
   list_transform(fc, lambda v: FLOOR(v * 100.0 + 0.5) / 100.0) AS demand_forecast_7d, FLOOR(demand_raw * 100.0 + 0.5) / 100.0 AS demand_7d_avg FROM dec)"""]
 
 DECISIONS_SQL = with_order_lines(*_DEC_CTES)
 
 
 @query("order_decisions", DECISIONS_SQL + """SELECT order_id, line_no, department, demand_forecast_7d, demand_7d_avg,
-  risk_level, risk_score, is_anomaly, anomaly_score, state, action_id, action, ROUND(q_value, 3) AS q_value,
+  risk_level, risk_score, is_anomaly, anomaly_score, state, trained, action_id, action, FLOOR(q_value * 1000.0 + 0.5) / 1000.0 AS q_value,
   ROUND(confidence, 4) AS confidence, route_cost, path_names, is_emergency, route_type, trigger FROM decf""")
 def order_decisions(spark, sf_dir):
     """One decision row per order line (forecast, risk, anomaly, action, route)."""
     return _decision_out(decisions(spark, sf_dir))
 
 
+@query("decision_coverage", DECISIONS_SQL + "SELECT action, trained, COUNT(*) AS n_lines FROM decf GROUP BY 1, 2")
+def decision_coverage(spark, sf_dir):
+    """Order lines by chosen action and by whether their state was trained."""
+    return decisions(spark, sf_dir).groupBy("action", "trained").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query("risk_score", with_order_lines(*_DEC_CTES[:6], """
 d0 AS (SELECT k.*, COALESCE(s.p_0, 0.0) AS p_0, COALESCE(s.p_1, 0.0) AS p_1, COALESCE(s.p_2, 0.0) AS p_2
   FROM rk k LEFT JOIN shares s USING (shipping_mode)),
@@ -244,11 +270,11 @@ def route_trigger(spark, sf_dir):
 
 
 @query("decision_summary", DECISIONS_SQL + """SELECT order_id, line_no,
-  format('XGBoost 7-day avg: {:.1f} units', ROUND(demand_raw, 1)) AS step_1_demand,
-  format('Random Forest: {} (score {})', risk_level, CAST(risk_score AS VARCHAR)) AS step_2_risk,
-  format('Isolation Forest: {} (score {})', CASE WHEN is_anomaly = 1 THEN 'ANOMALY' ELSE 'Normal' END,
-         COALESCE(CAST(anomaly_score AS VARCHAR), 'None')) AS step_3_anomaly,
-  'Q-Learning: ' || action AS step_4_rl,
+  format('Demand, mean of 7 forecast days: {:.1f}', ROUND(demand_raw, 1)) AS step_1_demand,
+  format('Delay class {}, score {}', risk_level, CAST(risk_score AS VARCHAR)) AS step_2_risk,
+  format('Supplier {}, score {}', CASE WHEN is_anomaly = 1 THEN 'unusual' ELSE 'usual' END,
+         COALESCE(CAST(anomaly_score AS VARCHAR), 'unknown')) AS step_3_anomaly,
+  'Reorder policy: ' || action AS step_4_rl,
   route_type || ': ' || array_to_string(path_names, ' → ') AS step_5_route FROM decf""")
 def decision_summary(spark, sf_dir):
     """The five summary sentences per order line."""
@@ -257,16 +283,9 @@ def decision_summary(spark, sf_dir):
                     "step_5_route")
 
 
-@query("audit_brief", DECISIONS_SQL + """SELECT order_id, line_no, format('Here is the current supply-chain decision snapshot to audit:
-- Projected 7-day demand (avg/day): {} units
-- Delivery risk level: {}
-- Supplier irregularity: {}
-- Recommended inventory action: {}
-- Fulfilment mode: {} ({})
-
-Write the executive audit summary now.', CAST(demand_7d_avg AS VARCHAR), risk_level,
-  CASE WHEN is_anomaly = 1 THEN 'detected' ELSE 'none detected' END, action, route_type,
-  CASE WHEN is_emergency THEN 'emergency' ELSE 'standard' END) AS brief FROM decf""")
+@query("audit_brief", DECISIONS_SQL + """SELECT order_id, line_no, format('Decision to review. Expected demand per day over the next week: {}. Delay class: {}. Supplier: {}. Stock action: {}. Route: {}, handled as {}.',
+  CAST(demand_7d_avg AS VARCHAR), risk_level, CASE WHEN is_anomaly = 1 THEN 'flagged' ELSE 'not flagged' END, action, route_type,
+  CASE WHEN is_emergency THEN 'urgent' ELSE 'routine' END) AS brief FROM decf""")
 def audit_brief(spark, sf_dir):
     """The audit brief text per order line."""
     d = decisions(spark, sf_dir)
@@ -295,13 +314,25 @@ def history_rows(spark, sf_dir):
 def decision_json(spark, sf_dir):
     """Each decision as a nested record serialised to JSON (rows check: JSON number text differs by engine)."""
     d = decisions(spark, sf_dir)
+    reward = P.reward_parts(F.col("inventory").cast("double"), F.col("demand_7d_avg_raw"), F.col("action_id"), F.col("is_anomaly"))
+    parts = {c: reward[c] for c in P.COMPONENTS}
+    d = DC.summary_lines(d)
     rec = F.struct(
         F.col("demand_forecast_7d"), F.col("demand_7d_avg"), F.col("risk_level"), F.col("risk_score"),
+        F.struct(*[F.col(f"p_{i}").alias(n) for i, n in enumerate(DC.RISK_LABELS)]).alias("risk_probabilities"),
         F.struct((F.col("is_anomaly") == 1).alias("is_anomaly"), F.col("anomaly_score").alias("score")).alias("anomaly"),
-        F.struct("action", "action_id", F.round("q_value", 3).alias("q_value"),
-                 F.round("confidence", 4).alias("confidence")).alias("rl_action"),
+        F.struct("action", "action_id", round_half_up("q_value", 3).alias("q_value"),
+                 F.round("confidence", 4).alias("confidence"), "q_values", "trained",
+                 F.struct(F.struct(*[v.alias(c) for c, v in parts.items()]).alias("components"),
+                          P.total_reward(parts).alias("total"),
+                          reward["projected_inventory"].alias("projected_inventory")).alias("reward_breakdown"),
+                 ).alias("rl_action"),
         F.struct("path_names", F.col("route_cost").alias("total_cost"), "route_type", "trigger").alias("route"),
-        F.col("is_emergency"))
+        F.col("is_emergency"),
+        F.struct("step_1_demand", "step_2_risk", "step_3_anomaly", "step_4_rl", "step_5_route").alias("pipeline_summary"),
+        F.struct("inventory", "days_to_delivery", F.col("supplier_nation").alias("start_node"),
+                 F.col("customer_nation").alias("goal_node"), "order_value", "discount_rate", "quantity")
+        .alias("current_state"))
     return d.select("order_id", "line_no", F.to_json(rec).alias("decision"))
 
 

@@ -171,13 +171,12 @@ def order_decisions_learned(spark, sf_dir):
     """J4 with learned models: recursive boosted-tree forecast as the base, random-forest delay class,
     isolation-forest department flags and 20-sweep fitted Q values (rows check)."""
     from tidewater.plans import decision_plans as DP
-    from tidewater.plans.policy_plans import _q
-    x = DP.decision_inputs(spark, sf_dir)
+    x = DP.decision_inputs(spark, sf_dir, policy_sweeps=None)
     # forecast: 7 recursive steps of the global series
     model = _demand_model(spark, sf_dir)
     ol = order_lines(spark, sf_dir, ["order_date", "quantity"])
     fc = ML.recursive_forecast(model, ML.history_state(D.spine(D.daily_demand(ol))), horizon=7)
-    x["base_fc"] = fc.agg(F.array_sort(F.collect_list(F.struct("step", "forecast")))).scalar()
+    x["base_fc"] = DP.base_forecast(fc)
     # risk: the forest on the 13 order-time features, trained on the train split
     _, rf = _risk_scored(spark, sf_dir)
 
@@ -191,5 +190,5 @@ def order_decisions_learned(spark, sf_dir):
     nodes, psi = IF.fit(st, SUPPLIER_FEATURES)
     scored, _ = IF.score(st, nodes, SUPPLIER_FEATURES, psi)
     x["flags"] = scored.select("department", "anomaly_score", "is_anomaly")
-    x["q"] = _q(spark, sf_dir, 20)
+    x["q"] = DP.order_policy(x, 20)
     return DP._decision_out(DP.decisions(spark, sf_dir, x))

@@ -40,19 +40,17 @@ def lane_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.sum("quantity").alias("volume"), F.avg("tax").alias("avg_tax")))
 
 
-def net_edges(spark: SparkSession, sf_dir: str, per_source: int = 3) -> DataFrame:
-    """Top ``per_source`` lanes by volume per source (ties by target), with distance and mode.
+def net_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every observed lane (at most nations x nations), with distance and mode.
 
     Distance and traffic are kept to 6 decimals so that every engine starts
     the weight arithmetic from the same doubles.
     """
     lanes = lane_volumes(spark, sf_dir)
-    w = Window.partitionBy("source").orderBy(F.desc("volume"), "target")
-    top = lanes.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= per_source)
     nodes = net_nodes(spark, sf_dir)
     a = nodes.select(F.col("node_id").alias("source"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = nodes.select(F.col("node_id").alias("target"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    e = top.join(F.broadcast(a), "source").join(F.broadcast(b), "target")
+    e = lanes.join(F.broadcast(a), "source").join(F.broadcast(b), "target")
     mode = F.when(F.pmod(F.col("source") + F.col("target"), F.lit(7)) == 0, "air").otherwise("ground")
     return e.select(
         "source", "target",
