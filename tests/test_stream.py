@@ -40,3 +40,12 @@ def test_redelivered_rows_dropped(spark):
     schema = spark.read.parquet(path).schema
     d = LV.dedup_stream(spark, path, schema)
     assert d.count() == 10 and d.select(F.count_distinct("event_id")).first()[0] == 10
+
+
+def test_replayed_batch_leaves_no_copies(spark):
+    sink = scratch_path(spark, "test-replay")
+    write = LV.write_batch(sink)
+    batch = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
+    for batch_id in (0, 1, 1, 0):
+        write(batch, batch_id)
+    assert spark.read.parquet(sink).count() == 4

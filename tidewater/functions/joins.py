@@ -25,7 +25,3 @@ def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFra
     n = side.count()
     return F.broadcast(side) if n <= max_rows else side
 
-
-def fixed_side(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose size the schema fixes (actions, bins, presets, Q table)."""
-    return F.broadcast(df)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.quantiles import quantiles
+
 
 def _stack(df: DataFrame, pairs: list[tuple[str, str]], key: str, value: str) -> DataFrame:
     args = ", ".join(f"'{k}', `{v}`" for k, v in pairs)
@@ -34,19 +36,12 @@ def null_counts(df: DataFrame, only_positive: bool = True) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """L4: count, mean, sample std, min, quartiles (linear interpolation), max per column.
-
-    Quartiles use Spark's exact ``percentile``; its buffer is one entry per
-    distinct value, so keep it to columns of bounded cardinality on very
-    large inputs (``percentile_approx`` is the bounded-memory alternative).
-    """
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        q = F.percentile(x, [0.25, 0.5, 0.75])
-        aggs.append(F.struct(
-            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"),
-            F.max(x).alias("max")).alias(c))
-    one = df.agg(*aggs)
-    return _stack(one, [(c, c) for c in columns], "col_name", "s").select("col_name", "s.*")
+    """L4: count, mean, sample std, min, quartiles (linear interpolation, exact), max per column."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("col_name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")).select("s.*")
+    stats = stacked.groupBy("col_name").agg(F.count("x").alias("count"), F.avg("x").alias("mean"),
+                                            F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = quantiles(stacked, "col_name", "x", [0.25, 0.5, 0.75])
+    return stats.join(F.broadcast(q), "col_name", "left").select(   # a row a column
+        "col_name", "count", "mean", "std", "min", F.get("q", 0).alias("p25"), F.get("q", 1).alias("p50"),
+        F.get("q", 2).alias("p75"), "max")

@@ -2,9 +2,8 @@
 
 Forecast metrics work per series in one grouped job.  Classification
 metrics are built from the confusion counts; AUC is the rank-sum statistic
-computed from (class, score) counts with cumulative sums over distinct
-scores, so no row-level sort of the scored table is ever needed.  Scores are
-taken at 4 decimals, which bounds the distinct values per class to 10,001.
+computed from (class, score) counts of the exact scores, ranked range by
+range (``quantiles``), so no class meets in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.quantiles import before, bucketed_counts
+
 N_CLASSES = 3
 
 
@@ -67,13 +68,12 @@ def confusion_matrix(scored: DataFrame, label: str = "label", prediction: str =
 def classification_report(scored: DataFrame, label: str = "label", prediction: str = "prediction",
                           n_classes: int = N_CLASSES) -> DataFrame:
     """Accuracy and macro precision/recall/F1 over the classes seen; undefined ratios -> 0."""
-    per = scored.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("k"), label, prediction)
-    c = per.groupBy("k").agg(
-        F.count_if((F.col(label) == F.col("k")) & (F.col(prediction) == F.col("k"))).alias("tp"),
-        F.count_if(F.col(prediction) == F.col("k")).alias("npred"),
-        F.count_if(F.col(label) == F.col("k")).alias("ntrue"),
-    ).where((F.col("npred") > 0) | (F.col("ntrue") > 0))
+    pairs = scored.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))   # at most classes x classes rows
+    per = pairs.select(F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("k"), label, prediction, "n")
+    is_true, is_pred = F.col(label) == F.col("k"), F.col(prediction) == F.col("k")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    c = per.groupBy("k").agg(total(is_true & is_pred).alias("tp"), total(is_pred).alias("npred"),
+                             total(is_true).alias("ntrue")).where((F.col("npred") > 0) | (F.col("ntrue") > 0))
     p = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
     r = F.when(F.col("ntrue") > 0, F.col("tp") / F.col("ntrue")).otherwise(0.0)
     c = c.select("tp", "ntrue", p.alias("p"), r.alias("r"))
@@ -94,13 +94,11 @@ def auc_ovr(scored: DataFrame, label: str = "label", prob_cols: list[str] | None
     """
     prob_cols = prob_cols or [f"p_{k}" for k in range(N_CLASSES)]
     stacked = scored.select(label, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.round(F.col(c), 4).alias("score"))
+        F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("score"))
         for k, c in enumerate(prob_cols)])).alias("s")).select(label, "s.k", "s.score")
-    cnt = stacked.groupBy("k", "score").agg(
-        F.count_if(F.col(label) == F.col("k")).alias("pos"),
-        F.count_if(F.col(label) != F.col("k")).alias("neg"))
-    w = Window.partitionBy("k").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    cnt = cnt.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    cnt = bucketed_counts(stacked, ["k"], "score", [F.count_if(F.col(label) == F.col("k")).alias("pos"),
+                                                    F.count_if(F.col(label) != F.col("k")).alias("neg")])
+    cnt = before(cnt, ["k"], "score", "neg", "neg_below")
     per = cnt.groupBy("k").agg(
         (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
          / (F.sum("pos") * F.sum("neg"))).alias("auc"))

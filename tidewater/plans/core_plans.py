@@ -15,7 +15,7 @@ from tidewater.plans.demand_plans import NOT_NULL_SQL, sql_features, sql_spine
 from tidewater.plans.oracle_base import with_order_lines
 from tidewater.plans.registry import query, round_doubles
 from tidewater.sources import raw as RAW
-from tidewater.sources.tables import order_lines
+from tidewater.sources.tables import ORDER_LINE_COLUMNS, order_lines
 
 CLEAN_COLS = ["order_id", "line_no", "order_date", "shipping_date", "quantity", "product_id",
               "product_name", "late_risk", "actual_days", "scheduled_days", "shipping_mode",
@@ -349,15 +349,16 @@ def forecast_metrics_by_product(spark, sf_dir):
 
 
 # ------------------------------------------------------------------- L1-L4
-_EDA_COLS = ["quantity", "discount_rate", "order_value", "actual_days", "scheduled_days", "late_risk",
-             "inventory"]
+_EDA_COLS = ["order_id", "line_no", "product_id", "supplier_id", "quantity", "discount_rate", "order_value", "tax",
+             "inventory", "customer_id", "scheduled_days", "actual_days", "late_risk", "days_to_delivery",
+             "supplier_nation", "customer_nation"]  # every numeric column of the view
 
 
-@query("eda_range", with_order_lines() + """SELECT COUNT(*) AS n_rows, 5 AS n_columns,
+@query("eda_range", with_order_lines() + """SELECT COUNT(*) AS n_rows, 29 AS n_columns,
   MIN(order_date) AS first_date, MAX(order_date) AS last_date FROM order_lines""")
 def eda_range(spark, sf_dir):
-    ol = order_lines(spark, sf_dir, ["order_id", "line_no", "order_date", "quantity", "late_risk"])
-    return E.date_range(ol)
+    """L1 over the whole view."""
+    return E.date_range(order_lines(spark, sf_dir))
 
 
 @query("eda_value_counts", with_order_lines() + """SELECT 'late_risk' AS col_name, CAST(late_risk AS VARCHAR)
@@ -367,17 +368,19 @@ def eda_value_counts(spark, sf_dir):
     return E.value_counts(order_lines(spark, sf_dir, ["late_risk", "shipping_mode"]), ["late_risk", "shipping_mode"])
 
 
+_NULL_COLS = [*ORDER_LINE_COLUMNS, "quality", "toxic"]
+
+
 @query("eda_nulls", with_order_lines("""
-j AS (SELECT o.order_id, o.department, l.quality FROM order_lines o LEFT JOIN labels l ON l.doc_id = o.order_id)""")
-       + """SELECT col_name, nulls FROM (SELECT 'order_id' AS col_name, COUNT(*) FILTER (WHERE order_id IS NULL) AS nulls
-  FROM j UNION ALL SELECT 'department', COUNT(*) FILTER (WHERE department IS NULL) FROM j UNION ALL
-  SELECT 'quality', COUNT(*) FILTER (WHERE quality IS NULL) FROM j) WHERE nulls > 0""")
+j AS (SELECT o.*, l.quality, l.toxic FROM order_lines o LEFT JOIN labels l ON l.doc_id = o.order_id)""")
+       + "SELECT * FROM (" + " UNION ALL ".join(
+           f"SELECT '{c}' AS col_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls FROM j" for c in _NULL_COLS)
+       + ") WHERE nulls > 0")
 def eda_nulls(spark, sf_dir):
-    """L3 on order lines left-joined with the sparse ``labels`` table, so some columns hold nulls."""
+    """L3 over every column of the view and of the sparse ``labels`` table left-joined to it, so that some hold nulls."""
     from tidewater.sources.tables import read_table
-    ol = order_lines(spark, sf_dir, ["order_id", "department"])
-    lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("order_id"), "quality")
-    return E.null_counts(ol.join(lab, on="order_id", how="left").select("order_id", "department", "quality"))
+    lab = read_table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "order_id")
+    return E.null_counts(order_lines(spark, sf_dir).join(lab, "order_id", "left").select(*_NULL_COLS))
 
 
 @query("eda_describe", with_order_lines() + " UNION ALL ".join(

@@ -38,7 +38,8 @@ from tidewater.sources.tables import order_lines, read_table
 
 DECISION_IN = ["order_id", "line_no", "order_date", "quantity", "order_value", "discount_rate", "inventory",
                "days_to_delivery", "shipping_mode", "actual_days", "scheduled_days", "late_risk", "department",
-               "supplier_nation", "customer_nation", "city", "country", "product_id"]
+               "supplier_nation", "customer_nation", "city", "country", "product_id", "market", "order_region", "category",
+               "customer_segment", "order_type"]
 
 
 # ----------------------------------------------------------------- Spark side
@@ -368,25 +369,33 @@ def chat_context(spark, sf_dir):
     return DC.chat_context(read_table(spark, sf_dir, "conversations"))
 
 
-@query("requests_defaulted", with_order_lines() + """SELECT order_id, line_no,
-  COALESCE(CAST(inventory AS DOUBLE), 120.0) AS inventory, COALESCE(CAST(days_to_delivery AS DOUBLE), 5.0) AS days_to_delivery,
-  COALESCE(CAST(supplier_nation AS INTEGER), 0) AS start_node, COALESCE(CAST(customer_nation AS INTEGER), 6) AS goal_node,
-  COALESCE(quantity, 1.0) AS order_quantity, COALESCE(ROUND(order_value, 4), 500.0) AS order_value,
-  COALESCE(discount_rate, 0.1) AS discount_rate FROM order_lines""")
+_DEFAULTED = list(DC.REQUEST_DEFAULTS)
+_ABSENT_SQL = ", ".join(f"CAST({DC.REQUEST_DEFAULTS[c]} AS DOUBLE) AS {c}" for c in
+                        ("supplier_delay_rate", "avg_delivery_time", "price_deviation", "fulfillment_rate",
+                         "complaint_freq", "avg_order_value_per_unit"))
+
+
+@query("requests_defaulted", with_order_lines() + f"""SELECT order_id, line_no,
+  CASE WHEN order_id % 3 = 0 THEN 120.0 ELSE CAST(inventory AS DOUBLE) END AS inventory,
+  CASE WHEN order_id % 5 = 0 THEN 5.0 ELSE CAST(days_to_delivery AS DOUBLE) END AS days_to_delivery,
+  CASE WHEN line_no = 1 THEN 0 ELSE CAST(supplier_nation AS INTEGER) END AS start_node,
+  CASE WHEN line_no = 2 THEN 6 ELSE CAST(customer_nation AS INTEGER) END AS goal_node,
+  CASE WHEN order_id % 7 = 0 THEN 1.0 ELSE quantity END AS order_quantity,
+  CASE WHEN order_id % 11 = 0 THEN 500.0 ELSE ROUND(order_value, 4) END AS order_value,
+  CASE WHEN line_no = 3 THEN 0.1 ELSE discount_rate END AS discount_rate, {_ABSENT_SQL} FROM order_lines""")
 def requests_defaulted(spark, sf_dir):
-    """Order lines as pipeline requests, absent fields defaulted."""
+    """Order lines as pipeline requests, some fields left null by rule and six absent; all 13 come out filled."""
     ol = order_lines(spark, sf_dir, ["order_id", "line_no", "inventory", "days_to_delivery", "supplier_nation",
                                      "customer_nation", "quantity", "order_value", "discount_rate"])
-    req = ol.select("order_id", "line_no", F.col("inventory").cast("double").alias("inventory"),
-                    F.col("days_to_delivery").cast("double").alias("days_to_delivery"),
-                    F.col("supplier_nation").cast("int").alias("start_node"),
-                    F.col("customer_nation").cast("int").alias("goal_node"),
-                    F.col("quantity").alias("order_quantity"), F.round("order_value", 4).alias("order_value"),
-                    "discount_rate")
-    keep = ["inventory", "days_to_delivery", "start_node", "goal_node", "order_quantity", "order_value",
-            "discount_rate"]
-    out = DC.apply_defaults(req, {k: v for k, v in DC.REQUEST_DEFAULTS.items() if k in keep})
-    return out.select("order_id", "line_no", *keep)
+    oid, line = F.col("order_id"), F.col("line_no")
+    req = ol.select("order_id", "line_no", F.when(oid % 3 != 0, F.col("inventory").cast("double")).alias("inventory"),
+                    F.when(oid % 5 != 0, F.col("days_to_delivery").cast("double")).alias("days_to_delivery"),
+                    F.when(line != 1, F.col("supplier_nation").cast("int")).alias("start_node"),
+                    F.when(line != 2, F.col("customer_nation").cast("int")).alias("goal_node"),
+                    F.when(oid % 7 != 0, F.col("quantity")).alias("order_quantity"),
+                    F.when(oid % 11 != 0, F.round("order_value", 4)).alias("order_value"),
+                    F.when(line != 3, F.col("discount_rate")).alias("discount_rate"))
+    return DC.apply_defaults(req).select("order_id", "line_no", *_DEFAULTED)
 
 
 _FORM_SQL = """

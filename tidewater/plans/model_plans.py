@@ -59,9 +59,20 @@ def forecast_gbt(spark, sf_dir):
     return round_doubles(ML.recursive_forecast(model, state, by, horizon=7))
 
 
+def _risk_features(orders, train):
+    """The model columns of ``orders``; department rates and label codes come from the training rows alone."""
+    return R.with_label_codes(R.with_delay_rate(orders, rates_from=train), codes_from=train)
+
+
+def _risk_train(spark, sf_dir):
+    """All order lines with the split, and the training rows the rates and codes are taken from."""
+    base = R.stratified_split(R.delay_columns(order_lines(spark, sf_dir, _RISK_IN)), ["order_id", "line_no"])
+    return base, base.where(~F.col("is_test"))
+
+
 def _risk_split(spark, sf_dir):
-    base = R.with_label_codes(R.with_delay_rate(R.delay_columns(order_lines(spark, sf_dir, _RISK_IN))))
-    return R.stratified_split(base, ["order_id", "line_no"])
+    base, train = _risk_train(spark, sf_dir)
+    return _risk_features(base, train)
 
 
 def _risk_scored(spark, sf_dir):
@@ -85,7 +96,7 @@ def model_classification_report(spark, sf_dir):
     s = scored.withColumnRenamed("risk_class", "label").cache()
     rep = M.classification_report(s)
     auc = M.macro_auc(M.auc_ovr(s))
-    return round_doubles(rep.join(auc))
+    return round_doubles(rep.withColumn("auc_macro", auc.scalar()))
 
 
 @query("risk_importances")
@@ -180,9 +191,10 @@ def order_decisions_learned(spark, sf_dir):
     # risk: the forest on the 13 order-time features, trained on the train split
     _, rf = _risk_scored(spark, sf_dir)
 
+    _, train = _risk_train(spark, sf_dir)
+
     def scorer(orders):
-        feats = R.with_label_codes(R.with_delay_rate(orders))
-        return ML.score_risk(rf, feats)
+        return ML.score_risk(rf, _risk_features(orders, train))
 
     x["risk_scorer"] = scorer
     # anomaly: the isolation forest on department statistics

@@ -110,10 +110,11 @@ def adjacency(spark, sf_dir):
     return RT.adjacency(_weighted(spark, sf_dir))
 
 
-@query("route_costs", ROUTE_SQL + "SELECT start, node, cents / 100.0 AS cost, hops, path FROM rbest")
+@query("route_costs", ROUTE_SQL + """SELECT start, node, cents / 100.0 AS cost, hops, path FROM rbest
+WHERE (start, node) IN (SELECT start, goal FROM reqs)""")
 def route_costs(spark, sf_dir):
-    """I4: least-cost paths from every requested start to every reachable node."""
-    b = _best(spark, sf_dir)
+    """I4: least-cost path of every requested (start, goal) pair."""
+    b = _best(spark, sf_dir).join(FX.route_requests(spark, sf_dir).withColumnRenamed("goal", "node"), ["start", "node"])
     return b.select("start", "node", (F.col("cents") / 100.0).alias("cost"), "hops", "path")
 
 

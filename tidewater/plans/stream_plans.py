@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidewater.operators import risk as R
 from tidewater.plans import decision_plans as DP
 from tidewater.plans.registry import query, round_doubles
-from tidewater.session import scratch_path
 from tidewater.sources.tables import order_lines, read_table
 from tidewater.streaming import live as LV
 
@@ -15,20 +14,9 @@ _DAILY_SQL = """SELECT CAST(ts AS DATE) AS day, ROUND(SUM(value), 4) AS demand F
 WHERE event_type = 'purchase' GROUP BY 1"""
 
 
-def _event_chunks(spark, sf_dir, days_per_chunk=3, copies=1):
-    """The events table as files arriving in time order (each chunk written ``copies`` times)."""
-    ev = read_table(spark, sf_dir, "events")
-    bounds = ev.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi")).first()
-    path = scratch_path(spark, "event-files")
-    day = bounds["lo"]
-    import datetime as dt
-    while day <= bounds["hi"]:
-        end = day + dt.timedelta(days=days_per_chunk)
-        chunk = ev.where((F.to_date("ts") >= F.lit(day)) & (F.to_date("ts") < F.lit(end))).coalesce(1)
-        for _ in range(copies):
-            chunk.write.mode("append").parquet(path)
-        day = end
-    return path, ev.schema
+def _events(spark, sf_dir):
+    """Place and schema of the events table, read in place by the streams."""
+    return f"{sf_dir}/events.parquet", read_table(spark, sf_dir, "events").schema
 
 
 @query("event_daily_demand", _DAILY_SQL)
@@ -40,36 +28,37 @@ def event_daily_demand(spark, sf_dir):
 @query("event_daily_demand_stream", _DAILY_SQL)
 def event_daily_demand_stream(spark, sf_dir):
     """K2: the same totals from a watermarked one-day window over the arriving event files."""
-    path, schema = _event_chunks(spark, sf_dir)
+    path, schema = _events(spark, sf_dir)
     return round_doubles(LV.daily_demand_stream(spark, path, schema))
 
 
 @query("stream_dedup_events", """SELECT event_type, COUNT(*) AS n_events, ROUND(SUM(value), 4) AS total_value
 FROM events GROUP BY 1""")
 def stream_dedup_events(spark, sf_dir):
-    """K4: every event file is delivered twice; dropping redeliveries leaves each event once."""
-    path, schema = _event_chunks(spark, sf_dir, copies=2)
-    d = LV.dedup_stream(spark, path, schema)
+    """K4: every event is delivered twice; dropping redeliveries leaves each event once."""
+    path, schema = _events(spark, sf_dir)
+    d = LV.dedup_stream(spark, path, schema, deliveries=2)
     return round_doubles(d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"),
                                                      F.sum("value").alias("total_value")))
 
 
 def _live(spark, sf_dir):
     x = DP.decision_inputs(spark, sf_dir)
-    src_df = order_lines(spark, sf_dir, DP.DECISION_IN)
-    path = LV.write_as_files(src_df, 6, "order-line-files")
+    place = f"{sf_dir}/lineitem.parquet"
+    lines = order_lines(spark, sf_dir, DP.DECISION_IN,
+                        lineitem=LV.arriving(spark, place, read_table(spark, sf_dir, "lineitem").schema))
 
     def decide(stream):
         y = dict(x)
         y["orders"] = R.delay_columns(stream)
         return DP.decisions(spark, sf_dir, y)
 
-    return LV.live_decisions(spark, path, src_df.schema, decide)
+    return LV.live_decisions(spark, lines, decide)
 
 
 @query("live_order_decisions", DP.DECISIONS_SQL + """SELECT order_id, line_no, department, demand_forecast_7d,
-  demand_7d_avg, risk_level, risk_score, is_anomaly, anomaly_score, state, action_id, action,
-  ROUND(q_value, 3) AS q_value, ROUND(confidence, 4) AS confidence, route_cost, path_names, is_emergency,
+  demand_7d_avg, risk_level, risk_score, is_anomaly, anomaly_score, state, trained, action_id, action,
+  FLOOR(q_value * 1000.0 + 0.5) / 1000.0 AS q_value, ROUND(confidence, 4) AS confidence, route_cost, path_names, is_emergency,
   route_type, trigger FROM decf""")
 def live_order_decisions(spark, sf_dir):
     """K1: order lines arriving as files, decided by stream-static joins; equals the batch decisions."""

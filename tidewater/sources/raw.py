@@ -4,7 +4,8 @@
 (readable headers, some with trailing blanks; dates as ``M/d/yyyy H:mm``
 text).  It only changes names and formats; the cleaning job does the work.
 ``write_raw_csv`` / ``scan_orders_csv`` round-trip it through latin-1 CSV in
-the shared checkpoint folder, read back with an explicit schema.
+the shared checkpoint folder.  The scan goes by the file's own header, in
+whatever order and with whatever extra columns it comes.
 """
 
 from __future__ import annotations
@@ -41,19 +42,34 @@ RAW_LAYOUT = [
     ("Shipping Mode", "shipping_mode", StringType()),
 ]
 RAW_DATE_FORMAT = "M/d/yyyy H:mm"
+# --- fixed values: all headers of the export in their documented order
+RAW_HEADERS = [
+    "Type", "Days for shipping (real)     ", "Days for shipment (scheduled)", "Benefit per order",
+    "Sales per customer", "Delivery Status", "Late_delivery_risk           ", "Category Id", "Category Name",
+    "Customer City", "Customer Country", "Customer Email", "Customer Fname", "Customer Id", "Customer Lname",
+    "Customer Password", "Customer Segment", "Customer State", "Customer Street", "Customer Zipcode",
+    "Department Id", "Department Name", "Latitude", "Longitude", "Market", "Order City", "Order Country",
+    "Order Customer Id", "order date (DateOrders)", "Order Id", "Order Item Cardprod Id", "Order Item Discount",
+    "Order Item Discount Rate     ", "Order Item Id", "Order Item Product Price     ", "Order Item Profit Ratio",
+    "Order Item Quantity", "Sales", "Order Item Total  ", "Order Profit Per Order", "Order Region", "Order State",
+    "Order Status", "Product Card Id", "Product Category Id", "Product Description", "Product Image",
+    "Product Name", "Product Price", "Product Status", "Shipping date (DateOrders)   ", "Shipping Mode",
+]
 RAW_SOURCE_COLUMNS = [src for _, src, _ in RAW_LAYOUT if src] + ["order_date", "shipping_date"]
-RAW_SCHEMA = StructType([StructField(name, t, True) for name, _, t in RAW_LAYOUT])
+RAW_TYPES = {name.strip(): t for name, _, t in RAW_LAYOUT}
 
 
 def raw_orders_frame(order_lines: DataFrame) -> DataFrame:
+    """Order lines under all headers of the export; a header without a source column holds its own name."""
+    known = {name: src for name, src, _ in RAW_LAYOUT}
     cols = []
-    for name, src, _ in RAW_LAYOUT:
+    for name in RAW_HEADERS:
         if name.startswith("order date"):
             c = F.date_format(F.col("order_date").cast("timestamp_ntz"), RAW_DATE_FORMAT)
         elif name.startswith("Shipping date"):
             c = F.date_format(F.col("shipping_date"), RAW_DATE_FORMAT)
         else:
-            c = F.col(src)
+            c = F.col(known[name]) if name in known else F.lit(name.strip())
         cols.append(c.alias(name))
     return order_lines.select(*cols)
 
@@ -65,7 +81,12 @@ def write_raw_csv(raw: DataFrame, path: str | None = None) -> str:
     return path
 
 
-def scan_orders_csv(spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA) -> DataFrame:
-    """A1: header CSV, latin-1, explicit schema (no inference pass over the data)."""
-    return (spark.read.schema(schema).option("header", True).option("encoding", "ISO-8859-1")
-            .option("enforceSchema", True).csv(path))
+def scan_orders_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A1: header CSV, latin-1; types by header name, text for headers not known, no inference pass over the data.
+
+    The schema follows the header's own order, and files of one folder whose header differs are an error.
+    """
+    read = spark.read.option("header", True).option("encoding", "ISO-8859-1")
+    header = read.csv(path).columns
+    schema = StructType([StructField(c, RAW_TYPES.get(c.strip(), StringType()), True) for c in header])
+    return read.schema(schema).option("enforceSchema", False).csv(path)

@@ -88,8 +88,12 @@ ORDER_LINE_COLUMNS = [
 ]
 
 
-def order_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """The logical order-line table, joining only the dimensions ``columns`` need."""
+def order_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
+                lineitem: DataFrame | None = None) -> DataFrame:
+    """The logical order-line table, joining only the dimensions ``columns`` need.
+
+    ``lineitem`` replaces the table of that name, for example by a stream of it.
+    """
     specs = _column_specs()
     columns = list(columns) if columns else list(specs)
     unknown = [c for c in columns if c not in specs]
@@ -99,7 +103,7 @@ def order_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     for c in columns:
         need.update(specs[c][1])
 
-    df = read_table(spark, sf_dir, "lineitem")
+    df = read_table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
     if "orders" in need:
         o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                                        "o_orderpriority")

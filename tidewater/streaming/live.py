@@ -1,17 +1,17 @@
 """Structured Streaming jobs (K1-K4).
 
 The reference has no stream; "live" orders are single random rows.  Here
-arrivals are files: the purchase events and the order lines are written as
-many parquet files into the shared checkpoint folder and read back with
+arrivals are the files of a table's folder, read in place with
 ``readStream``.  Jobs stop by themselves (``trigger(availableNow=True)``),
 keep their state and progress in the shared folder (so a restarted driver
-resumes where it stopped), and write through ``foreachBatch`` with the batch
-id so that the read side can keep the newest update of each key.
+resumes where it stopped), and write each batch to a folder of its own
+(``batch_id=N``), overwritten when a batch is replayed, so a retry leaves no
+copies; the read side keeps the newest update of each key.
 """
 
 from __future__ import annotations
 
-import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,19 +19,20 @@ from pyspark.sql import functions as F
 from tidewater.session import scratch_path
 
 
-def write_as_files(df: DataFrame, n_files: int, name: str, order_by: list[str] | None = None) -> str:
-    """Render a table as ``n_files`` parquet files (the arriving stream), in the shared folder."""
-    path = scratch_path(df.sparkSession, name)
-    out = df.repartitionByRange(n_files, *order_by) if order_by else df.repartition(n_files)
-    out.write.mode("overwrite").parquet(path)
-    return path
+def arriving(spark: SparkSession, path: str, schema, files_per_trigger: int = 4) -> DataFrame:
+    """The parquet files at ``path`` (a folder, or one file) as a stream, in the order of their age."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path.rstrip("/") + "*")
 
 
-def _run_to_end(stream_df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
+def write_batch(sink: str):
+    """A batch writer that a replay overwrites."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+    return write
+
 
-    q = (stream_df.writeStream.outputMode(mode).foreachBatch(write)
+def _run_to_end(stream_df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
+    q = (stream_df.writeStream.outputMode(mode).foreachBatch(write_batch(sink))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -75,8 +76,7 @@ def daily_demand_stream(spark: SparkSession, source: str, schema, watermark: str
     """
     sink = sink or scratch_path(spark, "stream-daily-demand")
     ck = sink + "-checkpoint"
-    s = purchases(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-                  .parquet(source))
+    s = purchases(arriving(spark, source, schema, files_per_trigger))
     agg = (s.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day"))
            .agg(F.sum("value").alias("demand")))
     _run_to_end(agg, sink, ck, mode="update")
@@ -88,24 +88,26 @@ def daily_demand_stream(spark: SparkSession, source: str, schema, watermark: str
 
 # ------------------------------------------------------------------- K4
 def dedup_stream(spark: SparkSession, source: str, schema, key: str = "event_id", watermark: str = "2 days",
-                 sink: str | None = None) -> DataFrame:
-    """K4: redelivered rows (same key within the watermark) are dropped, as B3 drops copies in batch."""
+                 sink: str | None = None, deliveries: int = 1) -> DataFrame:
+    """K4: redelivered rows (same key within the watermark) are dropped, as B3 drops copies in batch.
+
+    ``deliveries`` > 1 reads the source that many times over, as a sender that repeats itself would.
+    """
     sink = sink or scratch_path(spark, "stream-dedup")
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
+    s = reduce(DataFrame.union, [arriving(spark, source, schema) for _ in range(deliveries)])
     s = s.withColumn("_et", event_time(s)).withWatermark("_et", watermark)
     _run_to_end(s.dropDuplicatesWithinWatermark([key]), sink, sink + "-checkpoint")
     return spark.read.parquet(sink).drop("batch_id", "_et")
 
 
 # ------------------------------------------------------------------- K1, K3
-def live_decisions(spark: SparkSession, source: str, schema, decide, sink: str | None = None) -> DataFrame:
+def live_decisions(spark: SparkSession, lines: DataFrame, decide, sink: str | None = None) -> DataFrame:
     """K1: each arriving order line is decided against the current look-up tables (stream-static joins).
 
-    ``decide`` maps an order-line DataFrame (stream or batch) to decision rows.
+    ``lines`` is a stream; ``decide`` maps an order-line DataFrame (stream or batch) to decision rows.
     """
     sink = sink or scratch_path(spark, "stream-decisions")
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
-    _run_to_end(decide(s), sink, sink + "-checkpoint")
+    _run_to_end(decide(lines), sink, sink + "-checkpoint")
     return spark.read.parquet(sink)
 
 
@@ -114,6 +116,3 @@ def newest(sink_rows: DataFrame, order_cols: list[str], n: int = 50) -> DataFram
     from tidewater.operators.decide import history_latest
     return history_latest(sink_rows, order_cols, n)
 
-
-def checkpoint_root(spark: SparkSession) -> str:
-    return os.path.dirname(scratch_path(spark, "x"))
