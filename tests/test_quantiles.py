@@ -19,7 +19,7 @@ def test_quantiles_equal_numpy(spark):
 
 def test_auc_uses_exact_scores(spark):
     rng = np.random.default_rng(2)
-    rows = [(int(y), *(0.5 + 1e-7 * rng.normal() + 1e-7 * (y == k) for k in range(3))) for y in rng.integers(0, 3, 300)]
+    rows = [(int(y), *(float(0.5 + 1e-7 * rng.normal() + 1e-7 * (y == k)) for k in range(3))) for y in rng.integers(0, 3, 300)]
     df = spark.createDataFrame(rows, "label int, p_0 double, p_1 double, p_2 double")
     got = {r.k: r.auc for r in M.auc_ovr(df).collect()}
     for k in range(3):
