@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             data += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (np.asarray(a.values, dtype=np.int64) for a in b.column(2)),
                         (np.asarray(x.values) for x in b.column(3)))
-        data.sort(key=lambda r: r[0])  # the order of updates must not depend on how rows arrived
+        data.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))  # the order of updates must not depend on how rows arrived
         model = Ftrl(bits)
         for _ in range(EPOCHS):
             for _, label, at, x in data:
