@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewater.functions.constants import IFOREST_CONTAMINATION, IFOREST_MAX_SAMPLES, IFOREST_TREES
+from tidewater.operators.quantiles import quantiles
 from tidewater.session import cut_lineage
 
 # The tree builder and the scorer run in Python workers; ship this module's code with them
@@ -84,37 +85,24 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
 def sample_for_trees(df: DataFrame, n_trees: int, psi: int, seed: int) -> tuple[DataFrame, int, int]:
     """(tree, row) pairs with at most ``psi`` rows per tree; returns the pairs, N and the used psi.
 
-    * N <= psi: every tree takes every row (T x N pairs).
-    * N < 1.3 psi T: each (row, tree) pair is kept with probability 1.3 psi / N; the
-      T x N candidates (fewer than 1.3 psi T^2, a bound set by the parameters) are
-      generated and filtered in the same map step.
-    * otherwise: ``sample`` keeps ~1.3 psi T rows and each goes to one random tree.
-    In the last two cases every tree then keeps its ``psi`` rows with the smallest
-    random key (a per-tree top-psi with a partial limit before the shuffle).
+    One rule for every N: a row is a candidate of a tree when the hash of (row, tree, seed) lies in the
+    lowest share (psi + 6 sqrt(psi)) / N of its range (all of it when that exceeds 1), and each tree keeps
+    its ``psi`` candidates of least hash.  Rows that are equal in all columns share their hashes.
     """
     n = df.count()
-    psi_used = min(psi, n)
-    if n <= psi:
-        pairs = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        return pairs, n, psi_used
-    want = 1.3 * psi * n_trees
-    if n < want:
-        p = 1.3 * psi / n
-        s = (df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-             .where(F.rand(seed) < p))
-    else:
-        s = df.sample(withReplacement=False, fraction=want / n, seed=seed)
-        s = s.withColumn("tree", F.least(F.floor(F.rand(seed + 2) * n_trees), F.lit(n_trees - 1)).cast("int"))
-    s = s.withColumn("_u", F.rand(seed + 1))
-    w = Window.partitionBy("tree").orderBy("_u")
-    pairs = s.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi).drop("_rk", "_u")
-    return pairs, n, psi_used
+    share = min(1.0, (psi + 6 * math.sqrt(psi)) / max(n, 1))
+    limit = int(share * (2 ** 63 - 1025)) if share < 1 else 2 ** 63 - 1
+    at = lambda t: F.shiftrightunsigned(F.xxhash64(*df.columns, t, F.lit(seed)), 1)
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: at(t) <= F.lit(limit))
+    s = df.withColumn("tree", F.explode(trees)).withColumn("_u", at(F.col("tree")))
+    w = Window.partitionBy("tree").orderBy("_u", *df.columns)
+    return s.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi).drop("_rk", "_u"), n, min(psi, n)
 
 
 def fit(df: DataFrame, features: list[str], n_trees: int = IFOREST_TREES, psi: int = IFOREST_MAX_SAMPLES,
         seed: int = 42) -> tuple[DataFrame, int]:
     """grow ``n_trees`` trees; returns the node table (checkpointed) and the sample size used."""
-    pairs, _, psi_used = sample_for_trees(df.select(*features), n_trees, psi, seed)
+    pairs, _, psi_used = sample_for_trees(df, n_trees, psi, seed)
     max_depth = int(math.ceil(math.log2(max(psi_used, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,9 +172,10 @@ def score(df: DataFrame, nodes: DataFrame, features: list[str], psi_used: int, n
             yield out
 
     schema = StructType(list(df.schema.fields) + [StructField("raw_score", DoubleType())])
-    scored = df.mapInPandas(walk, schema)
+    scored = cut_lineage(df.mapInPandas(walk, schema))   # all trees are walked once
     if offset is None:
-        offset = float(scored.agg(F.percentile("raw_score", contamination)).first()[0])
+        cut = quantiles(scored.select(F.lit("all").alias("k"), "raw_score"), "k", "raw_score", [contamination]).first()
+        offset = float(cut["q"][0]) if cut else 0.0
     out = scored.withColumn("anomaly_score", F.col("raw_score") - F.lit(offset)) \
         .withColumn("is_anomaly", F.col("anomaly_score") < 0).drop("raw_score")
     return out, offset

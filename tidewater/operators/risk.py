@@ -54,10 +54,12 @@ def label_code_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 
 
-def with_label_codes(df: DataFrame, coded: dict[str, str] = RISK_CODED, codes_from: DataFrame | None = None) -> DataFrame:
+def with_label_codes(df: DataFrame, coded: dict[str, str] = RISK_CODED, codes_from: DataFrame | None = None,
+                     codes: DataFrame | None = None) -> DataFrame:
     """Add ``<enc>`` = code of ``coded[enc]``; null or unknown value -> -1, absent source column -> 0.
 
-    Codes are ranks among the values of ``codes_from`` (default: the same rows).
+    Codes are ranks among the values of ``codes_from`` (default: the same rows), or come from a
+    stored table ``codes`` of ``label_code_table``.
     """
     present = {enc: src for enc, src in coded.items() if src in df.columns}
     out = df
@@ -66,7 +68,9 @@ def with_label_codes(df: DataFrame, coded: dict[str, str] = RISK_CODED, codes_fr
             out = out.withColumn(enc, F.lit(0))   # absent source column -> constant 0
     if not present:
         return out
-    codes = small_side(label_code_table(df if codes_from is None else codes_from, sorted(set(present.values()))))
+    if codes is None:
+        codes = label_code_table(df if codes_from is None else codes_from, sorted(set(present.values())))
+    codes = small_side(codes)
     for enc, src in present.items():
         look = codes.where(F.col("col_name") == src).select(
             F.col("value").alias(f"_v_{enc}"), F.col("code").alias(enc))

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from tidewater.functions.constants import SUPPLIER_FEATURES
+from tidewater.functions.joins import small_side
 from tidewater.operators import demand as D
 from tidewater.operators import iforest as IF
 from tidewater.operators import metrics as M
@@ -59,6 +60,14 @@ def forecast_gbt(spark, sf_dir):
     return round_doubles(ML.recursive_forecast(model, state, by, horizon=7))
 
 
+@query("forecast_gbt_by_product")
+def forecast_gbt_by_product(spark, sf_dir):
+    """F2 for every product: the global model on each product's own history, 7 recursive steps."""
+    ol = order_lines(spark, sf_dir, ["order_date", "quantity", "product_id"])
+    state = ML.history_state(D.spine(D.daily_demand(ol, ["product_id"]), ["product_id"]), ["product_id"])
+    return round_doubles(ML.recursive_forecast(_demand_model(spark, sf_dir), state, ["product_id"], horizon=7))
+
+
 def _risk_features(orders, train):
     """The model columns of ``orders``; department rates and label codes come from the training rows alone."""
     return R.with_label_codes(R.with_delay_rate(orders, rates_from=train), codes_from=train)
@@ -134,42 +143,58 @@ def anomaly_summary_iforest(spark, sf_dir):
     return S.anomaly_summary(scored)
 
 
+def train(spark, sf_dir, folder: str) -> dict[str, str]:
+    """A3: fit all models on the tables of ``sf_dir`` and save each under ``folder``; returns their places."""
+    place = {k: os.path.join(folder, k) for k in ("demand", "risk", "risk_train", "iforest_nodes", "q_table")}
+    ML.save_model(_demand_model(spark, sf_dir), place["demand"])
+    base, rows = _risk_train(spark, sf_dir)
+    ML.save_model(ML.fit_risk_model(_risk_features(rows, rows)), place["risk"])
+    # what scoring needs of the training rows: the department rates and the label codes
+    R.delay_rates(rows).write.mode("overwrite").parquet(place["risk_train"] + "/rates")
+    R.label_code_table(rows, sorted(set(R.RISK_CODED.values()))).write.mode("overwrite").parquet(place["risk_train"] + "/codes")
+    st = S.stats(order_lines(spark, sf_dir, ["department", "actual_days", "order_value", "late_risk"]))
+    nodes, psi = IF.fit(st, SUPPLIER_FEATURES)
+    nodes.withColumn("psi", F.lit(psi)).write.mode("overwrite").parquet(place["iforest_nodes"])
+    from tidewater.plans.policy_plans import _q
+    _q(spark, sf_dir, 2).write.mode("overwrite").parquet(place["q_table"])
+    return place
+
+
+def score(spark, sf_dir, folder: str):
+    """A4: delay class and probabilities of every order line by the models saved under ``folder``."""
+    model = ML.load_model(os.path.join(folder, "risk"))
+    rates = spark.read.parquet(os.path.join(folder, "risk_train", "rates"))
+    codes = spark.read.parquet(os.path.join(folder, "risk_train", "codes"))
+    orders = R.delay_columns(order_lines(spark, sf_dir, _RISK_IN))
+    feats = R.with_label_codes(orders.join(small_side(rates), "department", "left"), codes=codes)
+    return ML.score_risk(model, feats)
+
+
 @query("models_roundtrip")
 def models_roundtrip(spark, sf_dir):
-    """A3/A4: save the regressor, the forest, the tree table and the Q table; load them; compare predictions."""
+    """A3/A4: train into a folder, load from it, and compare with models fitted here, artifact by artifact."""
     from tidewater.plans.policy_plans import _q
     base = scratch_path(spark, "models")
+    place = train(spark, sf_dir, base)
     rows = _global_rows(spark, sf_dir)
-    dm = ML.fit_demand_model(rows)
-    dm2 = ML.load_model(ML.save_model(dm, os.path.join(base, "demand")))
     test = rows.where(~F.col("is_train"))
-    a = ML.predict_demand_rows(dm, test).select("order_date", F.col("y_pred").alias("a"))
-    b = ML.predict_demand_rows(dm2, test).select("order_date", F.col("y_pred").alias("b"))
+    a = ML.predict_demand_rows(ML.fit_demand_model(rows), test).select("order_date", F.col("y_pred").alias("a"))
+    b = ML.predict_demand_rows(ML.load_model(place["demand"]), test).select("order_date", F.col("y_pred").alias("b"))
     demand = a.join(b, "order_date").agg(F.lit("demand_gbt").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),
                                          F.count_if(F.abs(F.col("a") - F.col("b")) < 1e-9).alias("n_equal"))
-    s = _risk_split(spark, sf_dir)
-    rm = ML.fit_risk_model(s.where(~F.col("is_test")))
-    rm2 = ML.load_model(ML.save_model(rm, os.path.join(base, "risk")))
-    t = s.where(F.col("is_test"))
+    _, fitted = _risk_scored(spark, sf_dir)
     # both models score the same rows in one pass ((order, line) is not a unique key)
-    pa = ML.score_risk(rm, t).withColumnRenamed("prediction", "a").drop("p_0", "p_1", "p_2")
-    pb = ML.score_risk(rm2, pa)
-    risk = pb.agg(F.lit("risk_rf").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),
-                  F.count_if(F.col("a") == F.col("prediction")).alias("n_equal"))
-    q = _q(spark, sf_dir, 2)
-    qpath = os.path.join(base, "q_table")
-    q.write.mode("overwrite").parquet(qpath)
-    q2 = spark.read.parquet(qpath)
-    qq = q.join(q2.withColumnRenamed("q", "q2"), ["state", "action_id"]).agg(
+    loaded = score(spark, sf_dir, base).withColumnRenamed("prediction", "a").drop("p_0", "p_1", "p_2")
+    risk = ML.score_risk(fitted, loaded).agg(F.lit("risk_rf").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),
+                                             F.count_if(F.col("a") == F.col("prediction")).alias("n_equal"))
+    qq = _q(spark, sf_dir, 2).join(spark.read.parquet(place["q_table"]).withColumnRenamed("q", "q2"),
+                                   ["state", "action_id"]).agg(
         F.lit("q_table").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("q") == F.col("q2")).alias("n_equal"))
     st = S.stats(order_lines(spark, sf_dir, ["department", "actual_days", "order_value", "late_risk"]))
     nodes, psi = IF.fit(st, SUPPLIER_FEATURES)
-    npath = os.path.join(base, "iforest_nodes")
-    nodes.write.mode("overwrite").parquet(npath)
-    nodes2 = spark.read.parquet(npath)
     sa, off = IF.score(st, nodes, SUPPLIER_FEATURES, psi)
-    sb, _ = IF.score(st, nodes2, SUPPLIER_FEATURES, psi, offset=off)
+    sb, _ = IF.score(st, spark.read.parquet(place["iforest_nodes"]).drop("psi"), SUPPLIER_FEATURES, psi, offset=off)
     forest = sa.select("department", F.col("anomaly_score").alias("a")).join(
         sb.select("department", F.col("anomaly_score").alias("b")), "department").agg(
         F.lit("iforest").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),
