@@ -246,9 +246,10 @@ def class_ids(rows: DataFrame, max_bits: int, rank: Column, leaf_keys: int = LEA
     """(fp, best): the least ``rank`` among all rows (with fp) that a fingerprint reaches over links of ``max_bits``."""
     classes = cut_lineage(rows.groupBy("fp").agg(F.min(rank).alias("best")))
     roots = components(trie_links(classes.select("fp"), max_bits, leaf_keys))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "best", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    rooted = cut_lineage(classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "best", F.coalesce("root", "fp").alias("root")))
+    # written before it is joined back, so that the join is dealt out anew and a large component can be split
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("best").alias("best")))
     return rooted.drop("best").join(least, "root").select("fp", "best")
 
 
