@@ -86,7 +86,8 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
     capacity = n // shards
     quota = [capacity + (s < n % shards) for s in range(shards)]
     room = [capacity] * shards
-    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    # written before it is joined back, so that the join is dealt out anew and a large group can be split
+    sizes = cut_lineage(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
     settled: list[DataFrame] = []
     members = None
     if capacity > 1:
