@@ -73,9 +73,17 @@ JOIN top t ON o.product_id = t.product_id""")
 def product_orders(spark, sf_dir):
     """Lines of one product (here the busiest product; a top-1 report picks it)."""
     ol = order_lines(spark, sf_dir, ["order_id", "line_no", "product_id", "order_date", "quantity"])
-    top = (ol.groupBy("product_id").count()
-           .orderBy(F.desc("count"), "product_id").limit(1).select("product_id"))
-    return ol.join(F.broadcast(top), on="product_id")
+    top = ol.groupBy("product_id").count().orderBy(F.desc("count"), "product_id").first()
+    return C.product_rows(ol, str(top["product_id"]) if top else "")
+
+
+@query("product_orders_unknown", with_order_lines() + """SELECT order_id, line_no, product_id, order_date, quantity
+FROM order_lines WHERE CAST(product_id AS VARCHAR) IN ('no such product', '007', '')""")
+def product_orders_unknown(spark, sf_dir):
+    """B7 with keys that no product prints as: no rows."""
+    ol = order_lines(spark, sf_dir, ["order_id", "line_no", "product_id", "order_date", "quantity"])
+    none = [C.product_rows(ol, k) for k in ("no such product", "007", "")]
+    return none[0].union(none[1]).union(none[2])
 
 
 # --------------------------------------------------------------- D1-D9 risk
@@ -264,6 +272,16 @@ def supplier_stats_by_supplier(spark, sf_dir):
     return round_doubles(S.stats(_supplier_in(spark, sf_dir, "supplier"), "supplier"))
 
 
+@query("supplier_scorecard_stats", with_order_lines(_STATS_SQL.format(by="department"))
+       + """SELECT department, ROUND(avg_delivery_time, 2) AS avg_delivery_time, ROUND(price_deviation, 4) AS price_deviation,
+  ROUND(fulfillment_rate, 3) AS fulfillment_rate, CAST(complaint_freq AS BIGINT) AS complaint_freq FROM stats_department""")
+def supplier_scorecard_stats(spark, sf_dir):
+    """E2's statistics, rounded as listed (the learned score has no exact twin)."""
+    st = S.stats(_supplier_in(spark, sf_dir, "department"), "department")
+    flags = S.zscore_outliers(st, "department")
+    return S.scorecard(st, flags).drop("anomaly_score", "is_anomaly")
+
+
 @query("anomaly_summary", with_order_lines(_STATS_SQL.format(by="supplier"), """
 zs AS (SELECT AVG(avg_delivery_time) m1, STDDEV_POP(avg_delivery_time) s1, AVG(price_deviation) m2,
   STDDEV_POP(price_deviation) s2, AVG(fulfillment_rate) m3, STDDEV_POP(fulfillment_rate) s3,

@@ -157,23 +157,36 @@ def city_name(spark, sf_dir):
     return n.select("node_id", "name", RT.city_name("name").alias("city"))
 
 
+REQUESTS_SQL = """,
+areqs AS (SELECT start, goal FROM reqs UNION ALL SELECT start + 100, goal FROM reqs WHERE goal = 0
+  UNION ALL SELECT start, goal + 100 FROM reqs WHERE start = 1)
+"""
+
+
+def _with_unknown_nodes(spark, sf_dir):
+    """The route requests and, by rule, some whose start or goal is no known node."""
+    q = FX.route_requests(spark, sf_dir)
+    return (q.unionByName(q.where("goal = 0").withColumn("start", F.col("start") + 100))
+            .unionByName(q.where("start = 1").withColumn("goal", F.col("goal") + 100)))
+
+
 @query("route_requests_valid", with_order_lines(NODES_SQL, LANES_SQL, EDGES_SQL)
-       + """SELECT q.start, q.goal FROM reqs q WHERE q.start IN (SELECT node_id FROM nodes)
+       + REQUESTS_SQL + """SELECT q.start, q.goal FROM areqs q WHERE q.start IN (SELECT node_id FROM nodes)
   AND q.goal IN (SELECT node_id FROM nodes) AND q.start <> q.goal""")
 def route_requests_valid(spark, sf_dir):
     """Requests whose start and goal are known nodes and differ."""
-    ok, _ = RT.valid_requests(FX.route_requests(spark, sf_dir), FX.net_nodes(spark, sf_dir))
+    ok, _ = RT.valid_requests(_with_unknown_nodes(spark, sf_dir), FX.net_nodes(spark, sf_dir))
     return ok.select("start", "goal")
 
 
 @query("route_requests_rejected", with_order_lines(NODES_SQL, LANES_SQL, EDGES_SQL)
-       + """SELECT start, goal, CASE WHEN start NOT IN (SELECT node_id FROM nodes) THEN format('start_node {} is not a valid node ID.', start)
+       + REQUESTS_SQL + """SELECT start, goal, CASE WHEN start NOT IN (SELECT node_id FROM nodes) THEN format('start_node {} is not a valid node ID.', start)
   WHEN goal NOT IN (SELECT node_id FROM nodes) THEN format('goal_node {} is not a valid node ID.', goal)
   ELSE 'start_node and goal_node must be different.' END AS reason
-FROM reqs WHERE start NOT IN (SELECT node_id FROM nodes) OR goal NOT IN (SELECT node_id FROM nodes) OR start = goal""")
+FROM areqs WHERE start NOT IN (SELECT node_id FROM nodes) OR goal NOT IN (SELECT node_id FROM nodes) OR start = goal""")
 def route_requests_rejected(spark, sf_dir):
     """Rejected requests with the reason the reference reports."""
-    _, bad = RT.valid_requests(FX.route_requests(spark, sf_dir), FX.net_nodes(spark, sf_dir))
+    _, bad = RT.valid_requests(_with_unknown_nodes(spark, sf_dir), FX.net_nodes(spark, sf_dir))
     return bad.select("start", "goal", "reason")
 
 
