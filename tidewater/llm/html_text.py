@@ -57,6 +57,8 @@ GROUPS = {
     "social": "share sharing social follow",
 }
 GROUP_OF = {w: g for g, ws in GROUPS.items() for w in ws.split()}
+# Words that say of the rest of a class name what the element merely has or holds.
+NEUTRAL = frozenset("has with no without main content layout body".split())
 # What an element's own name says outweighs its class: these always hold the page or its content.
 NEVER_BOILERPLATE = frozenset("html body main".split())
 
@@ -95,15 +97,20 @@ def container_group(tag: str, attrs: str, in_content: bool) -> str | None:
             return "hidden"
         for m in ATTR.finditer(attrs):
             for name in re.split(r"\s+", m.group(1) or m.group(2) or m.group(3) or ""):
-                low = name.lower()
-                if low in GROUP_OF:
-                    return GROUP_OF[low]
-                for part in re.split(r"[-_]+", SPLIT.sub("-", name).lower()):
-                    if part in GROUP_OF:
-                        return GROUP_OF[part]
+                # the first telling part of a name decides: sidebar-content is a sidebar, has-sidebar is none
+                parts = [name.lower(), *re.split(r"[-_]+", SPLIT.sub("-", name).lower())]
+                told = next((p for p in parts if p in GROUP_OF or p in NEUTRAL), None)
+                group = GROUP_OF.get(told) if told else None
+                if group and not (group == "header" and in_content):
+                    return group
     return None
 
 
+def tag_kind(tag: str, group: str | None) -> str:
+    """A tag's kind; inside a boilerplate container it is another kind than outside."""
+    return ("in:" if group else "tag:") + (tag if tag in BLOCKS or tag in INLINE else "other")
+
+
 def tokens(page: str):
     """Yield (kind, weight count, text, block break, boilerplate group, inside the content mark)."""
     stack: list[tuple[str, str | None]] = []  # open elements and the group they stand in
@@ -126,7 +133,7 @@ def tokens(page: str):
             g = group or container_group(tag, m.group("attrs") or "", content > 0)
             if tag in CONTENT:
                 content += 1
-            kind = f"group:{g}" if g and not group else "tag:" + tag if tag in BLOCKS or tag in INLINE else "tag:other"
+            kind = f"group:{g}" if g and not group else tag_kind(tag, group)
             if tag not in VOID and not (m.group("attrs") or "").endswith("/"):
                 stack.append((tag, group))
                 group = g
@@ -134,7 +141,7 @@ def tokens(page: str):
         else:
             at = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 64), -1) if stack[i][0] == tag), -1)
             # a stray close inside an unclosed inline run ends only what it names
-            yield "tag:" + tag if tag in BLOCKS or tag in INLINE else "tag:other", 1, "", tag in BLOCKS, group, content > 0
+            yield tag_kind(tag, group), 1, "", tag in BLOCKS, group, content > 0
             if at >= 0:
                 group = stack[at][1]
                 del stack[at:]
@@ -180,8 +187,8 @@ def _weight(weights: dict[str, float], kind: str, group: str | None) -> float:
     if kind == WORD:
         word = max(0.1, weights.get(WORD, PRIOR_WORD))
         return -BOILER_SHARE * word if group else word
-    if kind.startswith("group:"):
-        return min(PRIOR_TAG, weights.get(kind, PRIOR_TAG * 8))
+    if kind.startswith(("group:", "in:")):
+        return min(PRIOR_TAG, weights.get(kind, PRIOR_TAG * (8 if kind.startswith("group:") else 1)))
     # a tag that content also uses costs little; it never pays
     return min(-0.05, weights.get(kind, PRIOR_TAG))
 
