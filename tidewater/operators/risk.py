@@ -100,16 +100,26 @@ def stratified_split(df: DataFrame, key_cols: list[str], label: str = "risk_clas
     return df.withColumn("is_test", F.pmod(h, F.lit(buckets)) < test_buckets)
 
 
+def class_shares(counts: DataFrame, by: str = "shipping_mode", label: str = "risk_class", n_classes: int = 3) -> DataFrame:
+    """Share of each class per group (4 decimals) from rows of (by, label, n)."""
+    total = F.sum("n")
+    shares = counts.groupBy(by).agg(
+        total.alias("_n"), *[F.coalesce(F.sum(F.when(F.col(label) == k, F.col("n"))), F.lit(0)).alias(f"_{k}")
+                             for k in range(n_classes)])
+    return shares.where(F.col("_n") > 0).select(
+        by, *[F.round(F.col(f"_{k}") / F.col("_n"), 4).alias(f"p_{k}") for k in range(n_classes)])
+
+
 def prior_classifier(train: DataFrame, test: DataFrame, by: str = "shipping_mode",
                      label: str = "risk_class", n_classes: int = 3) -> DataFrame:
-    """Deterministic baseline: class shares of ``by``'s group in ``train`` (4 decimals) as scores.
+    """Deterministic baseline: class shares of ``by``'s group in ``train`` (4 decimals) as scores."""
+    counts = train.groupBy(by, label).agg(F.count(F.lit(1)).alias("n"))
+    return classify_by_shares(class_shares(counts, by, label, n_classes), test, by, n_classes)
 
-    Prediction is the highest share, ties to the lowest class; a group unseen
-    in training scores 0 everywhere and predicts class 0.
-    """
-    shares = train.groupBy(by).agg(
-        *[(F.count_if(F.col(label) == k) / F.count(F.lit(1))).alias(f"p_{k}") for k in range(n_classes)])
-    shares = shares.select(by, *[F.round(f"p_{k}", 4).alias(f"p_{k}") for k in range(n_classes)])
+
+def classify_by_shares(shares: DataFrame, test: DataFrame, by: str = "shipping_mode", n_classes: int = 3) -> DataFrame:
+    """Prediction is the highest share, ties to the lowest class; a group without shares
+    scores 0 everywhere and predicts class 0."""
     scored = test.join(small_side(shares), on=by, how="left").fillna(
         0.0, subset=[f"p_{k}" for k in range(n_classes)])
     pred = F.lit(n_classes - 1)

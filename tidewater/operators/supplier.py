@@ -28,6 +28,17 @@ def stats(orders: DataFrame, by: str = "department") -> DataFrame:
     return agg.fillna(0.0, subset=SUPPLIER_FEATURES)
 
 
+def stats_of_sums(sums: DataFrame, by: str = "department") -> DataFrame:
+    """``stats`` from partial sums: n, days, late, value and value2 (sum of squares) per ``by`` and anything finer."""
+    n, v, v2 = F.sum("n"), F.sum("value"), F.sum("value2")
+    spread = F.when(n > 1, F.sqrt(F.greatest(v2 - v * v / n, F.lit(0.0)) / (n - 1)))
+    return sums.groupBy(by).agg(
+        (F.sum("days") / n).alias("avg_delivery_time"),
+        (spread / (v / n + F.lit(PRICE_DEVIATION_EPS))).alias("price_deviation"),
+        (1 - F.sum("late") / n).alias("fulfillment_rate"),
+        F.sum("late").cast("double").alias("complaint_freq")).fillna(0.0, subset=SUPPLIER_FEATURES)
+
+
 def scorecard(stats_df: DataFrame, scores: DataFrame, by: str = "department") -> DataFrame:
     """The listed scorecard: statistics rounded 2/4/3/int, score rounded 4, flag."""
     s = stats_df.join(scores.select(by, "anomaly_score", "is_anomaly"), on=by, how="left")

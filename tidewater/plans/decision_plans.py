@@ -39,7 +39,7 @@ from tidewater.sources.tables import order_lines, read_table
 DECISION_IN = ["order_id", "line_no", "order_date", "quantity", "order_value", "discount_rate", "inventory",
                "days_to_delivery", "shipping_mode", "actual_days", "scheduled_days", "late_risk", "department",
                "supplier_nation", "customer_nation", "city", "country", "product_id", "market", "order_region", "category",
-               "customer_segment", "order_type"]
+               "customer_segment", "order_type", "tax"]
 
 
 # ----------------------------------------------------------------- Spark side
@@ -49,26 +49,52 @@ def decision_inputs(spark, sf_dir, policy_sweeps: int | None = 2) -> dict:
     The two scalar inputs (unit value, 7-value base forecast) are read here, so the chain
     also runs inside a streaming query.  ``policy_sweeps=None`` leaves the policy to the caller.
     """
-    ol = order_lines(spark, sf_dir, DECISION_IN)
-    base = R.delay_columns(ol)
-    split = R.stratified_split(base, ["order_id", "line_no"])
-    stats = cut_lineage(S.stats(ol, "department"))
-    series = D.spine(D.daily_demand(ol.select("order_date", "quantity")))
-    fc = D.naive_forecast(series, horizon=7)
-    adj = RT.adjacency(RT.edge_weights(FX.net_edges(spark, sf_dir)))
-    requests = FX.route_requests(spark, sf_dir)
-    best_paths = RT.shortest_paths(adj, requests.select("start"))
-    x = dict(orders=base, train=split.where(~F.col("is_test")), flags=S.zscore_outliers(stats, "department"),
-             forecast=fc, base_fc=base_forecast(fc), auv=F.lit(ol.agg(F.round(
-                 F.avg("order_value") / F.greatest(F.avg("quantity"), F.lit(1.0)), 6)).first()[0]),
+    base = R.delay_columns(order_lines(spark, sf_dir, DECISION_IN))
+    sums = order_sums(R.stratified_split(base, ["order_id", "line_no"]))
+    days = sums.where(F.col("set") == "day")
+    pairs = sums.where(F.col("set") == "pair").select(
+        F.col("supplier_nation").cast("int").alias("source"), F.col("customer_nation").cast("int").alias("target"),
+        F.col("quantity").alias("volume"), (F.col("tax") / F.col("n")).alias("avg_tax"))
+    stats = cut_lineage(S.stats_of_sums(days))
+    fc = D.naive_forecast(D.spine(days.groupBy("order_date").agg(F.sum("quantity").alias("demand"))), horizon=7)
+    total = days.agg(F.sum("value"), F.sum("quantity"), F.sum("n")).first()
+    unit_value = (total[0] / total[2]) / max(total[1] / total[2], 1.0) if total[2] else 0.0
+    adj = RT.adjacency(RT.edge_weights(FX.net_edges(spark, sf_dir, pairs.where(F.col("source") != F.col("target")))))
+    best_paths = RT.shortest_paths(adj, pairs.select(F.col("source").alias("start")))
+    x = dict(orders=base, flags=S.zscore_outliers(stats, "department"),
+             shares=R.class_shares(sums.where(F.col("set") == "mode").select("shipping_mode", "risk_class",
+                                                                            F.col("n_train").alias("n"))),
+             forecast=fc, base_fc=base_forecast(fc), auv=F.round(F.lit(float(unit_value)), 6),
              routes=cut_lineage(RT.route_table(best_paths, FX.net_nodes(spark, sf_dir))), stats=stats,
-             changes=P.daily_changes(FX.series_states(spark, sf_dir), ["department"]),
+             changes=P.daily_changes(FX.states_of_days(days.select(
+                 "department", "order_date", F.col("quantity").alias("demand"), F.col("n").alias("lines"), "late",
+                 F.col("days").alias("days_sum"))), ["department"]),
              lead_days=stats.select("department", F.col("avg_delivery_time").alias("lead_days")))
     if policy_sweeps:
         x["q"] = order_policy(x, policy_sweeps)
     return x
 
 
+def order_sums(orders: DataFrame) -> DataFrame:
+    """Every sum the look-ups need in one pass over the order lines, combined map-side and written once.
+
+    Three groupings in one aggregate: ``day`` (department, day), ``mode`` (shipping mode, delay class)
+    and ``pair`` (supplier nation, customer nation).
+    """
+    sets = {"day": ["department", "order_date"], "mode": ["shipping_mode", "risk_class"],
+            "pair": ["supplier_nation", "customer_nation"]}
+    keys = [F.col(c) for cols in sets.values() for c in cols]
+    # the bits of the grouping id are set for the keys a grouping leaves out
+    names = {int("".join("0" if k in cols else "1" for ks in sets.values() for k in ks), 2): n for n, cols in sets.items()}
+    g = orders.groupingSets([[F.col(c) for c in cols] for cols in sets.values()], *keys).agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_test")).alias("n_train"),
+        F.sum("quantity").alias("quantity"), F.sum("order_value").alias("value"),
+        F.sum(F.col("order_value") * F.col("order_value")).alias("value2"), F.sum("late_risk").alias("late"),
+        F.sum("actual_days").alias("days"), F.sum("tax").alias("tax"))
+    which = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
+    return cut_lineage(g.withColumn("set", which[F.col("_g").cast("int")]).drop("_g"))
+
+
 def base_forecast(fc: DataFrame) -> Column:
     """The forecast (one row a step of a fixed horizon) as a literal array of (step, forecast)."""
     return F.array(*[F.struct(F.lit(r["step"]).alias("step"), F.lit(float(r["forecast"])).alias("forecast"))
@@ -83,7 +109,7 @@ def order_policy(x: dict, sweeps: int) -> DataFrame:
 def order_states(x: dict) -> DataFrame:
     """``x['orders']`` with risk, supplier flag, scaled forecast and the state they make."""
     scorer = x.get("risk_scorer")
-    o = scorer(x["orders"]) if scorer else R.prior_classifier(x["train"], x["orders"])
+    o = scorer(x["orders"]) if scorer else R.classify_by_shares(x["shares"], x["orders"])
     o = o.withColumns({"risk_level": DC.risk_label(F.col("prediction"))})
     o = o.withColumn("risk_score", DC.risk_score(F.col("risk_level")))
     o = o.join(small_side(x["flags"]), "department", "left").withColumns({

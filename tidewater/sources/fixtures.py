@@ -40,13 +40,15 @@ def lane_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.sum("quantity").alias("volume"), F.avg("tax").alias("avg_tax")))
 
 
-def net_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def net_edges(spark: SparkSession, sf_dir: str, lanes: DataFrame | None = None) -> DataFrame:
     """Every observed lane (at most nations x nations), with distance and mode.
 
+    ``lanes`` (source, target, volume, avg_tax), when at hand, saves the pass over the order lines.
+
     Distance and traffic are kept to 6 decimals so that every engine starts
     the weight arithmetic from the same doubles.
     """
-    lanes = lane_volumes(spark, sf_dir)
+    lanes = lane_volumes(spark, sf_dir) if lanes is None else lanes
     nodes = net_nodes(spark, sf_dir)
     a = nodes.select(F.col("node_id").alias("source"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = nodes.select(F.col("node_id").alias("target"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
@@ -76,9 +78,13 @@ def series_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = rounded mean real shipping days over the trailing 7 days (0 without lines).
     """
     ol = order_lines(spark, sf_dir, ["department", "order_date", "quantity", "late_risk", "actual_days"])
-    daily = ol.groupBy("department", "order_date").agg(
+    return states_of_days(ol.groupBy("department", "order_date").agg(
         F.sum("quantity").alias("demand"), F.count(F.lit(1)).alias("lines"),
-        F.sum("late_risk").alias("late"), F.sum("actual_days").alias("days_sum"))
+        F.sum("late_risk").alias("late"), F.sum("actual_days").alias("days_sum")))
+
+
+def states_of_days(daily: DataFrame) -> DataFrame:
+    """``series_states`` from the daily sums of each department."""
     sp = D.spine(daily.select("department", "order_date", "demand"), ["department"])
     s = sp.join(daily.drop("demand"), ["department", "order_date"], "left").fillna(
         0, subset=["lines", "late", "days_sum"])
