@@ -43,3 +43,34 @@ def test_series_window_is_bounded_by_days(spark):
     got = {r.order_date: r.demand for r in sp.where("department = 'HOT'").collect()}
     assert all(abs(got[d] - v) < 1e-9 for d, v in exp.items())
     assert pd.Series(list(got.values())).ge(0).all()
+
+
+def test_hot_product_and_customer_joins_are_split_and_exact(spark, tmp_path):
+    """A third of the lines on one product and of the orders on one customer: AQE splits the shuffle joins."""
+    from pyspark.sql import functions as F
+    from tidewater.sources.tables import TABLES, order_lines
+    src = "/root/testdata/sf0.001"
+    for t in TABLES[:7]:
+        d = spark.read.parquet(f"{src}/{t}.parquet")
+        if t == "lineitem":
+            d = d.withColumn("l_partkey", F.when(F.col("l_linenumber") % 3 == 1, F.lit(1).cast("long")).otherwise(F.col("l_partkey")))
+        if t == "orders":
+            d = d.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 1, F.lit(1).cast("long")).otherwise(F.col("o_custkey")))
+        d.write.parquet(f"{tmp_path}/{t}.parquet")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        ol = order_lines(spark, str(tmp_path), ["order_id", "product_id", "department", "customer_segment", "quantity"])
+        rows = ol.collect()
+        plan = ol._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    li = spark.read.parquet(f"{tmp_path}/lineitem.parquet").toPandas()
+    assert len(rows) == len(li) and sum(r.quantity for r in rows) == li.l_quantity.sum()
+    assert sum(r.product_id == 1 for r in rows) == (li.l_partkey == 1).sum() > len(li) / 5
+    assert "skew=true" in plan or "isSkew" in plan or "skewed" in plan
