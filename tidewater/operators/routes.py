@@ -64,39 +64,29 @@ def shortest_paths(adj: DataFrame, starts: DataFrame, max_rounds: int | None = N
     """I4: least-cost path from every start to every reachable node.
 
     ``starts``: one column ``start``.  Returns start, node, cents, hops, path.
-    The improvements and the state are written with a reliable checkpoint
-    every round (deferring it lets the plan of the state grow with the
-    rounds, which costs more than the write).
+    One aggregate a round merges the state with the candidates and marks what
+    improved; it is written once, with a reliable checkpoint.
     """
-    a = routing_adjacency(adj).cache()
-    best = starts.select("start").distinct().select(
+    a = cut_lineage(routing_adjacency(adj))
+    state = cut_lineage(starts.select("start").distinct().select(
         "start", F.col("start").alias("node"), F.lit(0).cast("long").alias("cents"),
-        F.lit(0).alias("hops"), F.array(F.col("start")).alias("path"))
-    best = cut_lineage(best)
-    frontier = best
+        F.lit(0).alias("hops"), F.array(F.col("start")).alias("path"), F.lit(True).alias("fresh")))
     rounds = 0
     while True:
         rounds += 1
-        cand = (frontier.join(a, frontier.node == a.src)
+        cand = (state.where("fresh").join(a, F.col("node") == F.col("src"))
                 .where(~F.array_contains("path", F.col("dst")))
-                .select("start", F.col("dst").alias("node"), (F.col("cents") + F.col("w_cents")).alias("cents"),
-                        (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst")).alias("path")))
-        cand = cand.groupBy("start", "node").agg(F.min(_best_key()).alias("k")).select("start", "node", "k.*")
-        old = best.select("start", "node", _best_key().alias("old"))
-        improved = cut_lineage(cand.join(old, ["start", "node"], "left")
-                               .where(F.col("old").isNull() | (_best_key() < F.col("old")))
-                               .drop("old"))
-        n = improved.count()
+                .select("start", F.col("dst").alias("node"), F.struct(
+                    (F.col("cents") + F.col("w_cents")).alias("cents"), (F.col("hops") + 1).alias("hops"),
+                    F.concat("path", F.array("dst")).alias("path")).alias("k"), F.lit(None).alias("old")))
+        held = state.select("start", "node", _best_key().alias("k"), _best_key().alias("old"))
+        best = held.unionByName(cand).groupBy("start", "node").agg(F.min("k").alias("k"), F.min("old").alias("old"))
+        state = cut_lineage(best.select("start", "node", "k.*", (F.col("old").isNull() | (F.col("k") < F.col("old"))).alias("fresh")))
+        n = state.where("fresh").count()
         log.info("route relaxation round %d: %d improved", rounds, n)
-        if n == 0:
+        if n == 0 or (max_rounds is not None and rounds >= max_rounds):
             break
-        best = cut_lineage(best.join(improved.select("start", "node"), ["start", "node"], "left_anti")
-                           .unionByName(improved))
-        frontier = improved
-        if max_rounds is not None and rounds >= max_rounds:
-            break
-    a.unpersist()
-    return best
+    return state.drop("fresh")
 
 
 def routes(requests: DataFrame, best: DataFrame, nodes: DataFrame) -> DataFrame:
