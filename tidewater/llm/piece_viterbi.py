@@ -2,7 +2,7 @@
 
 The piece table and scores are those of a SentencePiece model file.  A text is put
 into marked form (a space mark before it and for every space) and cut where no piece
-can cross: before a mark, and around characters that occur in no longer piece.  The
+can cross (``pieces.cut_pattern``).  The
 distinct marked words of a batch are sorted, which lays them out as a trie in
 depth-first order; the forward scores of a word's prefix stay in place for the next
 word, so each trie node is scored once.  The best path has the greatest sum of piece
@@ -22,8 +22,8 @@ read.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewater.llm.common import map_batches
+from tidewater.llm.pieces import MARK, cut_pattern
 
-MARK = "▁"
 MEMO_ENTRIES = 600_000
 UNKNOWN_PENALTY = 10.0
 
@@ -57,17 +57,17 @@ class PieceModel:
             else:
                 self.pieces[piece] = (i, sp.get_score(i))
                 self.text_of.append(piece)
-        self.longest = max(map(len, self.pieces))
+        # every ending of a piece: a string that is none cannot end a longer piece either
+        self.endings = {p[k:] for p in self.pieces for k in range(len(p))}
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces):
+        self.pattern = cut_pattern(list(self.pieces))
+        if self.pattern is None:
             raise ValueError("a piece holds the space mark after another character; words cannot be cut apart")
-        alone = "\n" if not any("\n" in p and len(p) > 1 for p in self.pieces) else ""
-        self.pattern = re.compile(f"{MARK}+[^{MARK}{alone}]*" + (f"|\n|[^{MARK}\n]+" if alone else f"|[^{MARK}]+"))
         self.memo: dict[str, bytes] = {}
 
     def paths(self, words: list[str]):
         """Yield (word, ids) for distinct sorted marked words, scoring each shared prefix once."""
-        get, longest, unknown = self.pieces.get, self.longest, self.unknown
+        get, endings, unknown = self.pieces.get, self.endings, self.unknown
         best, back = [0.0], [(0, -1)]  # per prefix length: score, and (start, id) of its last piece
         before = ""
         for word in words:
@@ -79,11 +79,14 @@ class PieceModel:
             del best[shared + 1:], back[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
                 top, last = float("-inf"), (0, -1)
-                for start in range(max(0, end - longest), end):
-                    hit = get(word[start:end])
+                for start in range(end - 1, -1, -1):
+                    tail = word[start:end]
+                    if tail not in endings:
+                        break
+                    hit = get(tail)
                     if hit is not None:
                         score = best[start] + hit[1]
-                        if score > top:
+                        if score >= top:
                             top, last = score, (start, hit[0])
                 if word[end - 1] not in self.pieces and best[end - 1] + unknown > top:
                     top, last = best[end - 1] + unknown, (end - 1, -1)
@@ -110,7 +113,7 @@ class PieceModel:
         if len(self.memo) + len(fresh) > MEMO_ENTRIES:
             self.memo, fresh = {}, words
         for word, ids in self.paths(sorted(fresh)):
-            self.memo[word] = np.array(ids, dtype="<u4").tobytes()
+            self.memo[word] = array("I", ids).tobytes()
         get = self.memo.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in cut]
 
