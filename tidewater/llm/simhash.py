@@ -43,7 +43,7 @@ SEED = 42
 LEAF_KEYS = 32_768
 STEP = 2
 # Node pairs of one numpy step, and pairs of leaves settled by comparing bits directly.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 DIRECT = 16
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
