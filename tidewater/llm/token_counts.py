@@ -1,10 +1,10 @@
 """Operator 1: exact SentencePiece token counts with a whole-token shortcut.
 
 The piece table is read once per worker.  Two facts are proved from it before
-any text is seen: (1) no piece holds the space mark after another character, and
-certain characters occur in no multi-character piece, so merges never cross a
-cut there and every pre-token can be counted alone; (2) which pieces, given to
-the library alone, come back as exactly one token.  Pre-tokens in that proven
+any text is seen: (1) where no piece can cross (before a space mark, around a line
+feed, between a letter and a sign that follows none; ``pieces.cut_pattern``), so that
+every pre-token can be counted alone; (2) which pieces, given to the library alone,
+come back as exactly one token.  Pre-tokens in that proven
 set count 1 straight away; only the others are merged by the library, once per
 distinct string in a bounded memo.
 
@@ -16,15 +16,14 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewater.llm.common import map_batches
+from tidewater.llm.pieces import MARK, cut_pattern
 
-MARK = "▁"
 MEMO_ENTRIES = 400_000
 
 
@@ -53,14 +52,9 @@ class WholeTokenCounter:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())
                   if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i))]
-        self.splittable = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        self.newline_alone = not any("\n" in p for p in pieces)
-        cut = "\n" if self.newline_alone else ""
-        self.pattern = re.compile(
-            f"{MARK}+[^{MARK}{cut}]*" + (f"|\n|[^{MARK}\n]+" if cut else ""))
-        whole = {p: 1 for p in pieces
-                 if self.pattern.fullmatch(p) and p.startswith(MARK) and len(self.sp.encode(p[1:] or "")) == 1}
-        if self.newline_alone:
+        self.pattern = cut_pattern(pieces)
+        whole = {p: 1 for p in pieces if self.pattern and self.pattern.fullmatch(p) and self._merge(p) == 1}
+        if self.pattern and self.pattern.fullmatch("\n"):
             whole["\n"] = 1
         self.whole = whole
         self.memo = _Memo(whole, self._merge)
@@ -74,7 +68,7 @@ class WholeTokenCounter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not self.splittable:
+        if self.pattern is None:
             return len(self.sp.encode(text))
         marked = MARK + text.replace(" ", MARK)
         return sum(map(self.memo.__getitem__, self.pattern.findall(marked)))
