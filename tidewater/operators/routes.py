@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.constants import (AIR_COST_MULTIPLIER, FUEL_COST_PER_KM, NO_PATH_ERROR,
                                            TIME_COST_FACTOR)
+from tidewater.functions.exprs import round_half_up
 from tidewater.functions.joins import small_side
 from tidewater.session import cut_lineage
 
@@ -38,7 +39,7 @@ def edge_weights(edges: DataFrame, mode: str = "time") -> DataFrame:
     else:
         w = F.col("distance") * FUEL_COST_PER_KM + F.col("distance") * F.col("traffic") * TIME_COST_FACTOR
         w = F.when(lane_mode == "air", w * AIR_COST_MULTIPLIER).otherwise(w)
-    return edges.withColumn("mode", lane_mode).withColumn("weight", F.round(w, 2))
+    return edges.withColumn("mode", lane_mode).withColumn("weight", round_half_up(w, 2))
 
 
 def adjacency(weighted: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def decision_inputs(spark, sf_dir, policy_sweeps: int | None = 2) -> dict:
     days = sums.where(F.col("set") == "day")
     pairs = sums.where(F.col("set") == "pair").select(
         F.col("supplier_nation").cast("int").alias("source"), F.col("customer_nation").cast("int").alias("target"),
-        F.col("quantity").alias("volume"), (F.col("tax") / F.col("n")).alias("avg_tax"))
+        F.col("quantity").alias("volume"), (F.col("tax") / (F.col("n") * 100)).alias("avg_tax"))
     stats = cut_lineage(S.stats_of_sums(days))
     fc = D.naive_forecast(D.spine(days.groupBy("order_date").agg(F.sum("quantity").alias("demand"))), horizon=7)
     total = days.agg(F.sum("value"), F.sum("quantity"), F.sum("n")).first()
@@ -90,7 +90,7 @@ def order_sums(orders: DataFrame) -> DataFrame:
         F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_test")).alias("n_train"),
         F.sum("quantity").alias("quantity"), F.sum("order_value").alias("value"),
         F.sum(F.col("order_value") * F.col("order_value")).alias("value2"), F.sum("late_risk").alias("late"),
-        F.sum("actual_days").alias("days"), F.sum("tax").alias("tax"))
+        F.sum("actual_days").alias("days"), F.sum(FX.tax_cents()).alias("tax"))
     which = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
     return cut_lineage(g.withColumn("set", which[F.col("_g").cast("int")]).drop("_g"))
 

@@ -23,16 +23,16 @@ def sql_haversine(lat1, lon1, lat2, lon2) -> str:
 
 
 LANES_SQL = """lanes AS (SELECT CAST(supplier_nation AS INTEGER) AS source, CAST(customer_nation AS INTEGER) AS target,
-  SUM(quantity) AS volume, AVG(tax) AS avg_tax FROM order_lines WHERE supplier_nation <> customer_nation GROUP BY 1, 2)"""
+  SUM(quantity) AS volume, CAST(SUM(CAST(ROUND(tax * 100) AS BIGINT)) AS DOUBLE) / (COUNT(*) * 100) AS avg_tax FROM order_lines WHERE supplier_nation <> customer_nation GROUP BY 1, 2)"""
 
 EDGES_SQL = """edges AS (SELECT t.source, t.target, ROUND(""" + sql_haversine("a.lat", "a.lon", "b.lat", "b.lon") + """, 6) AS distance,
-  CASE WHEN (t.source + t.target) % 7 = 0 THEN 0.1 ELSE ROUND(1 + t.avg_tax, 6) END AS traffic,
+  CASE WHEN (t.source + t.target) % 7 = 0 THEN 0.1 ELSE FLOOR((1 + t.avg_tax) * CAST(1000000.0 AS DOUBLE) + 0.5) / CAST(1000000.0 AS DOUBLE) END AS traffic,
   CAST(t.volume AS BIGINT) AS capacity,
   CASE WHEN (t.source + t.target) % 7 = 0 THEN 'air' ELSE 'ground' END AS mode
   FROM lanes t JOIN nodes a ON a.node_id = t.source JOIN nodes b ON b.node_id = t.target),
-weighted AS (SELECT *, ROUND(distance * traffic, 2) AS w_time,
-  ROUND(CASE WHEN mode = 'air' THEN (distance * 0.08 + distance * traffic * 0.5) * 10.0
-        ELSE distance * 0.08 + distance * traffic * 0.5 END, 2) AS w_cost FROM edges),
+weighted AS (SELECT *, FLOOR(distance * traffic * CAST(100.0 AS DOUBLE) + 0.5) / CAST(100.0 AS DOUBLE) AS w_time,
+  FLOOR(CASE WHEN mode = 'air' THEN (distance * 0.08 + distance * traffic * 0.5) * 10.0
+        ELSE distance * 0.08 + distance * traffic * 0.5 END * CAST(100.0 AS DOUBLE) + 0.5) / CAST(100.0 AS DOUBLE) AS w_cost FROM edges),
 adj AS (SELECT source AS src, target AS dst, CAST(ROUND(w_time * 100) AS BIGINT) AS w_cents, mode FROM weighted
   UNION ALL SELECT target, source, CAST(ROUND(w_time * 100) AS BIGINT), mode FROM weighted),
 radj AS (SELECT src, dst, MIN(w_cents) AS w_cents FROM adj GROUP BY 1, 2),

@@ -8,10 +8,10 @@ grouped aggregate of ``order_lines``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.exprs import haversine_km
+from tidewater.functions.exprs import haversine_km, round_half_up
 from tidewater.operators import demand as D
 from tidewater.sources.tables import order_lines, read_table
 
@@ -31,13 +31,18 @@ def net_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         typ.alias("type"))
 
 
+def tax_cents() -> Column:
+    """Tax in whole hundredths, so that its sum is exact in any order."""
+    return F.round(F.col("tax") * 100).cast("long")
+
+
 def lane_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier nation -> customer nation lanes with quantity and mean tax (self lanes dropped)."""
     ol = order_lines(spark, sf_dir, ["supplier_nation", "customer_nation", "quantity", "tax"])
     return (ol.where(F.col("supplier_nation") != F.col("customer_nation"))
             .groupBy(F.col("supplier_nation").cast("int").alias("source"),
                      F.col("customer_nation").cast("int").alias("target"))
-            .agg(F.sum("quantity").alias("volume"), F.avg("tax").alias("avg_tax")))
+            .agg(F.sum("quantity").alias("volume"), (F.sum(tax_cents()) / (F.count(F.lit(1)) * 100)).alias("avg_tax")))
 
 
 def net_edges(spark: SparkSession, sf_dir: str, lanes: DataFrame | None = None) -> DataFrame:
@@ -57,7 +62,7 @@ def net_edges(spark: SparkSession, sf_dir: str, lanes: DataFrame | None = None)
     return e.select(
         "source", "target",
         F.round(haversine_km("lat1", "lon1", "lat2", "lon2"), 6).alias("distance"),
-        F.when(mode == "air", F.lit(0.1)).otherwise(F.round(1 + F.col("avg_tax"), 6)).alias("traffic"),
+        F.when(mode == "air", F.lit(0.1)).otherwise(round_half_up(1 + F.col("avg_tax"), 6)).alias("traffic"),
         F.col("volume").cast("long").alias("capacity"),
         mode.alias("mode"))
 
