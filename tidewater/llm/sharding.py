@@ -42,7 +42,8 @@ def _blocks(rows: DataFrame, sizes: DataFrame, capacity: int) -> DataFrame:
     """(_row, block): groups of two rows and more as blocks of at most ``capacity`` rows."""
     linked = rows.join(sizes, "grp")
     small = linked.where(F.col("n") <= capacity).select("_row", F.struct("grp", F.lit(0).cast("long").alias("part")).alias("block"))
-    large = linked.where(F.col("n") > capacity)
+    # written first: the join has dealt rows by group, and numbering in that deal would keep a hot group in one task
+    large = cut_lineage(linked.where(F.col("n") > capacity).select("_row", "grp"))
     n = large.count()
     if not n:
         return small
