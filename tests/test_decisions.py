@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import policy as P
 from tidewater.plans import QUERIES
 
-from conftest import SF_MID, SF_SMALL
+from sfdirs import SF_MID, SF_SMALL
 
 
 @pytest.mark.parametrize("sf_dir", [SF_SMALL, SF_MID])

@@ -12,7 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 from check_oracle import digest  # noqa: E402
 from tidewater.sources.tables import TABLES  # noqa: E402
 
-from conftest import SF_SMALL  # noqa: E402
+from sfdirs import SF_SMALL  # noqa: E402
 
 SUBSET = ["daily_demand", "demand_features", "dept_last30", "actual_and_forecast", "clean_orders", "risk_features",
           "label_codes", "stratified_split", "supplier_stats", "confusion_matrix", "auc_ovr", "forecast_metrics",

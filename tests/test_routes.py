@@ -4,7 +4,7 @@
 from tidewater.operators import routes as RT
 from tidewater.sources import fixtures as FX
 
-from conftest import SF_MID
+from sfdirs import SF_MID
 
 
 def _toy(spark):

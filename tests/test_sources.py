@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewater.sources.tables import order_lines, read_table
 
-from conftest import SF_SMALL
+from sfdirs import SF_SMALL
 
 
 def test_foreign_keys_resolve(spark):
