@@ -145,6 +145,20 @@ def test_unlabelled_page(spark, learned):
     assert html_text.extract("<nav>a b</nav><", weights) in ("", "<")
 
 
+def test_weights_choose_the_run_without_the_mark(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    weights = html_text.learn_weights(pages)
+    for r in pages.collect():
+        renamed = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.extract(renamed, weights) == article_text(r.html)
+    story = " ".join(f"story{i}" for i in range(200))
+    page = (f"<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div><h1>Head</h1><p>{story}</p></div>"
+            "<article><h2>Teaser</h2><p>five words of a teaser</p></article><footer>foot</footer></body></html>")
+    for w in (weights, {}):
+        text = html_text.extract(page, w)
+        assert story in text and "menu" not in text and "foot" not in text
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (1, "u", ""), (None, None, "<p>a</p>"), (2, "v", "<article><p>x &lt y</p></article>" + "<div>" * 20_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")

@@ -2,8 +2,9 @@
 
 A page is cut into tags and words in one pass.  A token's weight is the log ratio
 of its kind's frequency inside and outside the content of labelled pages; pages
-that mark their content themselves (one article or main element) are the labels,
-and the marking tag is itself no feature.  Words inside content score positive,
+that mark their content themselves (one article or main element) are the labels.
+The mark serves learning alone: a page's text is chosen by the weights, with or
+without a mark, and the marking tag is itself no feature.  Words inside content score positive,
 tags of menus, adverts and footers negative, and words in such containers a little
 negative.  A linear scan keeps the contiguous run with the greatest sum;
 the text is what lies in that run outside boilerplate containers.
@@ -198,13 +199,10 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     toks = list(tokens(page))
-    marked = any(t[5] for t in toks)
     best = total = 0.0
     start = lo = hi = 0
-    for i, (kind, k, _, _, group, inside) in enumerate(toks):
+    for i, (kind, k, _, _, group, _) in enumerate(toks):
         w = _weight(weights, kind, group)
-        if kind == WORD and marked and not inside:
-            w = -BOILER_SHARE * abs(w)  # the page itself marks its content, and this is not in it
         if total <= 0:
             total, start = 0.0, i
         total += w * k
@@ -212,9 +210,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             best, lo, hi = total, start, i + 1
     out: list[str] = []
     block: list[str] = []
-    for kind, _, text, breaks, group, inside in toks[lo:hi]:
+    for kind, _, text, breaks, group, _ in toks[lo:hi]:
         if kind == WORD:
-            if not group and (inside or not marked):
+            if not group:
                 block.append(text)
         elif breaks and block:
             out.append("".join(block))
