@@ -159,6 +159,34 @@ def test_weights_choose_the_run_without_the_mark(spark):
         assert story in text and "menu" not in text and "foot" not in text
 
 
+@pytest.mark.parametrize("head", [
+    "<nav><ul>" + "<li><a href=x>menu</a>" * 200 + "</ul></nav>",
+    "<form><select>" + "<option>menu" * 200 + "</select></form>",
+    "<nav>" + "<p>menu" * 200 + "</nav>",
+    "<nav><table>" + "<tr><td>menu" * 200 + "</table></nav>",
+    "<nav>" + "<b>menu" * 200 + "</nav>",
+    "<ul><li class=social>menu<li>" + "<p>menu</ul>",
+])
+def test_unclosed_elements_end(spark, head):
+    story = " ".join(f"story{i}" for i in range(50))
+    weights = html_text.learn_weights(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    for mark in ("article", "div"):
+        page = f"<html><body>{head}<{mark}><h1>Head</h1><p>{story}</p></{mark}><footer>foot</footer></body></html>"
+        after = [t for t in html_text.tokens(page) if t[2].startswith("story0 ")]
+        assert [t[4] for t in after] == [None]
+        for w in (weights, {}):
+            text = html_text.extract(page, w)
+            assert story in text and "foot" not in text
+
+
+def test_siblings_end_only_in_their_list():
+    groups = lambda page: {t[2]: t[4] for t in html_text.tokens(page) if t[2]}
+    got = groups("<ul><li class=ad>a<ul><li>b<li>c</ul>d<li>e</ul><table><tr><td class=ad>f<table><tr><td>g</table>h<td>i<tr><td>j</table>"
+                 "<p class=ad>k<div>l</div><select><option>m<option>n</select>o<dl><dt class=ad>p<dd>q</dl>r")
+    assert {k for k, g in got.items() if g == "advert"} == set("abcdfghkp")
+    assert {k for k, g in got.items() if g is None} == set("eijlorq") and got["m"] == got["n"] == "form"
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (1, "u", ""), (None, None, "<p>a</p>"), (2, "v", "<article><p>x &lt y</p></article>" + "<div>" * 20_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")

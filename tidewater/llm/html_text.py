@@ -9,6 +9,10 @@ tags of menus, adverts and footers negative, and words in such containers a litt
 negative.  A linear scan keeps the contiguous run with the greatest sum;
 the text is what lies in that run outside boilerplate containers.
 
+Elements are closed as HTML has it: an end tag closes the innermost open element of its
+name at any depth, and an element whose end tag may be left out (li, option, p, td, tr
+and the like) ends where its sibling begins.
+
 Kinds are tag names of HTML and container groups, so the weight table has a fixed
 bound; unseen kinds take a fixed prior.  Weights come from all labelled pages,
 summed map-side.
@@ -74,6 +78,25 @@ ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 SPLIT = re.compile(r"[^A-Za-z0-9-]+|(?<=[a-z])(?=[A-Z])")
 
+# Elements whose end tag may be left out: what a start tag ends, and the elements inside
+# which it does not look further out.
+SCOPE = frozenset("""table caption td th button object template article section nav aside main header footer form
+fieldset select details dialog figure blockquote""".split())
+P_SCOPE = frozenset("table caption td th button object template".split())
+P_ENDERS = frozenset("""address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2
+h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dt dd""".split())
+ENDS = {
+    "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"),
+    "rt": ("rt rp", "ruby"), "rp": ("rt rp", "ruby"),
+}
+SIBLINGS = ({t: (tuple(e.split()), SCOPE | set(b.split())) for t, (e, b) in ENDS.items()}
+            | {"option": (("option",), frozenset(["select", "datalist", "optgroup"])),
+               "optgroup": (("option", "optgroup"), frozenset(["select"])),
+               "td": (("td", "th"), frozenset(["tr", "table"])), "th": (("td", "th"), frozenset(["tr", "table"])),
+               "tr": (("td", "th", "tr", "caption", "colgroup"), frozenset(["table"]))}
+            | {t: (("td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"), frozenset(["table"]))
+               for t in ("thead", "tbody", "tfoot")})
+
 WORD, CONTENT = "word", ("article", "main")
 PRIOR_WORD, PRIOR_TAG, SMOOTH = 1.0, -0.5, 0.5
 MAX_WEIGHT = 12.0
@@ -112,9 +135,43 @@ def tag_kind(tag: str, group: str | None) -> str:
     return ("in:" if group else "tag:") + (tag if tag in BLOCKS or tag in INLINE else "other")
 
 
+class _Open:
+    """The open elements of a page, and per tag name their places, so that any depth is one look-up."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str | None]] = []  # open elements and the group they stand in
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def push(self, tag: str, group: str | None) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, group))
+
+    def cut(self, at: int) -> str | None:
+        """End the element at place ``at`` and all inside it; the group it stood in."""
+        group = self.stack[at][1]
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+        return group
+
+    def ended_by(self, tag: str) -> int:
+        """Place of the outermost element without an end tag that a start tag ``tag`` ends, or -1."""
+        ends, scope = SIBLINGS.get(tag, ((), ()))
+        found = -1
+        for tags, bounds in ((ends, scope), (("p",) if tag in P_ENDERS else (), P_SCOPE)):
+            open_ = [at for t in tags if (at := self.last(t)) >= 0]
+            if open_:
+                limit = max(self.last(b) for b in bounds)
+                found = min([at for at in open_ if at > limit] + ([found] if found >= 0 else []), default=found)
+        return found
+
+
 def tokens(page: str):
     """Yield (kind, weight count, text, block break, boilerplate group, inside the content mark)."""
-    stack: list[tuple[str, str | None]] = []  # open elements and the group they stand in
+    opened = _Open()
     group, content = None, 0
     for m in TOKEN.finditer(page):
         text = m.group("text")
@@ -130,22 +187,24 @@ def tokens(page: str):
         closing = bool(m.group("close") or m.group("close2"))
         if not closing:
             if tag == "body":  # ends an unclosed head
-                stack, group = [], None
+                opened, group = _Open(), None
+            at = opened.ended_by(tag)
+            if at >= 0:
+                group = opened.cut(at)
             g = group or container_group(tag, m.group("attrs") or "", content > 0)
             if tag in CONTENT:
                 content += 1
             kind = f"group:{g}" if g and not group else tag_kind(tag, group)
             if tag not in VOID and not (m.group("attrs") or "").endswith("/"):
-                stack.append((tag, group))
+                opened.push(tag, group)
                 group = g
             yield kind, 1, "", tag in BLOCKS, g, content > 0
         else:
-            at = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 64), -1) if stack[i][0] == tag), -1)
+            at = opened.last(tag)
             # a stray close inside an unclosed inline run ends only what it names
             yield tag_kind(tag, group), 1, "", tag in BLOCKS, group, content > 0
             if at >= 0:
-                group = stack[at][1]
-                del stack[at:]
+                group = opened.cut(at)
             if tag in CONTENT and content:
                 content -= 1
 
