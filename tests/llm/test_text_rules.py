@@ -218,6 +218,18 @@ def test_quality_model_edges(spark, edge_docs, no_docs):
     assert quality_model.keep_good(edge_docs, untrained).count() == 10
 
 
+def test_shape_reads_the_whole_word():
+    start = "漢字" * 100
+    good, junk = start + "。終", start + "$$1$$"
+    assert quality_model._shape(good) == "x。x" and quality_model._shape(junk) == "x$0$"
+    docs = [(1, start[:50] + "甲。終"), (0, start[:50] + "乙$$1$$")] * 20
+    model = quality_model.Ftrl(quality_model.BITS)
+    for label, text in docs:
+        model.update(*quality_model.features(text), float(label))
+    # whole-word hashes are new, so only the shape of the end tells these apart
+    assert quality_model.score_text(good, model.dense()) > 0.5 > quality_model.score_text(junk, model.dense())
+
+
 def test_ftrl_weights_of_one_step():
     m = quality_model.Ftrl(4)
     import numpy as np

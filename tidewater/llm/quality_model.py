@@ -42,7 +42,7 @@ _SHAPE_SEED = 0x5BD1E995
 def _shape(word: str) -> str:
     """Letters to x or X, digits to 0, other characters as they are; runs of one sign collapse."""
     out: list[str] = []
-    for ch in word[:64]:
+    for ch in word:
         s = ("X" if ch.isupper() else "x") if ch.isalpha() else "0" if ch.isdigit() else ch
         if not out or out[-1] != s:
             out.append(s)
