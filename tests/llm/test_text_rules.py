@@ -105,6 +105,17 @@ def test_added_kinds_need_checks_and_context():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97("GB82WEST12345698765432")
 
 
+@pytest.mark.parametrize("iban", ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201",
+                                  "DE89 3704 0044 0532 0130 00"])
+@pytest.mark.parametrize("after", [" BIC ABC", " EUR 20", " CALL", " CALL ME NOW", " DE89 3704 0044 0532 0130 00", ""])
+def test_iban_before_words_in_capitals(iban, after):
+    spans = [s for s in pii.find_spans(f"IBAN {iban}{after}") if s.kind == "iban"]
+    assert (spans[0].start, spans[0].end) == (5, 5 + len(iban))
+    assert len(spans) == 1 + ("DE89" in after)
+    assert [s.kind for s in pii.find_spans(f"AB12 CDEF GHIJ {iban}{after}")].count("iban") == 1 + ("DE89" in after)
+    assert not [s for s in pii.find_spans(f"IBAN {iban[:-1]}7 BIC") if s.kind == "iban"]
+
+
 def test_pii_edges(edge_docs, no_docs):
     out = pii.pii_digest(edge_docs).collect()
     assert len(out) == 10 and {r.base_sha256 for r in out} == {hashlib.sha256(b"").hexdigest()}

@@ -7,6 +7,9 @@ validator holds; the kinds the method adds (iban, short cards, phones without a
 country code, national ids) need a score of ``MIN_SCORE``, which a bare number
 only reaches next to a fitting word.  Added spans never overlap base spans.
 
+Where the longest form of an account number fails its checksum, shorter ones that end at
+a space of the proposal are tried, since a word in capitals may follow the number.
+
 Patterns scan a text once: matches start only where a run of their characters
 starts, which gives the same leftmost spans in linear time on very long runs.
 
@@ -113,22 +116,38 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Non-overlapping account numbers: of each proposal the longest form, ending at a space or its end, that holds.
+
+    A proposal that fails may hold another one, so the search goes on at its next group.
+    """
+    out, m = [], IBAN.search(text)
+    while m:
+        s, e = m.span()
+        spaces = [i for i in range(s, e) if text[i] == " "]
+        end = next((x for x in (e, *reversed(spaces))
+                    if 15 <= len(text[s:x].replace(" ", "")) <= 34 and mod97(text[s:x])), None)
+        if end is not None:
+            out.append((s, end))
+        m = IBAN.search(text, end if end is not None else spaces[0] if spaces else e)
+    return out
+
+
 def _proposals(text: str):
-    """Kind, match, score before context; only confirmed proposals."""
-    for m in IBAN.finditer(text):
-        if 15 <= len(m.group().replace(" ", "")) <= 34 and mod97(m.group()):
-            yield "iban", m, 0.8
+    """Kind, start, end, score before context; only confirmed proposals."""
+    for s, e in ibans(text):
+        yield "iban", s, e, 0.8
     for m in CARD.finditer(text):
         if 12 <= m.end() - m.start() <= 31:
             digits = NOT_DIGIT.sub("", m.group())
             if 12 <= len(digits) <= 15 and luhn(digits):
-                yield "card_short", m, 0.3
+                yield "card_short", *m.span(), 0.3
     for m in LOCAL_PHONE.finditer(text):
         if 8 <= len(NOT_DIGIT.sub("", m.group())) <= 12:
-            yield "phone_local", m, 0.3
+            yield "phone_local", *m.span(), 0.3
     for m in NATIONAL_ID.finditer(text):
         if m.group()[:3] not in ("000", "666") and m.group()[0] != "9" and m.group()[4:6] != "00" and m.group()[7:] != "0000":
-            yield "national_id", m, 0.4
+            yield "national_id", *m.span(), 0.4
 
 
 def find_spans(text: str | None) -> list[Span]:
@@ -138,14 +157,14 @@ def find_spans(text: str | None) -> list[Span]:
     out = base_spans(text)
     taken = sorted((s.start, s.end) for s in out)
     added: list[Span] = []
-    for kind, m, score in _proposals(text):
-        near = text[max(0, m.start() - CONTEXT_CHARS):m.start()] + " \n " + text[m.end():m.end() + CONTEXT_CHARS]
+    for kind, start, end, score in _proposals(text):
+        near = text[max(0, start - CONTEXT_CHARS):start] + " \n " + text[end:end + CONTEXT_CHARS]
         if RAISING[kind].search(near):
             score += 0.4
         if LOWERING.search(near):
             score -= 0.2
         if score >= MIN_SCORE:
-            added.append(Span(kind, m.start(), m.end(), round(score, 2)))
+            added.append(Span(kind, start, end, round(score, 2)))
     for sp in added:  # an earlier kind wins where two overlap
         if not any(s < sp.end and sp.start < e for s, e in taken):
             out.append(sp)
