@@ -181,6 +181,42 @@ def test_shards_of_a_hot_group(spark):
     assert sum(len(p) > 1 for p in pairs.values()) <= 6
 
 
+def homes_of(rows, group):
+    homes = {}
+    for r in rows:
+        homes.setdefault(group(r.doc_id), set()).add(r.shard)
+    return homes
+
+
+def scattered(spark, n, text):
+    """n rows in an order unrelated to k, the number (0 to n - 1) that their id and text come from."""
+    return spark.range(n).selectExpr(f"id * 617 % {n} AS k").selectExpr("k AS doc_id", f"{text} AS text")
+
+
+def test_no_pair_is_torn_while_it_fits(spark):
+    docs = scattered(spark, 12000, "CASE WHEN k < 4000 THEN 'copy' ELSE concat('t', k div 2) END")
+    rows = sharding.balanced_shards(docs, 40).collect()
+    check_shards(rows, 12000, 40)
+    homes = homes_of(rows, lambda i: "hot" if i < 4000 else i // 2)
+    assert len(homes.pop("hot")) == 14
+    assert sum(len(h) > 1 for h in homes.values()) == 0
+
+
+def test_blocks_that_fit_nowhere_are_cut_in_two(spark):
+    docs = scattered(spark, 1000, "CASE WHEN k < 660 THEN concat('b', k div 60) ELSE concat('single', k) END")
+    rows = sharding.balanced_shards(docs, 10).collect()
+    check_shards(rows, 1000, 10)
+    homes = homes_of([r for r in rows if r.doc_id < 660], lambda i: i // 60)
+    assert sorted(len(h) for h in homes.values()) == [1] * 10 + [2]
+
+
+def test_small_blocks_that_fit_nowhere_are_cut_once(spark):
+    rows = sharding.balanced_shards(scattered(spark, 300, "concat('t', k div 3)"), 6).collect()
+    check_shards(rows, 300, 6)  # six shards of 50: 96 of 100 triples fit whole, the others in two pieces
+    homes = homes_of(rows, lambda i: i // 3)
+    assert sorted(len(h) for h in homes.values()) == [1] * 96 + [2] * 4
+
+
 def test_shards_edges(edge_docs, no_docs):
     check_shards(sharding.balanced_shards(edge_docs, 40).collect(), 10, 40)
     check_shards(sharding.balanced_shards(edge_docs, 3).collect(), 10, 3)

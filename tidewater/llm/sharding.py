@@ -6,13 +6,18 @@ of a shard's capacity, by exact row numbers, so none need be torn further.  Then
 round every unsettled block moves to the shard that most of its rows carry among
 those with room for it, the largest blocks first under the shard's remaining quota
 (running sums over hash buckets, so no shard's applicants meet in one task); a block
-without such a neighbour moves to the shard with most room.  Blocks that fit nowhere
-whole, and rows without a partner, fill the remaining quota by exact row number.
+without such a neighbour moves to a shard with room for it, drawn in proportion to
+the room.  Rounds go on until no block fits whole.  A block that fits nowhere is cut
+into as few pieces as the room left allows; rows without a partner fill the
+remaining quota by exact row number.  Groups are cliques, so a block's neighbours
+are its own rows and move with it: votes settle without being propagated further.
 
 Law ``rows``: shard row counts differ by at most one.
 
-Bounded work on the driver: room per shard, and the blocks larger than a sixteenth
-of a shard (at most 16 per shard), which are placed one by one, largest first.
+Bounded work on the driver: room per shard, the blocks larger than a sixteenth
+of a shard (at most 16 per shard), which are placed one by one, largest first, and
+the smaller blocks that fit nowhere (fewer than shards, since each exceeds any room
+left and all rows left fill the room exactly).
 
 Results: null text counts as empty for size, checksum and group.  Null ids and
 repeated rows are rows like any other.  Only the id and text columns are read.  An
@@ -22,6 +27,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +37,6 @@ from tidewater.llm.common import cut_lineage, number_rows, row_buckets
 
 ROW_OVERHEAD = 16
 LARGE_PARTS = 16
-MAX_ROUNDS = 10
 
 
 def _label(row: Column, shards: int) -> Column:
@@ -67,6 +72,29 @@ def _place_large(votes: list, room: list[int]) -> list[tuple]:
     return out
 
 
+def _cut(sizes: dict[tuple, int], room: list[int]) -> dict[tuple, list[tuple[int, int]]]:
+    """Per block its pieces (shard, rows), largest block first, each in as few pieces as the room allows."""
+    out: dict[tuple, list[tuple[int, int]]] = {}
+    for block, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        while size and max(room) > 0:
+            fits = [s for s in range(len(room)) if room[s] >= size]
+            to = min(fits, key=lambda s: (room[s], s)) if fits else max(range(len(room)), key=lambda s: (room[s], -s))
+            rows = min(size, room[to])
+            out.setdefault(block, []).append((to, rows))
+            room[to] -= rows
+            size -= rows
+    return out
+
+
+def _by_room(room: list[int], turn: int) -> Column:
+    """A shard with room for ``size``, drawn in proportion to the room by a hash of block and turn; null if none."""
+    fitting = F.transform(F.array(*[F.lit(int(x)).cast("long") for x in room]), lambda r: F.when(r >= F.col("size"), r).otherwise(F.lit(0).cast("long")))
+    ends = F.aggregate(fitting, F.array().cast("array<long>"), lambda a, r: F.concat(a, F.array(r + F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)))))
+    total = F.get(ends, F.lit(len(room) - 1))
+    at = F.pmod(F.xxhash64("block", F.lit(turn)), total)
+    return F.when(total > 0, F.size(F.filter(ends, lambda e: e <= at)))
+
+
 def _accept(wishes: DataFrame, room: list[int], n_blocks: int) -> DataFrame:
     """Of (block, size, to): those that fit their shard's room when taken largest first."""
     room_of = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in room]), F.col("to") + 1)
@@ -86,31 +114,38 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
     n = rows.count()
     capacity = n // shards
     quota = [capacity + (s < n % shards) for s in range(shards)]
-    room = [capacity] * shards
+    room = list(quota)
     # written before it is joined back, so that the join is dealt out anew and a large group can be split
     sizes = cut_lineage(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
     settled: list[DataFrame] = []
     members = None
+    pieces: dict[tuple, list[tuple[int, int]]] = {}
     if capacity > 1:
         members = cut_lineage(_blocks(rows.select("_row", "grp"), sizes, capacity))
         votes = cut_lineage(members.groupBy("block", _label(F.col("_row"), shards).alias("label")).agg(F.count(F.lit(1)).alias("votes")))
         size = votes.groupBy("block").agg(F.sum("votes").alias("size"))
         limit = max(1, capacity // LARGE_PARTS)
         large = size.where(F.col("size") > limit).select("block")
-        taken = _place_large(votes.join(large, "block").select("block.grp", "block.part", "label", "votes").collect(), room)
+        large_votes = votes.join(large, "block").select("block.grp", "block.part", "label", "votes").collect()
+        taken = _place_large(large_votes, room)
+        uncut: dict[tuple, int] = {}
+        for v in large_votes:
+            uncut[(v.grp, v.part)] = uncut.get((v.grp, v.part), 0) + v.votes
+        for grp, part, _ in taken:
+            del uncut[(grp, part)]
+        pieces = _cut(uncut, room)  # now, while there is room for large pieces
         if taken:
             schema = f"grp {rows.schema['grp'].dataType.simpleString()}, part long, to int"
             settled.append(spark.createDataFrame(taken, schema).select(F.struct("grp", "part").alias("block"), "to"))
         open_ = cut_lineage(votes.join(size.where(F.col("size") <= limit), "block"))
-        for _ in range(MAX_ROUNDS):
+        for turn in count():  # every round settles a block or is the last
             left = open_.agg(F.countDistinct("block")).first()[0]
             if not left or max(room) < 2:
                 break
             room_of = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in room]), F.col("label") + 1)
-            emptiest = max(range(shards), key=lambda s: (room[s], -s))
             fits = F.when(room_of >= F.col("size"), F.struct("votes", F.xxhash64("block", "label").alias("tie"), "label"))
             wishes = open_.groupBy("block").agg(F.first("size").alias("size"), F.max(fits).alias("best")).select(
-                "block", "size", F.coalesce(F.col("best.label"), F.lit(emptiest)).alias("to"))
+                "block", "size", F.coalesce(F.col("best.label"), _by_room(room, turn)).alias("to")).where(F.col("to").isNotNull())
             accepted = cut_lineage(_accept(wishes, room, left))
             used = {r.to: r.s for r in accepted.groupBy("to").agg(F.sum("size").alias("s")).collect()}  # a row a shard
             if not used:
@@ -118,9 +153,19 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
             room = [x - used.get(s, 0) for s, x in enumerate(room)]
             settled.append(accepted.select("block", "to"))
             open_ = cut_lineage(open_.join(accepted.select("block"), "block", "left_anti"))
-    if settled:
-        homes = reduce(DataFrame.union, settled)
-        placed = rows.join(members.join(homes, "block").select("_row", F.col("to").alias("shard")), "_row", "left")
+        if left:
+            small = open_.groupBy("block").agg(F.first("size").alias("size")).select("block.grp", "block.part", "size").collect()
+            pieces |= _cut({(r.grp, r.part): r.size for r in small}, room)
+    homes = [members.join(reduce(DataFrame.union, settled), "block").select("_row", F.col("to").alias("shard"))] if settled else []
+    if pieces:
+        schema = f"grp {rows.schema['grp'].dataType.simpleString()}, part long, ends array<long>, shards array<int>"
+        cuts = spark.createDataFrame([(*b, list(accumulate(k for _, k in p)), [s for s, _ in p]) for b, p in pieces.items()], schema)
+        torn = cut_lineage(members.join(F.broadcast(cuts.select(F.struct("grp", "part").alias("block"), "ends", "shards")), "block"))
+        numbered = number_rows(torn, torn.count(), F.col("block"), F.col("_row"), "at")
+        to = F.get("shards", F.size(F.filter("ends", lambda e: e <= F.col("at"))))  # null beyond the last piece
+        homes.append(numbered.select("_row", to.alias("shard")))
+    if homes:
+        placed = rows.join(reduce(DataFrame.union, homes), "_row", "left")
     else:
         placed = rows.withColumn("shard", F.lit(None).cast("int"))
     placed = cut_lineage(placed)
