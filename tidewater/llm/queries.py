@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import (html_text, packing, pii, piece_viterbi, quality_model, quality_rules, sharding, simhash,
-                           syncmers, token_counts)
+                           syncmers, token_counts, walsh_clusters)
 from tidewater.llm.common import read
 from tidewater.llm.registry import ORACLES, QUERIES, query
 
@@ -98,3 +98,29 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sentencepiece")
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_viterbi.piece_digest(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """Clustering with one pair of CTEs a round: a{i} assigns to the centroids c{i}, c{i+1} holds the floors of the means."""
+    ctes = ["""k AS (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))""",
+            f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS c, v FROM k QUALIFY c < {k})"]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS m FROM (
+  SELECT k.rid, k.vec_id, k.v, z.c, CAST(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - z.v[i]) * (k.v[i] - z.v[i]))) AS BIGINT) AS d
+  FROM k, c{i} z) GROUP BY rid)""")
+        if i < rounds:
+            ctes.append(f"""s{i} AS (SELECT c, i, CAST(SUM(x) AS BIGINT) AS s, COUNT(*) AS n FROM (
+  SELECT m.c AS c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{i}) GROUP BY c, i)""")
+            ctes.append(f"""c{i + 1} AS (SELECT z.c, COALESCE(w.v, z.v) AS v FROM c{i} z LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY c) w ON z.c = w.c)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(SUM(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+  CAST(SUM(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} z ON z.c = m.c
+"""
+
+
+@query("op11_walsh_clusters", _clusters_sql())
+def op11_walsh_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walsh_clusters.centroid_clusters(read(spark, sf_dir, "embeddings"))
