@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import (html_text, packing, pii, piece_viterbi, quality_model, quality_rules, sharding, simhash,
-                           syncmers, token_counts, walsh_clusters)
+from tidewater.llm import (html_text, packing, pii, piece_viterbi, pq_links, prefix_trie, quality_model, quality_rules, sharding,
+                           simhash, syncmers, token_counts, walsh_clusters)
 from tidewater.llm.common import read
 from tidewater.llm.registry import ORACLES, QUERIES, query
 
@@ -124,3 +124,45 @@ FROM a{rounds} JOIN c{rounds} z ON z.c = m.c
 @query("op11_walsh_clusters", _clusters_sql())
 def op11_walsh_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walsh_clusters.centroid_clusters(read(spark, sf_dir, "embeddings"))
+
+
+# crc32 of the decimal id, byte by byte and bit by bit; then every rebuilt conversation's prefixes (m), the distinct ones (n),
+# and subtree sums by crediting a node's saving and leaf to its least member
+PREFIX_TRIE_SQL = r"""
+WITH t AS (SELECT conv_id AS c, COALESCE(role, '') AS r, COALESCE(text, '') AS x,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+k0 AS (SELECT c, MAX(p) AS len, c - c % 5 AS b, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+  flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda acc, s: xor(xor(acc, s) >> 1, 3988292384::BIGINT * (xor(acc, s) & 1)))) % 9 AS h FROM t GROUP BY c),
+k AS (SELECT a.*, LEAST(a.h, COALESCE(b.len, 0)) AS lead FROM k0 a LEFT JOIN k0 b ON b.c = a.b),
+s AS (SELECT k.c, t.p AS d, t.r, t.x FROM k JOIN t ON t.c = k.b AND t.p <= k.h
+  UNION ALL SELECT k.c, t.p - k.h + k.lead, t.r, t.x FROM k JOIN t ON t.c = k.c AND t.p > k.h),
+q AS (SELECT k.c, COALESCE(z.l, []) AS l, COALESCE(len(z.l), 0) AS n FROM k LEFT JOIN (
+  SELECT c, list(struct_pack(r := r, x := x) ORDER BY d) AS l FROM s GROUP BY c) z ON z.c = k.c),
+m AS (SELECT c, n, d, sha256(CAST(to_json(l[1:d]) AS VARCHAR)) AS key, CASE WHEN d > 0 THEN strlen(l[d].x) ELSE 0 END AS bytes
+  FROM (SELECT c, l, n, unnest(range(0, n + 1)) AS d FROM q)),
+w AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS up FROM m),
+n AS (SELECT d, key, any_value(up) AS up, any_value(bytes) AS bytes, COUNT(*) AS n, MIN(c) AS c,
+  sha256(COALESCE(string_agg(CASE WHEN d = n THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends FROM w GROUP BY d, key),
+f AS (SELECT n.*, COALESCE(z.kids, 0) AS kids, p.c AS parent FROM n
+  LEFT JOIN (SELECT d - 1 AS d, up AS key, COUNT(*) AS kids FROM n GROUP BY 1, 2) z ON z.d = n.d AND z.key = n.key
+  LEFT JOIN n p ON p.d = n.d - 1 AND p.key = n.up),
+credit AS (SELECT w.c, w.d, w.key, CASE WHEN f.c = w.c THEN (f.n - 1) * f.bytes ELSE 0 END AS s,
+  CASE WHEN f.c = w.c AND f.kids = 0 THEN 1 ELSE 0 END AS leaf FROM w JOIN f ON f.d = w.d AND f.key = w.key),
+below AS (SELECT d, key, SUM(s) AS s, SUM(leaf) AS leaf FROM (
+  SELECT d, key, SUM(s) OVER z AS s, SUM(leaf) OVER z AS leaf FROM credit
+  WINDOW z AS (PARTITION BY c ORDER BY d DESC ROWS UNBOUNDED PRECEDING)) GROUP BY d, key)
+SELECT f.c AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n AS n_convs, f.kids AS n_children,
+  CAST(below.leaf AS BIGINT) AS n_leaves, CAST(below.s AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN below ON below.d = f.d AND below.key = f.key
+"""
+
+
+@query("op12_prefix_trie", PREFIX_TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_pq_links")
+def op13_pq_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_links.near_vectors(read(spark, sf_dir, "embeddings"))
