@@ -47,15 +47,16 @@ f AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(reg
   CAST(COALESCE(cov.n, 0) AS BIGINT) AS n_repeat_words FROM g LEFT JOIN cov USING (rid)),
 r AS (SELECT *, n_words < 50 AS r1, 100 * n_repeat_words > 50 * n_words AS r2, 100 * n_symbols > 10 * word_chars AS r3,
   100 * n_dup_lines > 30 * n_lines AS r4 FROM f),
-h AS (SELECT source, unnest(['r1', 'r2', 'r3', 'r4']) AS rule, COUNT(*) AS n,
-  unnest([SUM(CAST(r1 AS INT)), SUM(CAST(r2 AS INT)), SUM(CAST(r3 AS INT)), SUM(CAST(r4 AS INT))]) AS f
-  FROM r WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT rule, AVG(f / n) AS m, VAR_POP(f / n) AS v, AVG(1.0 / n) AS inv FROM h GROUP BY rule),
-p AS (SELECT rule, m, CASE WHEN v - m * (1 - m) * inv > 1e-12 THEN GREATEST(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 0) ELSE 1e9 END AS s FROM m),
-hv AS (SELECT source, BOOL_AND((f + m * s) / (n + s) <= 0.8) AS host_ok FROM h JOIN p USING (rule) GROUP BY source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (r1 OR r2) AS base_failed, host_ok,
-  NOT (r1 OR r2) AND COALESCE(host_ok, TRUE) AS kept
-FROM r LEFT JOIN hv USING (source)
+h AS (SELECT source, COUNT(*) AS n, SUM(CAST(r1 OR r2 OR r3 OR r4 AS INT)) AS f FROM r WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT AVG(f / n) AS m, VAR_POP(f / n) AS v, AVG(1.0 / n) AS inv FROM h),
+p AS (SELECT m, CASE WHEN v - m * (1 - m) * inv > 1e-12 THEN GREATEST(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 0) ELSE 1e9 END AS s FROM m),
+hv AS (SELECT source, (f + m * s) / (n + s) AS rate FROM h, p),
+v AS (SELECT r.*, COALESCE(hv.rate, (SELECT m FROM m), 0) AS host_rate,
+  CASE WHEN r3 OR r4 THEN (CASE WHEN r3 THEN 200.0 ELSE 1.0 END) * (CASE WHEN r4 THEN 3.0 ELSE 1.0 END) ELSE 0.05 END AS odds
+  FROM r LEFT JOIN hv USING (source))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (r1 OR r2) AS base_failed, host_rate,
+  host_rate * 0.05 <= 1 - host_rate AS host_ok, NOT (r1 OR r2) AND host_rate * odds <= 1 - host_rate AS kept
+FROM v
 """
 
 
