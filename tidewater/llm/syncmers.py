@@ -23,7 +23,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,27 +90,47 @@ def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
         return _mix(whole), at
 
 
-def sketch(text: str | None, size: int = SKETCH) -> np.ndarray:
+def sketch(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
     """The ``size`` least distinct anchor hashes (32 bits of each), sorted."""
-    h = np.unique((anchors(text)[0] >> np.uint64(32)).astype(np.uint32))
-    return h[:size]
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:size]
 
 
 def to_hex(sk: np.ndarray) -> str:
     return sk.astype(">u4").tobytes().hex()
 
 
-def from_hex(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), dtype=">u4").astype(np.uint32)
-
-
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Share of anchors in common, 2 j / (1 + j), with the Jaccard share j taken over the least ``size`` of the union."""
-    if not len(a) and not len(b):
+def matches(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Places in b of the anchors that a has too, in the order of a; the i-th of equal anchors matches the i-th."""
+    (ha, _), (hb, _) = a, b
+    oa, ob = np.argsort(ha, kind="stable"), np.argsort(hb, kind="stable")
+    ua, fa, ca = np.unique(ha[oa], return_index=True, return_counts=True)
+    ub, fb, cb = np.unique(hb[ob], return_index=True, return_counts=True)
+    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    times = np.minimum(ca[ia], cb[ib])
+    turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    at_a, at_b = oa[np.repeat(fa[ia], times) + turn], ob[np.repeat(fb[ib], times) + turn]
+    return at_b[np.argsort(at_a)]
+
+
+def chain(places: np.ndarray) -> int:
+    """Length of the longest ascending run of matches, adjacent or not."""
+    if (np.diff(places) > 0).all():
+        return len(places)
+    tails: list[int] = []
+    for p in places.tolist():
+        at = bisect_left(tails, p)
+        if at == len(tails):
+            tails.append(p)
+        else:
+            tails[at] = p
+    return len(tails)
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Share of anchors that match by hash in the same order: twice the longest chain over the anchors of both."""
+    if not len(a[0]) and not len(b[0]):
         return 1.0
-    union = np.union1d(a, b)[:size]
-    j = np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union)
-    return float(2 * j / (1 + j))
+    return 2 * chain(matches(a, b)) / (len(a[0]) + len(b[0]))
 
 
 def edited(text: str, following: str) -> str:
@@ -136,9 +156,9 @@ def _row_key(row: tuple) -> tuple:
 
 
 def _bounds(keys: DataFrame, parts: int) -> list[tuple]:
-    """At most ``parts`` - 1 split points from SAMPLE_PER_PART sampled keys a part (they only balance the parts)."""
-    size = SAMPLE_PER_PART * parts
-    seen = sorted(_row_key(tuple(r)) for r in keys.orderBy(F.xxhash64("_row"), "_row").limit(size).collect())
+    """At most ``parts`` - 1 split points from about SAMPLE_PER_PART sampled keys a part (they only balance the parts)."""
+    one_in = max(1, keys.count() // (SAMPLE_PER_PART * parts))  # tasks hand over sampled rows only
+    seen = sorted(_row_key(tuple(r)) for r in keys.where(F.pmod(F.xxhash64("_row"), F.lit(one_in)) == 0).collect())
     return sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if len(seen) > parts else []
 
 
@@ -182,16 +202,16 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row whose next one is still to come: id, text, sketch
+        held = None  # the row whose next one is still to come: id, text, anchors
         for batch in batches:
             out = []
             for doc_id, text, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                own = sketch(text)
+                own = anchors(text)
                 if held is not None:
                     new = edited(held[1], text)
-                    changed = sketch(new)
-                    out.append((held[0], len(held[1]), hashlib.sha256(new.encode()).hexdigest(), to_hex(held[2]),
-                                to_hex(changed), likeness(held[2], changed), likeness(held[2], own)))
+                    changed = anchors(new)
+                    out.append((held[0], len(held[1]), hashlib.sha256(new.encode()).hexdigest(), to_hex(sketch(held[2][0])),
+                                to_hex(sketch(changed[0])), likeness(held[2], changed), likeness(held[2], own)))
                 held = (doc_id, text, own)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
