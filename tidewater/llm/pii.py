@@ -5,7 +5,7 @@ confirms them, and words within ``CONTEXT_CHARS`` before or after raise or lower
 the score.  Four base kinds (email, ip, card, phone) are reported whenever their
 validator holds; the kinds the method adds (iban, short cards, phones without a
 country code, national ids) need a score of ``MIN_SCORE``, which a bare number
-only reaches next to a fitting word.  Added spans never overlap base spans.
+only reaches next to a fitting word (English, and some German, French and Spanish ones).  Added spans never overlap base spans.
 
 Where the longest form of an account number fails its checksum, shorter ones that end at
 a space of the proposal are tried, since a word in capitals may follow the number.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -102,7 +103,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[Span]:
     out = [Span("email", s, e, 0.95) for s, e in emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(v := p.lstrip("0")) <= 3 and int(v or 0) <= 255 for p in m.group().split(".")):
             out.append(Span("ip", m.start(), m.end(), 0.8))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -150,12 +151,24 @@ def _proposals(text: str):
             yield "national_id", *m.span(), 0.4
 
 
+def _merged(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that the spans cover, ascending."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def find_spans(text: str | None) -> list[Span]:
     """All spans of a text, by kind as listed, then start."""
     if not text:
         return []
     out = base_spans(text)
-    taken = sorted((s.start, s.end) for s in out)
+    starts, ends = _merged((s.start, s.end) for s in out)
     added: list[Span] = []
     for kind, start, end, score in _proposals(text):
         near = text[max(0, start - CONTEXT_CHARS):start] + " \n " + text[end:end + CONTEXT_CHARS]
@@ -166,9 +179,11 @@ def find_spans(text: str | None) -> list[Span]:
         if score >= MIN_SCORE:
             added.append(Span(kind, start, end, round(score, 2)))
     for sp in added:  # an earlier kind wins where two overlap
-        if not any(s < sp.end and sp.start < e for s, e in taken):
+        at = bisect_left(starts, sp.end)  # of the taken intervals that start before its end, the last one reaches furthest
+        if not at or ends[at - 1] <= sp.start:
             out.append(sp)
-            taken.append((sp.start, sp.end))
+            starts.insert(at, sp.start)
+            ends.insert(at, sp.end)
     return sorted(out, key=lambda s: (KINDS.index(s.kind), s.start))
 
 
