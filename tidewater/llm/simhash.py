@@ -267,10 +267,9 @@ def keep_one(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     place = scratch_path(spark, "simhash-rows")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     cols = docs.columns
-    packed = numbered.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != text_col]).alias("_doc"), "_row",
-                             F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != text_col]).alias("_doc"),
+                         F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     fingerprints(packed, shingle, "_text", keep_text=True).write.parquet(place)
     stored = spark.read.parquet(place)
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"))
