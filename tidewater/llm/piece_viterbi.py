@@ -34,6 +34,8 @@ from tidewater.llm.common import map_batches
 from tidewater.llm.pieces import MARK, cut_pattern
 
 MEMO_ENTRIES = 600_000
+# Longer words are forgotten after their batch, so the memo is bounded in bytes too.
+MEMO_CHARS = 64
 UNKNOWN_PENALTY = 10.0
 
 
@@ -115,7 +117,10 @@ class PieceModel:
         for word, ids in self.paths(sorted(fresh)):
             self.memo[word] = array("I", ids).tobytes()
         get = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in cut]
+        out = [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in cut]
+        for word in [w for w in words if len(w) > MEMO_CHARS]:
+            del self.memo[word]
+        return out
 
     def decode(self, ids) -> str:
         text = "".join(map(self.text_of.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
