@@ -150,3 +150,9 @@ def test_piece_queries(docs, texts, edge_docs, no_docs):
     assert {r.doc_id: r.text for r in piece_viterbi.decode_pieces(enc, PIECES).collect()} == texts
     assert all(r.round_trip for r in piece_viterbi.piece_digest(edge_docs, PIECES).collect())
     assert piece_viterbi.piece_digest(no_docs, PIECES).collect() == []
+
+
+def test_long_words_leave_the_memo():
+    m = piece_viterbi.PieceModel(PIECES)
+    m.encode(["ab" * 50_000 + " short word", "漢字" * 2000])
+    assert m.memo and max(map(len, m.memo)) <= piece_viterbi.MEMO_CHARS
