@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.constants import SUPPLIER_FEATURES
 from tidewater.functions.joins import small_side
+from tidewater.operators import boosting as B
 from tidewater.operators import demand as D
 from tidewater.operators import iforest as IF
 from tidewater.operators import metrics as M
@@ -146,7 +147,7 @@ def anomaly_summary_iforest(spark, sf_dir):
 def train(spark, sf_dir, folder: str) -> dict[str, str]:
     """A3: fit all models on the tables of ``sf_dir`` and save each under ``folder``; returns their places."""
     place = {k: os.path.join(folder, k) for k in ("demand", "risk", "risk_train", "iforest_nodes", "q_table")}
-    ML.save_model(_demand_model(spark, sf_dir), place["demand"])
+    B.save(_demand_model(spark, sf_dir), spark, place["demand"])
     base, rows = _risk_train(spark, sf_dir)
     ML.save_model(ML.fit_risk_model(_risk_features(rows, rows)), place["risk"])
     # what scoring needs of the training rows: the department rates and the label codes
@@ -179,7 +180,7 @@ def models_roundtrip(spark, sf_dir):
     rows = _global_rows(spark, sf_dir)
     test = rows.where(~F.col("is_train"))
     a = ML.predict_demand_rows(ML.fit_demand_model(rows), test).select("order_date", F.col("y_pred").alias("a"))
-    b = ML.predict_demand_rows(ML.load_model(place["demand"]), test).select("order_date", F.col("y_pred").alias("b"))
+    b = ML.predict_demand_rows(B.load(spark, place["demand"]), test).select("order_date", F.col("y_pred").alias("b"))
     demand = a.join(b, "order_date").agg(F.lit("demand_gbt").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),
                                          F.count_if(F.abs(F.col("a") - F.col("b")) < 1e-9).alias("n_equal"))
     _, fitted = _risk_scored(spark, sf_dir)
