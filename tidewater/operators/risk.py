@@ -4,18 +4,19 @@ The per-department delay rate is a grouped aggregate joined back (never a
 window over the department, which would put a hot department's rows into
 one task).  Label codes are ranks among each column's sorted distinct
 values: all coded columns are stacked into one (column, value) table, made
-distinct (partial aggregation), ranked per column, and joined back through a
-size-checked broadcast.
+distinct (partial aggregation), dealt by range, ranked inside each range with the counts of
+the ranges before it, and joined back through a size-checked broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.constants import RISK_CODED, RISK_FEATURES
 from tidewater.functions.exprs import arith_hash, risk_class, shipping_mode_enc
 from tidewater.functions.joins import small_side
+from tidewater.operators.quantiles import before, bucketed_counts
 
 
 def delay_columns(orders: DataFrame) -> DataFrame:
@@ -49,9 +50,9 @@ def label_code_table(df: DataFrame, columns: list[str]) -> DataFrame:
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("value")) for c in columns
     ])).alias("kv")).select("kv.col_name", "kv.value")
-    distinct = stacked.where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("col_name").orderBy("value")
-    return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    distinct = bucketed_counts(stacked.where(F.col("value").isNotNull()), ["col_name"], "value", [F.max(F.lit(1)).alias("_n")])
+    # of distinct values, the rank is the number of smaller ones
+    return before(distinct, ["col_name"], "value", "_n", "code").select("col_name", "value", F.col("code").cast("int").alias("code"))
 
 
 def with_label_codes(df: DataFrame, coded: dict[str, str] = RISK_CODED, codes_from: DataFrame | None = None,

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tidewater.functions.constants import SUPPLIER_FEATURES
+from tidewater.functions.constants import RISK_FEATURES, SUPPLIER_FEATURES
 from tidewater.functions.joins import small_side
 from tidewater.operators import boosting as B
 from tidewater.operators import demand as D
@@ -16,7 +16,7 @@ from tidewater.operators import models as ML
 from tidewater.operators import risk as R
 from tidewater.operators import supplier as S
 from tidewater.plans.registry import query, round_doubles
-from tidewater.session import scratch_path
+from tidewater.session import cut_lineage, scratch_path
 from tidewater.sources.tables import order_lines
 
 _RISK_IN = ["order_id", "line_no", "order_date", "quantity", "actual_days", "scheduled_days", "shipping_mode",
@@ -85,9 +85,14 @@ def _risk_split(spark, sf_dir):
     return _risk_features(base, train)
 
 
+def _risk_fit(feats):
+    """The forest on the training rows of ``feats``; what MLlib reads several times is written once, 14 narrow columns."""
+    return ML.fit_risk_model(cut_lineage(feats.where(~F.col("is_test")).select(*RISK_FEATURES, "risk_class")))
+
+
 def _risk_scored(spark, sf_dir):
-    s = _risk_split(spark, sf_dir)
-    model = ML.fit_risk_model(s.where(~F.col("is_test")))
+    s = cut_lineage(_risk_split(spark, sf_dir).select("order_id", "line_no", "is_test", "risk_class", *RISK_FEATURES))
+    model = _risk_fit(s)
     return ML.score_risk(model, s.where(F.col("is_test"))), model
 
 
@@ -103,7 +108,7 @@ def risk_rf_predictions(spark, sf_dir):
 def model_classification_report(spark, sf_dir):
     """G3-G5 for the forest on held-out rows: accuracy, macro P/R/F1 and macro one-vs-rest AUC."""
     scored, _ = _risk_scored(spark, sf_dir)
-    s = scored.withColumnRenamed("risk_class", "label").cache()
+    s = cut_lineage(scored.select(F.col("risk_class").alias("label"), "prediction", "p_0", "p_1", "p_2"))
     rep = M.classification_report(s)
     auc = M.macro_auc(M.auc_ovr(s))
     return round_doubles(rep.withColumn("auc_macro", auc.scalar()))
@@ -214,15 +219,11 @@ def order_decisions_learned(spark, sf_dir):
     ol = order_lines(spark, sf_dir, ["order_date", "quantity"])
     fc = ML.recursive_forecast(model, ML.history_state(D.spine(D.daily_demand(ol))), horizon=7)
     x["base_fc"] = DP.base_forecast(fc)
-    # risk: the forest on the 13 order-time features, trained on the train split
-    _, rf = _risk_scored(spark, sf_dir)
-
-    _, train = _risk_train(spark, sf_dir)
-
-    def scorer(orders):
-        return ML.score_risk(rf, _risk_features(orders, train))
-
-    x["risk_scorer"] = scorer
+    # risk: the forest on the 13 order-time features, fitted on the train split; every order is scored once
+    split = R.stratified_split(x["orders"], ["order_id", "line_no"])
+    feats = cut_lineage(_risk_features(split, split.where(~F.col("is_test"))))
+    x["orders"] = cut_lineage(ML.score_risk(_risk_fit(feats), feats).select(*x["orders"].columns, "prediction"))
+    x["risk_scorer"] = lambda orders: orders
     # anomaly: the isolation forest on department statistics
     st = S.stats(order_lines(spark, sf_dir, ["department", "actual_days", "order_value", "late_risk"]))
     nodes, psi = IF.fit(st, SUPPLIER_FEATURES)
