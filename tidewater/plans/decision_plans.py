@@ -34,6 +34,7 @@ from tidewater.plans.registry import query, round_doubles
 from tidewater.session import cut_lineage
 from tidewater.plans.route_plans import EDGES_SQL, LANES_SQL, NODES_SQL, ROUNDS, sql_relaxation
 from tidewater.sources import fixtures as FX
+from tidewater.sources import versions as V
 from tidewater.sources.tables import order_lines, read_table
 
 DECISION_IN = ["order_id", "line_no", "order_date", "quantity", "order_value", "discount_rate", "inventory",
@@ -64,7 +65,7 @@ def decision_inputs(spark, sf_dir, policy_sweeps: int | None = 2) -> dict:
     x = dict(orders=base, flags=S.zscore_outliers(stats, "department"),
              shares=R.class_shares(sums.where(F.col("set") == "mode").select("shipping_mode", "risk_class",
                                                                             F.col("n_train").alias("n"))),
-             forecast=fc, base_fc=base_forecast(fc), auv=F.round(F.lit(float(unit_value)), 6),
+             forecast=fc, base_fc=base_forecast(fc), unit_value=float(unit_value), auv=F.round(F.lit(float(unit_value)), 6),
              routes=cut_lineage(RT.route_table(best_paths, FX.net_nodes(spark, sf_dir))), stats=stats,
              changes=P.daily_changes(FX.states_of_days(days.select(
                  "department", "order_date", F.col("quantity").alias("demand"), F.col("n").alias("lines"), "late",
@@ -75,6 +76,20 @@ def decision_inputs(spark, sf_dir, policy_sweeps: int | None = 2) -> dict:
     return x
 
 
+def publish_inputs(spark, x: dict, store: str) -> V.Version:
+    """The look-ups and the policy of ``decision_inputs`` as one committed version."""
+    unit = spark.createDataFrame([(x["unit_value"],)], "unit_value double")
+    tables = {"unit": unit, **{k: x[k] for k in ("flags", "shares", "forecast", "routes", "q")}}
+    return V.publish(spark, store, {k: V.as_table(t) for k, t in tables.items()})
+
+
+def published_inputs(spark, version: V.Version) -> dict:
+    """What ``decisions`` needs, from a committed version."""
+    x = {k: version.table(spark, k) for k in ("flags", "shares", "forecast", "routes", "q")}
+    unit = version.table(spark, "unit").first().unit_value
+    return x | {"base_fc": base_forecast(x["forecast"]), "auv": F.round(F.lit(unit), 6)}
+
+
 def order_sums(orders: DataFrame) -> DataFrame:
     """Every sum the look-ups need in one pass over the order lines, combined map-side and written once.
 

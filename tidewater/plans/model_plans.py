@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from tidewater.functions.constants import RISK_FEATURES, SUPPLIER_FEATURES
@@ -13,10 +11,12 @@ from tidewater.operators import demand as D
 from tidewater.operators import iforest as IF
 from tidewater.operators import metrics as M
 from tidewater.operators import models as ML
+from tidewater.operators import policy as P
 from tidewater.operators import risk as R
 from tidewater.operators import supplier as S
 from tidewater.plans.registry import query, round_doubles
 from tidewater.session import cut_lineage, scratch_path
+from tidewater.sources import versions as V
 from tidewater.sources.tables import order_lines
 
 _RISK_IN = ["order_id", "line_no", "order_date", "quantity", "actual_days", "scheduled_days", "shipping_mode",
@@ -149,31 +149,59 @@ def anomaly_summary_iforest(spark, sf_dir):
     return S.anomaly_summary(scored)
 
 
-def train(spark, sf_dir, folder: str) -> dict[str, str]:
-    """A3: fit all models on the tables of ``sf_dir`` and save each under ``folder``; returns their places."""
-    place = {k: os.path.join(folder, k) for k in ("demand", "risk", "risk_train", "iforest_nodes", "q_table")}
-    B.save(_demand_model(spark, sf_dir), spark, place["demand"])
+def train(spark, sf_dir, place: str) -> V.Version:
+    """A3: fit all models on the tables of ``sf_dir`` and publish them at ``place`` as one version.
+
+    Nothing is visible before the last part is written; an interrupted run leaves the version before it.
+    """
+    from tidewater.plans.policy_plans import _q
     base, rows = _risk_train(spark, sf_dir)
-    ML.save_model(ML.fit_risk_model(_risk_features(rows, rows)), place["risk"])
-    # what scoring needs of the training rows: the department rates and the label codes
-    R.delay_rates(rows).write.mode("overwrite").parquet(place["risk_train"] + "/rates")
-    R.label_code_table(rows, sorted(set(R.RISK_CODED.values()))).write.mode("overwrite").parquet(place["risk_train"] + "/codes")
     st = S.stats(order_lines(spark, sf_dir, ["department", "actual_days", "order_value", "late_risk"]))
-    nodes, psi = IF.fit(st, SUPPLIER_FEATURES)
-    nodes.withColumn("psi", F.lit(psi)).write.mode("overwrite").parquet(place["iforest_nodes"])
-    from tidewater.plans.policy_plans import _q
-    _q(spark, sf_dir, 2).write.mode("overwrite").parquet(place["q_table"])
-    return place
-
 
-def score(spark, sf_dir, folder: str):
-    """A4: delay class and probabilities of every order line by the models saved under ``folder``."""
-    model = ML.load_model(os.path.join(folder, "risk"))
-    rates = spark.read.parquet(os.path.join(folder, "risk_train", "rates"))
-    codes = spark.read.parquet(os.path.join(folder, "risk_train", "codes"))
-    orders = R.delay_columns(order_lines(spark, sf_dir, _RISK_IN))
-    feats = R.with_label_codes(orders.join(small_side(rates), "department", "left"), codes=codes)
-    return ML.score_risk(model, feats)
+    def forest(path):
+        nodes, psi = IF.fit(st, SUPPLIER_FEATURES)
+        _, offset = IF.score(st, nodes, SUPPLIER_FEATURES, psi)
+        nodes.withColumns({"psi": F.lit(psi), "offset": F.lit(offset)}).write.parquet(path)
+
+    return V.publish(spark, place, {
+        "demand": lambda path: B.save(_demand_model(spark, sf_dir), spark, path),
+        "risk": lambda path: ML.save_model(_risk_fit(_risk_features(rows, rows)), path),
+        # what scoring needs of the training rows: the department rates and the label codes
+        "risk_rates": V.as_table(R.delay_rates(rows)),
+        "risk_codes": V.as_table(R.label_code_table(rows, sorted(set(R.RISK_CODED.values())))),
+        "iforest": forest,
+        "q_table": V.as_table(_q(spark, sf_dir, 2))})
+
+
+def score(spark, sf_dir, place: str) -> dict:
+    """A4: what the newest version at ``place`` says of the tables of ``sf_dir``, by artifact; absent ones are left out.
+
+    ``risk``: delay class and probabilities of every order line.  ``demand``: the 7-day forecast of
+    every department.  ``iforest``: anomaly score and flag of every department.  ``q_table``: the best action of every trained state.
+    """
+    version = V.newest(spark, place)
+    out = {}
+    if version is None:
+        return out
+    if {"risk", "risk_rates", "risk_codes"} <= set(version.parts):
+        orders = R.delay_columns(order_lines(spark, sf_dir, _RISK_IN))
+        rated = orders.join(small_side(version.table(spark, "risk_rates")), "department", "left")
+        out["risk"] = ML.score_risk(ML.load_model(f"{version.folder}/risk"),
+                                    R.with_label_codes(rated, codes=version.table(spark, "risk_codes")))
+    if "demand" in version.parts:
+        by = ["department"]
+        series = D.spine(D.daily_demand(order_lines(spark, sf_dir, ["order_date", "quantity", *by]), by), by)
+        out["demand"] = ML.recursive_forecast(B.load(spark, f"{version.folder}/demand"), ML.history_state(series, by), by)
+    if "iforest" in version.parts:
+        st = S.stats(order_lines(spark, sf_dir, ["department", "actual_days", "order_value", "late_risk"]))
+        nodes = version.table(spark, "iforest")
+        facts = nodes.select("psi", "offset").first()
+        scored, _ = IF.score(st, nodes.drop("psi", "offset"), SUPPLIER_FEATURES, facts.psi, offset=facts.offset)
+        out["iforest"] = scored.select("department", "anomaly_score", "is_anomaly")
+    if "q_table" in version.parts:
+        q = version.table(spark, "q_table")
+        out["q_table"] = P.best_action(P.q_full(q, q.select("state").distinct()))
+    return out
 
 
 @query("models_roundtrip")
@@ -181,26 +209,27 @@ def models_roundtrip(spark, sf_dir):
     """A3/A4: train into a folder, load from it, and compare with models fitted here, artifact by artifact."""
     from tidewater.plans.policy_plans import _q
     base = scratch_path(spark, "models")
-    place = train(spark, sf_dir, base)
+    version = train(spark, sf_dir, base)
+    scored = score(spark, sf_dir, base)
     rows = _global_rows(spark, sf_dir)
     test = rows.where(~F.col("is_train"))
     a = ML.predict_demand_rows(ML.fit_demand_model(rows), test).select("order_date", F.col("y_pred").alias("a"))
-    b = ML.predict_demand_rows(B.load(spark, place["demand"]), test).select("order_date", F.col("y_pred").alias("b"))
+    b = ML.predict_demand_rows(B.load(spark, f"{version.folder}/demand"), test).select("order_date", F.col("y_pred").alias("b"))
     demand = a.join(b, "order_date").agg(F.lit("demand_gbt").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),
                                          F.count_if(F.abs(F.col("a") - F.col("b")) < 1e-9).alias("n_equal"))
     _, fitted = _risk_scored(spark, sf_dir)
     # both models score the same rows in one pass ((order, line) is not a unique key)
-    loaded = score(spark, sf_dir, base).withColumnRenamed("prediction", "a").drop("p_0", "p_1", "p_2")
+    loaded = scored["risk"].withColumnRenamed("prediction", "a").drop("p_0", "p_1", "p_2")
     risk = ML.score_risk(fitted, loaded).agg(F.lit("risk_rf").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),
                                              F.count_if(F.col("a") == F.col("prediction")).alias("n_equal"))
-    qq = _q(spark, sf_dir, 2).join(spark.read.parquet(place["q_table"]).withColumnRenamed("q", "q2"),
+    qq = _q(spark, sf_dir, 2).join(version.table(spark, "q_table").withColumnRenamed("q", "q2"),
                                    ["state", "action_id"]).agg(
         F.lit("q_table").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("q") == F.col("q2")).alias("n_equal"))
     st = S.stats(order_lines(spark, sf_dir, ["department", "actual_days", "order_value", "late_risk"]))
     nodes, psi = IF.fit(st, SUPPLIER_FEATURES)
-    sa, off = IF.score(st, nodes, SUPPLIER_FEATURES, psi)
-    sb, _ = IF.score(st, spark.read.parquet(place["iforest_nodes"]).drop("psi"), SUPPLIER_FEATURES, psi, offset=off)
+    sa, _ = IF.score(st, nodes, SUPPLIER_FEATURES, psi)
+    sb = scored["iforest"]
     forest = sa.select("department", F.col("anomaly_score").alias("a")).join(
         sb.select("department", F.col("anomaly_score").alias("b")), "department").agg(
         F.lit("iforest").alias("artifact"), F.count(F.lit(1)).alias("n_rows"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import risk as R
 from tidewater.plans import decision_plans as DP
 from tidewater.plans.registry import query, round_doubles
+from tidewater.session import scratch_path
 from tidewater.sources.tables import order_lines, read_table
 from tidewater.streaming import live as LV
 
@@ -43,17 +44,16 @@ def stream_dedup_events(spark, sf_dir):
 
 
 def _live(spark, sf_dir):
-    x = DP.decision_inputs(spark, sf_dir)
+    store = scratch_path(spark, "decision-tables")
+    DP.publish_inputs(spark, DP.decision_inputs(spark, sf_dir), store)
     place = f"{sf_dir}/lineitem.parquet"
     lines = order_lines(spark, sf_dir, DP.DECISION_IN,
                         lineitem=LV.arriving(spark, place, read_table(spark, sf_dir, "lineitem").schema))
 
-    def decide(stream):
-        y = dict(x)
-        y["orders"] = R.delay_columns(stream)
-        return DP.decisions(spark, sf_dir, y)
+    def decide(batch, version):
+        return DP.decisions(spark, sf_dir, DP.published_inputs(spark, version) | {"orders": R.delay_columns(batch)})
 
-    return LV.live_decisions(spark, lines, decide)
+    return LV.live_decisions(spark, lines, store, decide)
 
 
 @query("live_order_decisions", DP.DECISIONS_SQL + """SELECT order_id, line_no, department, demand_forecast_7d,
@@ -61,7 +61,7 @@ def _live(spark, sf_dir):
   FLOOR(q_value * 1000.0 + 0.5) / 1000.0 AS q_value, ROUND(confidence, 4) AS confidence, route_cost, path_names, is_emergency,
   route_type, trigger FROM decf""")
 def live_order_decisions(spark, sf_dir):
-    """K1: order lines arriving as files, decided by stream-static joins; equals the batch decisions."""
+    """K1: order lines arriving as files, each batch decided by the look-ups committed last; equals the batch decisions."""
     return DP._decision_out(_live(spark, sf_dir))
 
 

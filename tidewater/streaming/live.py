@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.session import scratch_path
+from tidewater.sources import versions as V
 
 
 def arriving(spark: SparkSession, path: str, schema, files_per_trigger: int = 4) -> DataFrame:
     """The parquet files at ``path`` (a folder, or one file) as a stream, in the order of their age."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path.rstrip("/") + "*")
+    p = path.rstrip("/")  # a stream of one file needs a pattern; this one matches the path itself and nothing beside it
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{p[:-1]}[{p[-1]}]")
 
 
 def write_batch(sink: str):
@@ -101,13 +103,38 @@ def dedup_stream(spark: SparkSession, source: str, schema, key: str = "event_id"
 
 
 # ------------------------------------------------------------------- K1, K3
-def live_decisions(spark: SparkSession, lines: DataFrame, decide, sink: str | None = None) -> DataFrame:
-    """K1: each arriving order line is decided against the current look-up tables (stream-static joins).
+def versioned_writer(spark: SparkSession, store: str, decide, sink: str):
+    """A batch writer that decides each batch by the newest committed version of the look-ups.
 
-    ``lines`` is a stream; ``decide`` maps an order-line DataFrame (stream or batch) to decision rows.
+    The version is written down before the batch is decided, so a replayed batch takes the version it
+    took at first, whatever has been published since.
+    """
+    write = write_batch(sink)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        note = f"{sink}-versions/batch_id={batch_id}"
+        if V.exists(spark, f"{note}/_SUCCESS"):
+            version = V.find(spark, store, spark.read.parquet(note).first().version)
+        else:
+            version = V.newest(spark, store)
+            if version is None:
+                raise LookupError(f"no version of the look-ups at {store}")
+            spark.createDataFrame([(version.number,)], "version long").coalesce(1).write.mode("overwrite").parquet(note)
+        write(decide(batch, version).withColumn("tables_version", F.lit(version.number)), batch_id)
+
+    return run
+
+
+def live_decisions(spark: SparkSession, lines: DataFrame, store: str, decide, sink: str | None = None) -> DataFrame:
+    """K1: each arriving order line is decided by the look-up tables that are current when its batch starts.
+
+    ``lines`` is a stream; ``store`` a place of ``sources.versions``; ``decide`` maps a batch of order lines and a
+    version to decision rows.  The result has the version of each row (tables_version).
     """
     sink = sink or scratch_path(spark, "stream-decisions")
-    _run_to_end(decide(lines), sink, sink + "-checkpoint")
+    q = (lines.writeStream.foreachBatch(versioned_writer(spark, store, decide, sink))
+         .option("checkpointLocation", sink + "-checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
     return spark.read.parquet(sink)
 
 
