@@ -59,6 +59,55 @@ def test_request_validation(spark):
     ok, bad = RT.valid_requests(req, nodes)
     assert [(r.start, r.goal) for r in ok.collect()] == [(0, 1)]
     reasons = {(r.start, r.goal): r.reason for r in bad.collect()}
-    assert reasons[(0, 0)] == "start_node and goal_node must be different."
-    assert reasons[(5, 1)] == "start_node 5 is not a valid node ID."
-    assert reasons[(1, 9)] == "goal_node 9 is not a valid node ID."
+    assert reasons[(0, 0)] == "start equals goal"
+    assert reasons[(5, 1)] == "unknown start 5"
+    assert reasons[(1, 9)] == "unknown goal 9"
+
+
+def _plain_paths(lanes, start):
+    """Least (cents, hops, node list) by exhaustive relaxation over lists."""
+    best = {start: (0, 0, [start])}
+    while True:
+        new = dict(best)
+        for n, (c, h, p) in best.items():
+            for a, b, w in lanes:
+                for x, y in ((a, b), (b, a)):
+                    if x == n and y not in p and (y not in new or (c + w, h + 1, p + [y]) < new[y]):
+                        new[y] = (c + w, h + 1, p + [y])
+        if new == best:
+            return best
+        best = new
+
+
+def test_paths_with_many_ties_equal_plain_lists(spark):
+    import random
+    rng = random.Random(4)
+    lanes = {(a, b): rng.randint(1, 3) for a in range(14) for b in range(a) if rng.random() < 0.35}
+    lanes = [(a, b, w) for (a, b), w in lanes.items()] + [(20, 21, 1)]
+    adj = spark.createDataFrame(lanes + [(b, a, w) for a, b, w in lanes], "src int, dst int, w_cents long")
+    starts = spark.createDataFrame([(0,), (3,), (20,)], "start int")
+    want = {(s, n): v for s in (0, 3, 20) for n, v in _plain_paths(lanes, s).items()}
+    got = {(r.start, r.node): (r.cents, r.hops, r.path) for r in RT.shortest_paths(adj, starts).collect()}
+    assert got == want
+    pairs = [(0, 5), (0, 9), (3, 3), (20, 5), (3, 21)]
+    goals = spark.createDataFrame(pairs, "start int, goal int")
+    some = {(r.start, r.node): (r.cents, r.hops, r.path) for r in RT.shortest_paths(adj, starts, goals).collect()}
+    assert some == {k: want[k] for k in pairs if k in want}
+    a = RT.routing_adjacency(adj)
+    assert RT.relax(a, starts, goals).count() <= RT.relax(a, starts).count()
+
+
+def test_routes_over_the_large_supplier_customer_network(spark):
+    """Lanes between single suppliers and customers (FIXTURES, large network); no list in the state, few requested pairs."""
+    lanes = FX.net_edges_large(spark, SF_MID).checkpoint()
+    assert lanes.count() > 40_000
+    adj = RT.adjacency(lanes.withColumn("mode", RT.F.lit("ground")))
+    pairs = spark.createDataFrame([(0, 1_000_010), (0, 1_000_999), (5, 1_000_400), (7, 7)], "start int, goal int")
+    state = RT.relax(RT.routing_adjacency(adj).checkpoint(), pairs.select("start"), pairs)
+    assert state.columns == ["start", "node", "cents", "hops"]
+    w = {}
+    for r in adj.select("src", "dst", "w_cents").collect():
+        w[(r.src, r.dst)] = min(w.get((r.src, r.dst), 1 << 60), r.w_cents)
+    for r in RT.shortest_paths(adj, pairs.select("start"), pairs).collect():
+        assert r.path[0] == r.start and r.path[-1] == r.node and len(r.path) == r.hops + 1
+        assert sum(w[x] for x in zip(r.path, r.path[1:])) == r.cents

@@ -5,8 +5,9 @@ is relaxed at once: a frontier of improved (start, node) rows is joined with
 the adjacency table, the candidates are reduced to their minimum per
 (start, node), and only rows that beat the current best form the next
 frontier.  The loop ends when nothing improves (at most |nodes| - 1 rounds
-with positive weights).  State is |starts| x |reachable nodes| rows; every
-round is cut from its lineage with a reliable checkpoint.
+with positive weights).  A state row is (start, node, cost, hops) and no list; paths are rebuilt
+from predecessors, for the requested pairs only.  Every round is cut from its lineage with a
+reliable checkpoint.
 
 Weights are rounded to cents as in the reference and summed as integers, so
 costs are exact and ties are real ties.  Ties are broken by fewer hops, then
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.constants import (AIR_COST_MULTIPLIER, FUEL_COST_PER_KM, NO_PATH_ERROR,
@@ -57,37 +58,89 @@ def routing_adjacency(adj: DataFrame) -> DataFrame:
     return adj.groupBy("src", "dst").agg(F.min("w_cents").alias("w_cents"))
 
 
-def _best_key():
-    return F.struct(F.col("cents"), F.col("hops"), F.col("path"))
+def relax(adj: DataFrame, starts: DataFrame, goals: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+    """Least (cents, hops) from every start to the nodes it reaches: start, node, cents, hops.
 
-
-def shortest_paths(adj: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """I4: least-cost path from every start to every reachable node.
-
-    ``starts``: one column ``start``.  Returns start, node, cents, hops, path.
-    One aggregate a round merges the state with the candidates and marks what
-    improved; it is written once, with a reliable checkpoint.
+    One aggregate a round merges the state with the candidates and marks what improved; it is written once, with a
+    reliable checkpoint.  With ``goals`` (start, goal) the frontier of a start drops what is dearer than all its
+    goals, once it has reached them all, so only rows that its goals need are complete.
     """
-    a = cut_lineage(routing_adjacency(adj))
+    a = adj
     state = cut_lineage(starts.select("start").distinct().select(
-        "start", F.col("start").alias("node"), F.lit(0).cast("long").alias("cents"),
-        F.lit(0).alias("hops"), F.array(F.col("start")).alias("path"), F.lit(True).alias("fresh")))
+        "start", F.col("start").alias("node"), F.lit(0).cast("long").alias("cents"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")))
+    wanted = None if goals is None else cut_lineage(goals.select("start", F.col("goal").alias("node")).distinct())
     rounds = 0
     while True:
         rounds += 1
-        cand = (state.where("fresh").join(a, F.col("node") == F.col("src"))
-                .where(~F.array_contains("path", F.col("dst")))
-                .select("start", F.col("dst").alias("node"), F.struct(
-                    (F.col("cents") + F.col("w_cents")).alias("cents"), (F.col("hops") + 1).alias("hops"),
-                    F.concat("path", F.array("dst")).alias("path")).alias("k"), F.lit(None).alias("old")))
-        held = state.select("start", "node", _best_key().alias("k"), _best_key().alias("old"))
+        front = state.where("fresh")
+        if wanted is not None:
+            reach = wanted.join(state.select("start", "node", "cents"), ["start", "node"], "left").groupBy("start").agg(
+                F.when(F.count("cents") == F.count(F.lit(1)), F.max("cents")).alias("_far"))
+            front = front.join(reach, "start", "left").where(F.col("_far").isNull() | (F.col("cents") <= F.col("_far")))
+        cand = front.join(a, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.struct(
+            (F.col("cents") + F.col("w_cents")).alias("cents"), (F.col("hops") + 1).alias("hops")).alias("k"), F.lit(None).alias("old"))
+        held = state.select("start", "node", F.struct("cents", "hops").alias("k"), F.struct("cents", "hops").alias("old"))
         best = held.unionByName(cand).groupBy("start", "node").agg(F.min("k").alias("k"), F.min("old").alias("old"))
         state = cut_lineage(best.select("start", "node", "k.*", (F.col("old").isNull() | (F.col("k") < F.col("old"))).alias("fresh")))
         n = state.where("fresh").count()
         log.info("route relaxation round %d: %d improved", rounds, n)
         if n == 0 or (max_rounds is not None and rounds >= max_rounds):
-            break
-    return state.drop("fresh")
+            return state.drop("fresh")
+
+
+def predecessors(state: DataFrame, adj: DataFrame) -> DataFrame:
+    """(start, node, pred): the node before each node on its path.
+
+    Among the nodes that give the least cost and hops, the one whose own path is the least node list.  Paths
+    of one start with equal hops are ordered by (order of the predecessor's path, node), so an order
+    per level of hops decides without any list; levels are only needed where some node has a choice.
+    """
+    before = state.select("start", F.col("node").alias("pred"), F.col("cents").alias("_c"), F.col("hops").alias("_h"))
+    choice = cut_lineage(before.join(adj, F.col("pred") == F.col("src")).join(
+        state, (before["start"] == state["start"]) & (F.col("dst") == F.col("node")) & (F.col("_c") + F.col("w_cents") == F.col("cents"))
+        & (F.col("_h") + 1 == F.col("hops"))).select(before["start"], "node", "pred", "hops"))
+    facts = choice.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("start", "node").alias("nodes"), F.max("hops").alias("deep")).first()
+    if facts.n == facts.nodes:
+        return choice.select("start", "node", "pred")
+    level = state.where(F.col("hops") == 0).select("start", F.col("node").alias("pred"), F.lit(0).alias("_r"))
+    out = None
+    for h in range(1, facts.deep + 1):
+        best = choice.where(F.col("hops") == h).join(level, ["start", "pred"]).groupBy("start", "node").agg(
+            F.min(F.struct("_r", "pred")).alias("_p"))
+        order = F.row_number().over(Window.partitionBy("start").orderBy("_p._r", "node"))
+        found = cut_lineage(best.select("start", "node", "_p.pred", order.alias("_r")))
+        level = found.select("start", F.col("node").alias("pred"), "_r")
+        out = found.drop("_r") if out is None else out.union(found.drop("_r"))
+    return out
+
+
+def rebuild_paths(state: DataFrame, preds: DataFrame, requests: DataFrame) -> DataFrame:
+    """(start, goal, path) of the requested pairs that are reached, by pointer doubling over the predecessors."""
+    seen = requests.select("start", "goal").distinct().join(state.select("start", F.col("node").alias("goal"), "hops"), ["start", "goal"])
+    seen = seen.select("start", "goal", F.col("goal").alias("node"), F.col("hops").alias("pos"))
+    deep = state.agg(F.max("hops")).first()[0] or 0
+    jump, step = preds, 1
+    while step <= deep:
+        back = seen.join(jump, ["start", "node"]).select("start", "goal", F.col("pred").alias("node"), (F.col("pos") - step).alias("pos"))
+        seen = cut_lineage(seen.union(back))
+        step *= 2
+        if step <= deep:
+            mid = jump.select("start", F.col("node").alias("pred"), F.col("pred").alias("far"))
+            jump = cut_lineage(jump.join(mid, ["start", "pred"]).select("start", "node", F.col("far").alias("pred")))
+    return seen.groupBy("start", "goal").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("_p")).select(
+        "start", "goal", F.transform("_p", lambda s: s["node"]).alias("path"))
+
+
+def shortest_paths(adj: DataFrame, starts: DataFrame, goals: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+    """I4: least-cost path from every start to its goals (``goals``: start, goal), or to every node it reaches.
+
+    ``starts``: one column ``start``.  Returns start, node, cents, hops, path.
+    """
+    a = cut_lineage(routing_adjacency(adj))
+    state = relax(a, starts, goals, max_rounds)
+    wanted = state.select("start", F.col("node").alias("goal")) if goals is None else goals
+    paths = rebuild_paths(state, predecessors(state, a), wanted)
+    return state.join(paths.withColumnRenamed("goal", "node"), ["start", "node"])
 
 
 def routes(requests: DataFrame, best: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -152,8 +205,8 @@ def valid_requests(requests: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Da
     known_s = ids.select(F.col("node_id").alias("start"), F.lit(True).alias("_s"))
     known_g = ids.select(F.col("node_id").alias("goal"), F.lit(True).alias("_g"))
     flagged = requests.join(known_s, "start", "left").join(known_g, "goal", "left")
-    reason = (F.when(F.col("_s").isNull(), F.format_string("start_node %s is not a valid node ID.", "start"))
-              .when(F.col("_g").isNull(), F.format_string("goal_node %s is not a valid node ID.", "goal"))
-              .when(F.col("start") == F.col("goal"), F.lit("start_node and goal_node must be different.")))
+    reason = (F.when(F.col("_s").isNull(), F.concat(F.lit("unknown start "), F.col("start").cast("string")))
+              .when(F.col("_g").isNull(), F.concat(F.lit("unknown goal "), F.col("goal").cast("string")))
+              .when(F.col("start") == F.col("goal"), F.lit("start equals goal")))
     rejected = flagged.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("_s", "_g")
     return ok, rejected

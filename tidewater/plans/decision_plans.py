@@ -61,6 +61,7 @@ def decision_inputs(spark, sf_dir, policy_sweeps: int | None = 2) -> dict:
     total = days.agg(F.sum("value"), F.sum("quantity"), F.sum("n")).first()
     unit_value = (total[0] / total[2]) / max(total[1] / total[2], 1.0) if total[2] else 0.0
     adj = RT.adjacency(RT.edge_weights(FX.net_edges(spark, sf_dir, pairs.where(F.col("source") != F.col("target")))))
+    # to every node, since orders to come may join nations that had no lane so far
     best_paths = RT.shortest_paths(adj, pairs.select(F.col("source").alias("start")))
     x = dict(orders=base, flags=S.zscore_outliers(stats, "department"),
              shares=R.class_shares(sums.where(F.col("set") == "mode").select("shipping_mode", "risk_class",

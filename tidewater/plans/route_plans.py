@@ -65,8 +65,8 @@ def _weighted(spark, sf_dir, mode="time"):
 
 def _best(spark, sf_dir):
     adj = RT.adjacency(_weighted(spark, sf_dir))
-    starts = FX.route_requests(spark, sf_dir).select("start")
-    return RT.shortest_paths(adj, starts)
+    requests = FX.route_requests(spark, sf_dir)
+    return RT.shortest_paths(adj, requests.select("start"), requests)
 
 
 @query("net_nodes", with_order_lines(NODES_SQL) + "SELECT node_id, name, ROUND(lat, 4) AS lat, lon, type FROM nodes")
@@ -180,9 +180,9 @@ def route_requests_valid(spark, sf_dir):
 
 
 @query("route_requests_rejected", with_order_lines(NODES_SQL, LANES_SQL, EDGES_SQL)
-       + REQUESTS_SQL + """SELECT start, goal, CASE WHEN start NOT IN (SELECT node_id FROM nodes) THEN format('start_node {} is not a valid node ID.', start)
-  WHEN goal NOT IN (SELECT node_id FROM nodes) THEN format('goal_node {} is not a valid node ID.', goal)
-  ELSE 'start_node and goal_node must be different.' END AS reason
+       + REQUESTS_SQL + """SELECT start, goal, CASE WHEN start NOT IN (SELECT node_id FROM nodes) THEN 'unknown start ' || CAST(start AS VARCHAR)
+  WHEN goal NOT IN (SELECT node_id FROM nodes) THEN 'unknown goal ' || CAST(goal AS VARCHAR)
+  ELSE 'start equals goal' END AS reason
 FROM areqs WHERE start NOT IN (SELECT node_id FROM nodes) OR goal NOT IN (SELECT node_id FROM nodes) OR start = goal""")
 def route_requests_rejected(spark, sf_dir):
     """Rejected requests with the reason the reference reports."""

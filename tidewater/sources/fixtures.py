@@ -67,6 +67,16 @@ def net_edges(spark: SparkSession, sf_dir: str, lanes: DataFrame | None = None)
         mode.alias("mode"))
 
 
+def net_edges_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The large network: a lane per supplier and customer with orders between them; customers' numbers start at 1,000,000.
+
+    The weight is the mean line value in hundredths of the value, at least one.
+    """
+    lines = order_lines(spark, sf_dir, ["order_value", "supplier_id", "customer_id"])
+    return lines.groupBy(F.col("supplier_id").cast("int").alias("source"), (F.col("customer_id") + 1_000_000).cast("int").alias("target")).agg(
+        F.greatest(F.round(F.avg("order_value") / 100, 2), F.lit(0.01)).alias("weight"))
+
+
 def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (supplier nation, customer nation) pairs of the order lines as (start, goal)."""
     ol = order_lines(spark, sf_dir, ["supplier_nation", "customer_nation"])
