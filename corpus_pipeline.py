@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and
 returns the columns of documents (the last: packed pieces).  ``run`` writes every
 stage as Parquet into the shared checkpoint folder and reads it back for the next.
+
+Null and empty texts fail the base rule and go in the first stage; a null source takes the mean host
+rate.  Repeated rows pass the first two stages alike, and near-dedup keeps one of them.  Rows with a null id
+are rows like any other.  Empty tables give empty results, and columns beside those of documents pass through.
 """
 
 from __future__ import annotations
