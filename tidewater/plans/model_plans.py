@@ -86,8 +86,8 @@ def _risk_split(spark, sf_dir):
 
 
 def _risk_fit(feats):
-    """The forest on the training rows of ``feats``; what MLlib reads several times is written once, 14 narrow columns."""
-    return ML.fit_risk_model(cut_lineage(feats.where(~F.col("is_test")).select(*RISK_FEATURES, "risk_class")))
+    """The forest on the training rows of ``feats``."""
+    return ML.fit_risk_model(feats.where(~F.col("is_test")), key=[F.col(c) for c in ("order_id", "line_no", *RISK_FEATURES)])
 
 
 def _risk_scored(spark, sf_dir):
@@ -118,7 +118,7 @@ def model_classification_report(spark, sf_dir):
 def risk_importances(spark, sf_dir):
     """feature importances of the fitted forest."""
     _, model = _risk_scored(spark, sf_dir)
-    return round_doubles(ML.importances(model, spark))
+    return round_doubles(ML.importances(model))
 
 
 def _supplier_scores(spark, sf_dir, by):
@@ -186,7 +186,7 @@ def score(spark, sf_dir, place: str) -> dict:
     if {"risk", "risk_rates", "risk_codes"} <= set(version.parts):
         orders = R.delay_columns(order_lines(spark, sf_dir, _RISK_IN))
         rated = orders.join(small_side(version.table(spark, "risk_rates")), "department", "left")
-        out["risk"] = ML.score_risk(ML.load_model(f"{version.folder}/risk"),
+        out["risk"] = ML.score_risk(ML.load_model(spark, f"{version.folder}/risk"),
                                     R.with_label_codes(rated, codes=version.table(spark, "risk_codes")))
     if "demand" in version.parts:
         by = ["department"]
@@ -239,7 +239,7 @@ def models_roundtrip(spark, sf_dir):
 
 @query("order_decisions_learned")
 def order_decisions_learned(spark, sf_dir):
-    """J4 with learned models: recursive boosted-tree forecast as the base, random-forest delay class,
+    """J4 with learned models: recursive boosted-tree forecast as the base, forest delay class,
     isolation-forest department flags and 20-sweep fitted Q values (rows check)."""
     from tidewater.plans import decision_plans as DP
     x = DP.decision_inputs(spark, sf_dir, policy_sweeps=None)
