@@ -15,7 +15,7 @@ from tidewater.sources.tables import TABLES  # noqa: E402
 from sfdirs import SF_SMALL  # noqa: E402
 
 SUBSET = ["daily_demand", "demand_features", "dept_last30", "actual_and_forecast", "clean_orders", "risk_features",
-          "label_codes", "stratified_split", "supplier_stats", "confusion_matrix", "auc_ovr", "forecast_metrics",
+          "label_codes", "stratified_split", "stratified_split_exact", "supplier_stats", "confusion_matrix", "auc_ovr", "forecast_metrics",
           "series_states", "action_values_k2", "best_action", "decision_justification", "route_costs", "routes",
           "order_decisions", "eda_describe", "chat_context", "requests_from_presets", "event_daily_demand",
           "dept_series_or_global"]

@@ -10,13 +10,14 @@ the ranges before it, and joined back through a size-checked broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.constants import RISK_CODED, RISK_FEATURES
 from tidewater.functions.exprs import arith_hash, risk_class, shipping_mode_enc
 from tidewater.functions.joins import small_side
 from tidewater.operators.quantiles import before, bucketed_counts
+from tidewater.session import cut_lineage
 
 
 def delay_columns(orders: DataFrame) -> DataFrame:
@@ -101,6 +102,32 @@ def stratified_split(df: DataFrame, key_cols: list[str], label: str = "risk_clas
     return df.withColumn("is_test", F.pmod(h, F.lit(buckets)) < test_buckets)
 
 
+def exact_stratified_split(df: DataFrame, key_cols: list[str], label: str = "risk_class", share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Of the n rows of each class exactly floor(``share`` n + 1/2) are test rows, those with the least hash of the keys.
+
+    A class's cut is found from counts by hash, ranked over ranges; only rows equal to the
+    cut in hash and all columns are numbered, within their partitions, so a repeated row that holds a third of a class is
+    still dealt over tasks.  Rows without a class stay in training; a null key hashes to 0.
+    """
+    h = F.coalesce(arith_hash(*key_cols, F.col(label), seed=seed), F.lit(0))
+    d = cut_lineage(df.withColumns({"_v": F.struct(h.alias("h"), F.xxhash64(*df.columns).alias("all")), "_id": F.monotonically_increasing_id()}))
+    counts = bucketed_counts(d.where(F.col(label).isNotNull()), [label], "_v", [F.count(F.lit(1)).alias("_n")])
+    quota = counts.groupBy(label).agg(F.floor(F.sum("_n") * share + 0.5).alias("_quota"))
+    ranked = before(counts, [label], "_v", "_n", "_below").join(F.broadcast(quota), label)  # a row a class
+    cut = cut_lineage(ranked.where((F.col("_below") < F.col("_quota")) & (F.col("_below") + F.col("_n") >= F.col("_quota")))
+                      .select(label, F.col("_v").alias("_cut"), (F.col("_quota") - F.col("_below")).alias("_take")))
+    near = d.join(F.broadcast(cut), label, "left").withColumn("_part", F.shiftright("_id", 33))
+    tie = F.coalesce(F.col("_v") == F.col("_cut"), F.lit(False))
+    ahead = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = near.where(tie).groupBy(label, "_part").agg(F.count(F.lit(1)).alias("_here")).select(
+        label, "_part", F.coalesce(F.sum("_here").over(ahead), F.lit(0)).alias("_ahead"))  # a row a class and partition
+    nth = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_id"))
+    tied = near.where(tie).withColumn("_nth", nth).join(small_side(offsets), [label, "_part"])
+    out = [*df.columns]
+    return near.where(~tie).select(*out, F.coalesce(F.col("_v") < F.col("_cut"), F.lit(False)).alias("is_test")).unionByName(
+        tied.select(*out, (F.col("_ahead") + F.col("_nth") <= F.col("_take")).alias("is_test")))
+
+
 def class_shares(counts: DataFrame, by: str = "shipping_mode", label: str = "risk_class", n_classes: int = 3) -> DataFrame:
     """Share of each class per group (4 decimals) from rows of (by, label, n)."""
     total = F.sum("n")

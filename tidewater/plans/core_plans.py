@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions.constants import RISK_FEATURES, SUPPLIER_FEATURES
+from tidewater.functions.exprs import arith_hash
 from tidewater.operators import clean as C
 from tidewater.operators import demand as D
 from tidewater.operators import eda as E
@@ -194,6 +195,23 @@ def stratified_split(spark, sf_dir):
     return df.groupBy("risk_class", "is_test").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+_SPLIT_HASH = sql_arith_hash(['order_id', 'line_no', 'risk_class'])
+
+
+@query("stratified_split_exact", with_order_lines(*_RISK_CTES, f"""
+ranked AS (SELECT risk_class, {_SPLIT_HASH} AS h,
+  ROW_NUMBER() OVER (PARTITION BY risk_class ORDER BY {_SPLIT_HASH}) AS nth,
+  FLOOR(COUNT(*) OVER (PARTITION BY risk_class) * 0.2 + 0.5) AS quota FROM feats)""")
+       + """SELECT risk_class, nth <= quota AS is_test, COUNT(*) AS n_rows, CAST(SUM(h) AS BIGINT) AS hash_sum, MAX(h) AS last_hash
+FROM ranked GROUP BY 1, 2""")
+def stratified_split_exact(spark, sf_dir):
+    """Exactly a fifth of each class, by hash; the hash sums tell which rows."""
+    df = R.exact_stratified_split(_risk_base(spark, sf_dir), ["order_id", "line_no"])
+    h = arith_hash("order_id", "line_no", F.col("risk_class"))
+    return df.withColumn("h", h).groupBy("risk_class", "is_test").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("h").alias("hash_sum"), F.max("h").alias("last_hash"))
+
+
 def _scored(spark, sf_dir):
     df = R.stratified_split(_risk_base(spark, sf_dir), ["order_id", "line_no"])
     train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))

@@ -76,7 +76,7 @@ def _risk_features(orders, train):
 
 def _risk_train(spark, sf_dir):
     """All order lines with the split, and the training rows the rates and codes are taken from."""
-    base = R.stratified_split(R.delay_columns(order_lines(spark, sf_dir, _RISK_IN)), ["order_id", "line_no"])
+    base = R.exact_stratified_split(R.delay_columns(order_lines(spark, sf_dir, _RISK_IN)), ["order_id", "line_no"])
     return base, base.where(~F.col("is_test"))
 
 
@@ -249,7 +249,7 @@ def order_decisions_learned(spark, sf_dir):
     fc = ML.recursive_forecast(model, ML.history_state(D.spine(D.daily_demand(ol))), horizon=7)
     x["base_fc"] = DP.base_forecast(fc)
     # risk: the forest on the 13 order-time features, fitted on the train split; every order is scored once
-    split = R.stratified_split(x["orders"], ["order_id", "line_no"])
+    split = R.exact_stratified_split(x["orders"], ["order_id", "line_no"])
     feats = cut_lineage(_risk_features(split, split.where(~F.col("is_test"))))
     x["orders"] = cut_lineage(ML.score_risk(_risk_fit(feats), feats).select(*x["orders"].columns, "prediction"))
     x["risk_scorer"] = lambda orders: orders
