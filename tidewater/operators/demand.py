@@ -130,6 +130,99 @@ def features(orders: DataFrame, by: list[str] | None = None) -> DataFrame:
     return s.select(*keys, "order_date", "demand", *DEMAND_FEATURES).dropna(subset=DEMAND_FEATURES)
 
 
+def runs(daily: DataFrame, by: list[str] | None, sums: dict[str, tuple[int, int]], squares: dict[str, tuple[int, int]] | None = None,
+         after: int = 0) -> DataFrame:
+    """Sums of past demand of a gap-free series as runs of equal days, without laying out the days.
+
+    ``sums`` maps a name to (a, b): the demand of the days from a to b days back (a >= b >= 0); ``squares`` the
+    same for squared demand.  Such a sum changes only b and a + 1 days after a day with orders, so a series has a
+    few rows for each of those, however long its gaps.  Rows: keys, _lo and _hi (the first and last day with orders),
+    day (all three as days since 1970), days (length of the run) and the sums, from _lo to ``after`` days beyond _hi.
+
+    Each sum is taken over the rows of its own frame, so no error builds up along a series.  One exchange by the
+    keys serves the bounds, the merge of equal days and the frames.
+    """
+    keys = _keys(by)
+    squares = squares or {}
+    if keys:
+        daily = daily.repartition(int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    parts = keys or [F.lit(SERIES_ALL)]
+    wall = Window.partitionBy(*parts)
+    d = daily.select(*keys, F.unix_date("order_date").alias("_d"), F.col("demand").cast("double").alias("_v"))
+    d = d.withColumns({"_lo": F.min("_d").over(wall), "_hi": F.max("_d").over(wall)})
+    shifts = sorted({0} | {x for a, b in (*sums.values(), *squares.values()) for x in (b, a + 1)})
+    d = d.withColumn("_s", F.explode(F.array(*[F.lit(x) for x in shifts])))
+    d = d.withColumns({"day": F.col("_d") + F.col("_s"), "_v": F.when(F.col("_s") == 0, F.col("_v")).otherwise(0.0)})
+    at = (d.where(F.col("day") <= F.col("_hi") + after).groupBy(*keys, "day")
+          .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_v").alias("_v")))
+    w = Window.partitionBy(*parts).orderBy("day")
+
+    def past(value: Column, span: tuple[int, int]) -> Column:
+        return F.sum(value).over(w.rangeBetween(-span[0], -span[1]))
+
+    v = F.col("_v")
+    cols = {name: F.coalesce(past(v, span), F.lit(0.0)) for name, span in sums.items()}
+    cols |= {name: F.coalesce(past(v * v, span), F.lit(0.0)) for name, span in squares.items()}
+    cols["days"] = F.coalesce(F.lead("day").over(w), F.col("_hi") + after + 1) - F.col("day")
+    return at.withColumns(cols).select(*keys, "_lo", "_hi", "day", "days", *sums, *squares)
+
+
+def feature_runs(orders: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """C5-C8 as runs of days: keys, first_day, days, demand and the rolling and lag features, equal on each day of a run.
+
+    The days are those of ``features``; ``run_days`` lays them out.
+    """
+    keys = _keys(by)
+    longest = max(30, *DEMAND_LAGS)
+    sums = {"demand": (0, 0), "_s7": (7, 1), "_s30": (30, 1)} | {f"lag_{n}": (n, n) for n in DEMAND_LAGS}
+    r = runs(daily_demand(orders, keys), keys, sums, {"_q7": (7, 1)}).where(F.col("day") >= F.col("_lo") + longest)
+    return r.select(
+        *keys, F.date_from_unix_date("day").alias("first_day"), "days", "demand",
+        (F.col("_s7") / 7).alias("rolling_7d_mean"), (F.col("_s30") / 30).alias("rolling_30d_mean"),
+        F.sqrt(F.greatest((F.col("_q7") - F.col("_s7") * F.col("_s7") / 7) / 6, F.lit(0.0))).alias("rolling_7d_std"),
+        *[f"lag_{n}" for n in DEMAND_LAGS])
+
+
+def run_days(feature_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The days of ``feature_runs``, one row each, with their calendar columns: the rows of ``features``."""
+    d = feature_rows.withColumn("order_date", F.explode(F.sequence("first_day", F.date_add("first_day", F.col("days") - 1))))
+    return calendar(d).select(*_keys(by), "order_date", "demand", *DEMAND_FEATURES)
+
+
+def weekend_days(first_day: Column, days: Column) -> Column:
+    """How many of the ``days`` days from ``first_day`` on are a Saturday or Sunday."""
+    def before(day: Column) -> Column:  # weekend days from Monday 1969-12-29 to the day before this one
+        n = day + 3
+        return F.floor(n / 7) * 2 + F.greatest(F.pmod(n, F.lit(7)) - 5, F.lit(0))
+
+    start = F.unix_date(first_day)
+    return (before(start + days) - before(start)).cast("long")
+
+
+def naive_window_runs(orders: DataFrame, by: list[str] | None = None, train_fraction: float = 0.8, window: int = 7) -> DataFrame:
+    """Windows of the test days of C10 with the seasonal-naive prediction, as runs: keys, days, y_true, y_pred.
+
+    A test row of day t has the demand of day t + 1 as its truth and that of a week earlier as its prediction.  The
+    ``window`` rows that end at t therefore sum the ``window`` days before t + 2, and the same days a week earlier.
+    Series without a full window have no rows here.
+    """
+    keys = _keys(by)
+    skipped = max(30, *DEMAND_LAGS)
+    r = runs(daily_demand(orders, keys), keys, {"y_true": (window, 1), "y_pred": (window + 7, 8)}, after=1)
+    n = F.col("_hi") - F.col("_lo") - skipped                       # rows that have a target
+    first = F.col("_lo") + skipped + F.floor(n * F.lit(train_fraction)) + window + 1
+    start = F.greatest(F.col("day"), first)
+    return (r.withColumn("days", F.col("day") + F.col("days") - start).where((n > 0) & (F.col("days") > 0))
+            .select(*keys, "days", "y_true", "y_pred"))
+
+
+def tested_series(orders: DataFrame, by: list[str], train_fraction: float = 0.8) -> DataFrame:
+    """The keys of the series that have a test row under C10 (one is left over whenever there is a row with a target)."""
+    span = orders.where(F.col("order_date").isNotNull()).groupBy(*by).agg(F.min("order_date").alias("_lo"), F.max("order_date").alias("_hi"))
+    n = F.datediff("_hi", "_lo") - max(30, *DEMAND_LAGS)
+    return span.where((n > 0) & (F.floor(n * F.lit(train_fraction)) < n)).select(*by)
+
+
 def target(feats: DataFrame, by: list[str] | None = None, horizon: int = 1) -> DataFrame:
     """Demand ``horizon`` rows ahead minus lag_1; rows without a future value dropped."""
     w = _window(by)

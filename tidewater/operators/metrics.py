@@ -16,6 +16,22 @@ from tidewater.operators.quantiles import before, bucketed_counts
 N_CLASSES = 3
 
 
+def _metric_columns(g: DataFrame, keys: list[str]) -> DataFrame:
+    """The metrics of a group from its sums over windows (n, _mse, _mae, _ssres, _sstot, _sad, _say)."""
+    has = F.col("n") > 0
+    r2 = (F.when(F.col("_sstot") == 0, F.when(F.col("_ssres") == 0, 1.0).otherwise(0.0))
+          .otherwise(1 - F.col("_ssres") / F.col("_sstot")))
+    wape = F.when(F.col("_say") != 0, F.col("_sad") / F.col("_say") * 100).otherwise(0.0)
+    return g.select(
+        *keys,
+        F.when(has, F.sqrt("_mse")).otherwise(0.0).alias("rmse"),
+        F.when(has, F.col("_mae")).otherwise(0.0).alias("mae"),
+        F.when(has, F.greatest(r2, F.lit(0.0))).otherwise(0.0).alias("r2"),
+        F.when(has, F.least(wape, F.lit(100.0))).otherwise(0.0).alias("wape"),
+        F.col("n").alias("n_windows"),
+    )
+
+
 def forecast_metrics(pred: DataFrame, by: list[str] | None = None, window: int = 7) -> DataFrame:
     """RMSE, MAE, R² (floor 0), WAPE % (cap 100) on ``window``-day rolling sums.
 
@@ -39,18 +55,27 @@ def forecast_metrics(pred: DataFrame, by: list[str] | None = None, window: int =
         F.sum(F.when(on, F.abs(d))).alias("_sad"),
         F.sum(F.when(on, F.abs(F.col("_yt")))).alias("_say"),
     )
-    has = F.col("n") > 0
-    r2 = (F.when(F.col("_sstot") == 0, F.when(F.col("_ssres") == 0, 1.0).otherwise(0.0))
-          .otherwise(1 - F.col("_ssres") / F.col("_sstot")))
-    wape = F.when(F.col("_say") != 0, F.col("_sad") / F.col("_say") * 100).otherwise(0.0)
-    return g.select(
-        *keys,
-        F.when(has, F.sqrt("_mse")).otherwise(0.0).alias("rmse"),
-        F.when(has, F.col("_mae")).otherwise(0.0).alias("mae"),
-        F.when(has, F.greatest(r2, F.lit(0.0))).otherwise(0.0).alias("r2"),
-        F.when(has, F.least(wape, F.lit(100.0))).otherwise(0.0).alias("wape"),
-        F.col("n").alias("n_windows"),
-    )
+    return _metric_columns(g, keys)
+
+
+def forecast_metrics_of_runs(windows: DataFrame, series: DataFrame, by: list[str]) -> DataFrame:
+    """G1/G2 from window sums given as runs of ``days`` equal windows (keys, days, y_true, y_pred).
+
+    ``series`` has one row for each series that must appear; one without a window reports zeros.
+    """
+    keys = list(by)
+    yt, k = F.col("y_true"), F.col("days")
+    d = yt - F.col("y_pred")
+    wall = Window.partitionBy(*keys)
+    mean = F.sum(yt * k).over(wall) / F.sum(k).over(wall)
+    # equal sums have no spread, whatever the mean rounds to
+    apart = F.when(F.max(yt).over(wall) > F.min(yt).over(wall), (yt - mean) * (yt - mean)).otherwise(0.0)
+    g = windows.withColumn("_sp", apart * k).groupBy(*keys).agg(
+        F.sum(k).alias("n"), F.sum(d * d * k).alias("_ssres"), F.sum("_sp").alias("_sstot"),
+        F.sum(F.abs(d) * k).alias("_sad"), F.sum(F.abs(yt) * k).alias("_say"))
+    g = g.withColumns({"_mse": F.col("_ssres") / F.col("n"), "_mae": F.col("_sad") / F.col("n")})
+    g = series.select(*keys).join(g, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return _metric_columns(g, keys)
 
 
 def confusion_matrix(scored: DataFrame, label: str = "label", prediction: str = "prediction",

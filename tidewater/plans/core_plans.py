@@ -380,8 +380,13 @@ def forecast_metrics(spark, sf_dir):
 
 @query("forecast_metrics_by_product", sql_metrics(["product_id"]))
 def forecast_metrics_by_product(spark, sf_dir):
-    """Every product's metrics in one grouped job."""
-    return round_doubles(M.forecast_metrics(_naive_test_rows(spark, sf_dir, ["product_id"]), ["product_id"]))
+    """Every product's metrics in one grouped job, from runs of equal windows.
+
+    A product appears if it has a test row, that is a row with a target beyond the training share.
+    """
+    ol = order_lines(spark, sf_dir, ["order_date", "quantity", "product_id"])
+    return round_doubles(M.forecast_metrics_of_runs(D.naive_window_runs(ol, ["product_id"]), D.tested_series(ol, ["product_id"]),
+                                                    ["product_id"]))
 
 
 # ------------------------------------------------------------------- L1-L4

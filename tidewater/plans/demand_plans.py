@@ -148,16 +148,17 @@ feat AS (SELECT * FROM feat_all WHERE {NOT_NULL_SQL})""")
   CAST(SUM(is_weekend) AS BIGINT) AS weekend_days
 FROM feat GROUP BY product_id""")
 def demand_features_by_product(spark, sf_dir):
-    """All products' feature tables in one job (window partitioned by product), summarised per product."""
-    f = D.features(_orders(spark, sf_dir, "product_id"), ["product_id"])
+    """All products' feature tables in one job, summarised per product from runs of equal days."""
+    f = D.feature_runs(_orders(spark, sf_dir, "product_id"), ["product_id"])
+    k = F.col("days")
     return round_doubles(f.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("order_date").alias("first_day"),
-        F.max("order_date").alias("last_day"), F.sum("demand").alias("sum_demand"),
-        F.sum("rolling_7d_mean").alias("sum_rolling_7d_mean"),
-        F.sum("rolling_30d_mean").alias("sum_rolling_30d_mean"),
-        F.sum("rolling_7d_std").alias("sum_rolling_7d_std"),
-        F.sum(F.col("lag_1") + F.col("lag_7") + F.col("lag_14") + F.col("lag_30")).alias("sum_lags"),
-        F.sum("is_weekend").cast("bigint").alias("weekend_days")))
+        F.sum(k).cast("bigint").alias("n_rows"), F.min("first_day").alias("first_day"),
+        F.max(F.date_add("first_day", k - 1)).alias("last_day"), F.sum(F.col("demand") * k).alias("sum_demand"),
+        F.sum(F.col("rolling_7d_mean") * k).alias("sum_rolling_7d_mean"),
+        F.sum(F.col("rolling_30d_mean") * k).alias("sum_rolling_30d_mean"),
+        F.sum(F.col("rolling_7d_std") * k).alias("sum_rolling_7d_std"),
+        F.sum((F.col("lag_1") + F.col("lag_7") + F.col("lag_14") + F.col("lag_30")) * k).alias("sum_lags"),
+        F.sum(D.weekend_days(F.col("first_day"), k)).alias("weekend_days")))
 
 
 # ------------------------------------------------------------------ C12, C13
