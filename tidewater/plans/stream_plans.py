@@ -9,7 +9,9 @@ from tidewater.plans import decision_plans as DP
 from tidewater.plans.registry import query, round_doubles
 from tidewater.session import scratch_path
 from tidewater.sources.tables import order_lines, read_table
+from tidewater.functions.constants import DEMAND_LAGS
 from tidewater.streaming import live as LV
+from tidewater.streaming import rings as RG
 
 _DAILY_SQL = """SELECT CAST(ts AS DATE) AS day, ROUND(SUM(value), 4) AS demand FROM events
 WHERE event_type = 'purchase' GROUP BY 1"""
@@ -33,6 +35,31 @@ def event_daily_demand_stream(spark, sf_dir):
     return round_doubles(LV.daily_demand_stream(spark, path, schema))
 
 
+_LIVE_FEATURES_SQL = """WITH p AS (SELECT user_id, CAST(ts AS DATE) AS day, SUM(value) AS demand FROM events
+  WHERE event_type = 'purchase' GROUP BY 1, 2),
+c AS (SELECT CAST(MAX(ts) - INTERVAL 2 DAY AS DATE) - 1 AS closed FROM events WHERE event_type = 'purchase'),
+b AS (SELECT user_id, MIN(day) AS lo, MIN(closed) AS hi FROM p, c GROUP BY 1 HAVING MIN(day) <= MIN(closed)),
+d AS (SELECT user_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b),
+s AS (SELECT d.user_id, d.day, COALESCE(p.demand, 0.0) AS demand FROM d LEFT JOIN p ON p.user_id = d.user_id AND p.day = d.day)
+SELECT user_id, day, ROUND(demand, 4) AS demand,
+  ROUND(CASE WHEN COUNT(*) OVER w7 = 7 THEN AVG(demand) OVER w7 END, 4) AS rolling_7d_mean,
+  ROUND(CASE WHEN COUNT(*) OVER w30 = 30 THEN AVG(demand) OVER w30 END, 4) AS rolling_30d_mean,
+  ROUND(CASE WHEN COUNT(*) OVER w7 = 7 THEN STDDEV_SAMP(demand) OVER w7 END, 4) AS rolling_7d_std,
+  """ + ", ".join(f"ROUND(LAG(demand, {n}) OVER w, 4) AS lag_{n}" for n in DEMAND_LAGS) + """ FROM s
+WINDOW w AS (PARTITION BY user_id ORDER BY day),
+  w7 AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+  w30 AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)"""
+
+
+@query("live_demand_features", _LIVE_FEATURES_SQL)
+def live_demand_features(spark, sf_dir):
+    """K2 with C2-C7: each user's purchases as a live series, a row per closed day, empty days by timers."""
+    path, schema = _events(spark, sf_dir)
+    e = LV.arriving(spark, path, schema)
+    amounts = e.where(F.col("event_type") == "purchase").select("user_id", LV.event_time(e).alias("ts"), "value")
+    return round_doubles(RG.live_demand_features(spark, amounts, ["user_id"]))
+
+
 @query("stream_dedup_events", """SELECT event_type, COUNT(*) AS n_events, ROUND(SUM(value), 4) AS total_value
 FROM events GROUP BY 1""")
 def stream_dedup_events(spark, sf_dir):

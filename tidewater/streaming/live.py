@@ -33,7 +33,7 @@ def write_batch(sink: str):
     return write
 
 
-def _run_to_end(stream_df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
+def run_to_end(stream_df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     q = (stream_df.writeStream.outputMode(mode).foreachBatch(write_batch(sink))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -81,7 +81,7 @@ def daily_demand_stream(spark: SparkSession, source: str, schema, watermark: str
     s = purchases(arriving(spark, source, schema, files_per_trigger))
     agg = (s.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day"))
            .agg(F.sum("value").alias("demand")))
-    _run_to_end(agg, sink, ck, mode="update")
+    run_to_end(agg, sink, ck, mode="update")
     out = spark.read.parquet(sink)
     # windows are aligned to the epoch, i.e. to UTC days
     return (out.groupBy("window").agg(F.max_by("demand", "batch_id").alias("demand"))
@@ -98,7 +98,7 @@ def dedup_stream(spark: SparkSession, source: str, schema, key: str = "event_id"
     sink = sink or scratch_path(spark, "stream-dedup")
     s = reduce(DataFrame.union, [arriving(spark, source, schema) for _ in range(deliveries)])
     s = s.withColumn("_et", event_time(s)).withWatermark("_et", watermark)
-    _run_to_end(s.dropDuplicatesWithinWatermark([key]), sink, sink + "-checkpoint")
+    run_to_end(s.dropDuplicatesWithinWatermark([key]), sink, sink + "-checkpoint")
     return spark.read.parquet(sink).drop("batch_id", "_et")
 
 
