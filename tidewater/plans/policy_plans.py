@@ -255,25 +255,23 @@ def action_scale(spark, sf_dir):
                     round_half_up("card_pct", 4).alias("card_pct"))
 
 
+def _sql_extreme(fn: str, sign: str, order: int) -> str:
+    """The largest (smallest) reward part beyond zero as a struct (v, i, part), the first of equal ones; null if none."""
+    return f"{fn}([" + ", ".join(
+        f"CASE WHEN {c} {sign} 0 THEN {{'v': {c}, 'i': {order * i}, 'part': '{c}'}} END" for i, c in enumerate(P.COMPONENTS)) + "])"
+
+
 _JUST_SQL = with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES, """
-ru AS (SELECT state, action AS runner_up FROM qr WHERE rank = 2),
-dj AS (SELECT s.department, s.order_date, s.state, b.action AS best, r.runner_up, b.qty, s.inventory, s.demand7,
-       s.anomaly, b.action_id FROM ss_state s JOIN best b USING (state) JOIN ru r USING (state)),
-dj2 AS (SELECT dj.*, """ + sql_parts("inventory", "demand7", "action_id", "anomaly") + """ FROM dj),
-parts AS (""" + " UNION ALL ".join(
-    f"SELECT department, order_date, {i} AS idx, '{c}' AS part, {c} AS v FROM dj2 WHERE {c} IS NOT NULL"
-    for i, c in enumerate(P.COMPONENTS)) + """),
-pos AS (SELECT department, order_date, part AS top_reward, v AS top_reward_value FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY department, order_date ORDER BY v DESC, idx) AS rk FROM parts WHERE v > 0)
-  WHERE rk = 1),
-neg AS (SELECT department, order_date, part AS top_cost, v AS top_cost_value FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY department, order_date ORDER BY v, idx) AS rk FROM parts WHERE v < 0)
-  WHERE rk = 1)""")
-
-
-@query("decision_justification", _JUST_SQL + """SELECT d.department, d.order_date, d.best, d.runner_up,
-  p.top_reward, p.top_reward_value, n.top_cost, n.top_cost_value, """ + sql_total("d.") + """ AS total
-FROM dj2 d LEFT JOIN pos p USING (department, order_date) LEFT JOIN neg n USING (department, order_date)""")
+pick AS MATERIALIZED (SELECT state, MAX(CASE WHEN rank = 1 THEN action END) AS best, MAX(CASE WHEN rank = 2 THEN action END) AS runner_up,
+  MAX(CASE WHEN rank = 1 THEN qty END) AS qty, MAX(CASE WHEN rank = 1 THEN action_id END) AS action_id FROM qr GROUP BY state),
+dj AS (SELECT s.department, s.order_date, p.best, p.runner_up, p.qty, p.action_id, s.inventory, s.demand7, s.anomaly
+       FROM ss_state s JOIN pick p USING (state)),
+dj2 AS MATERIALIZED (SELECT dj.*, """ + sql_parts("inventory", "demand7", "action_id", "anomaly") + """ FROM dj),
+dj3 AS (SELECT *, """ + _sql_extreme("list_max", ">", -1) + " AS hi, " + _sql_extreme("list_min", "<", 1) + """ AS lo FROM dj2)""")
+
+
+@query("decision_justification", _JUST_SQL + """SELECT department, order_date, best, runner_up, hi.part AS top_reward,
+  hi.v AS top_reward_value, lo.part AS top_cost, lo.v AS top_cost_value, """ + sql_total() + """ AS total FROM dj3""")
 def decision_justification(spark, sf_dir):
     """Best and runner-up action, largest positive and most negative reward part of the best action."""
     qf = _qf(spark, sf_dir)
