@@ -22,7 +22,7 @@ from tidewater.functions.constants import (ACTIONS, ANOMALY_MITIGATION, DAY_BINS
                                            HOLDING_COST_PER_UNIT, INV_BINS, OVERCAPACITY_LIMIT,
                                            OVERCAPACITY_PENALTY, REORDER_QTY, RISK_BINS,
                                            STANDARD_ACTION_COST, STOCKOUT_PENALTY)
-from tidewater.functions.exprs import bin_index
+from tidewater.functions.exprs import bin_index, round_half_up
 from tidewater.functions.joins import small_side
 from tidewater.session import cut_lineage
 
@@ -79,15 +79,15 @@ def reward_parts(inv: Column, demand: Column, action_id: Column, anomaly: Column
     floored = F.greatest(after, F.lit(0.0))
     return {
         "inv_after": after,
-        "holding_cost": F.round(-after * HOLDING_COST_PER_UNIT, 3),
+        "holding_cost": round_half_up(-after * HOLDING_COST_PER_UNIT, 3),
         "stockout_penalty": F.when(after < 0, F.lit(STOCKOUT_PENALTY)),
-        "demand_fulfillment": F.when(after >= 0, F.round(demand * FULFILMENT_PER_UNIT, 3)),
+        "demand_fulfillment": F.when(after >= 0, round_half_up(demand * FULFILMENT_PER_UNIT, 3)),
         "overcapacity_penalty": F.when(floored > OVERCAPACITY_LIMIT, F.lit(OVERCAPACITY_PENALTY)),
         "action_cost": (F.when(action_id == 4, F.lit(EMERGENCY_ACTION_COST))
                         .when(action_id.isin(1, 2, 3), F.lit(STANDARD_ACTION_COST))),
         "anomaly_mitigation": F.when((action_id == 5) & (F.coalesce(anomaly, F.lit(0)) != 0),
                                      F.lit(ANOMALY_MITIGATION)),
-        "projected_inventory": F.round(floored, 2),
+        "projected_inventory": round_half_up(floored, 2),
     }
 
 
@@ -95,7 +95,7 @@ def total_reward(parts: dict) -> Column:
     s = F.lit(0.0)
     for c in COMPONENTS:
         s = s + F.coalesce(parts[c], F.lit(0.0))
-    return F.round(s, 3)
+    return round_half_up(s, 3)
 
 
 def reward_breakdown(df: DataFrame, inv="inventory", demand="demand", action_id="action_id",

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.constants import ACTIONS
 from tidewater.functions.exprs import round_half_up
 from tidewater.functions.joins import small_side
 from tidewater.operators import decide as DC
@@ -28,8 +29,8 @@ from tidewater.operators import supplier as S
 from tidewater.plans.core_plans import _RISK_CTES, _SPLIT_CTE
 from tidewater.plans.demand_plans import sql_naive, sql_spine
 from tidewater.plans.oracle_base import with_order_lines
-from tidewater.plans.policy_plans import (SERIES_STATES_CTES, TRANSITIONS_CTES, sql_state, sql_steps,
-                                          sql_sweeps)
+from tidewater.plans.policy_plans import (SERIES_STATES_CTES, TRANSITIONS_CTES, sql_parts, sql_state, sql_steps,
+                                          sql_sweeps, sql_total)
 from tidewater.plans.registry import query, round_doubles
 from tidewater.session import cut_lineage
 from tidewater.plans.route_plans import EDGES_SQL, LANES_SQL, NODES_SQL, ROUNDS, sql_relaxation
@@ -353,10 +354,8 @@ def history_rows(spark, sf_dir):
                     F.round(F.least(F.greatest("supplier_delay_rate", F.lit(0.0)), F.lit(1.0)), 4).alias("delay_rate"))
 
 
-@query("decision_json")
-def decision_json(spark, sf_dir):
-    """Each decision as a nested record serialised to JSON (rows check: JSON number text differs by engine)."""
-    d = decisions(spark, sf_dir)
+def decision_record(d: DataFrame) -> DataFrame:
+    """order_id, line_no and each decision as a nested record."""
     reward = P.reward_parts(F.col("inventory").cast("double"), F.col("demand_7d_avg_raw"), F.col("action_id"), F.col("is_anomaly"))
     parts = {c: reward[c] for c in P.COMPONENTS}
     d = DC.summary_lines(d)
@@ -376,7 +375,53 @@ def decision_json(spark, sf_dir):
         F.struct("inventory", "days_to_delivery", F.col("supplier_nation").alias("start_node"),
                  F.col("customer_nation").alias("goal_node"), "order_value", "discount_rate", "quantity")
         .alias("current_state"))
-    return d.select("order_id", "line_no", F.to_json(rec).alias("decision"))
+    return d.select("order_id", "line_no", rec.alias("decision"))
+
+
+@query("decision_json")
+def decision_json(spark, sf_dir):
+    """Each decision serialised to JSON (rows check: JSON number text differs by engine; see decision_fields)."""
+    return decision_record(decisions(spark, sf_dir)).withColumn("decision", F.to_json("decision"))
+
+
+# where a consumer of the JSON finds each field
+_FIELDS = {
+    "forecast": "demand_forecast_7d", "demand_7d_avg": "demand_7d_avg", "risk_level": "risk_level", "risk_score": "risk_score",
+    **{f"p_{i}": f"risk_probabilities.{n}" for i, n in enumerate(DC.RISK_LABELS)},
+    "is_anomaly": "anomaly.is_anomaly", "anomaly_score": "anomaly.score", "action": "rl_action.action",
+    "action_id": "rl_action.action_id", "q_value": "rl_action.q_value", "confidence": "rl_action.confidence",
+    "trained": "rl_action.trained", **{c: f"rl_action.reward_breakdown.components.{c}" for c in P.COMPONENTS},
+    "total": "rl_action.reward_breakdown.total", "projected_inventory": "rl_action.reward_breakdown.projected_inventory",
+    "path_names": "route.path_names", "total_cost": "route.total_cost", "route_type": "route.route_type", "trigger": "route.trigger",
+    "is_emergency": "is_emergency", "step_2_risk": "pipeline_summary.step_2_risk", "step_4_rl": "pipeline_summary.step_4_rl",
+    "inventory": "current_state.inventory", "days_to_delivery": "current_state.days_to_delivery",
+    "start_node": "current_state.start_node", "goal_node": "current_state.goal_node",
+    "order_value": "current_state.order_value", "quantity": "current_state.quantity",
+}
+
+
+@query("decision_fields", DECISIONS_SQL + """,
+oqv AS (SELECT state, """ + ", ".join(
+    f"MAX(CASE WHEN action = '{a}' THEN FLOOR(q * 1000.0 + 0.5) / 1000.0 END) AS q_{a.lower()}" for a in ACTIONS.values()) + """ FROM oq GROUP BY state),
+acts AS (SELECT action_id, qty FROM actions_t),
+jf0 AS (SELECT decf.*, acts.qty, oqv.* EXCLUDE (state) FROM decf JOIN acts USING (action_id) JOIN oqv USING (state)),
+jf AS (SELECT *, """ + sql_parts("inventory", "demand_raw", "action_id", "is_anomaly") + """ FROM jf0)
+SELECT order_id, line_no, demand_forecast_7d AS forecast, demand_7d_avg, risk_level, risk_score, p_0, p_1, p_2,
+  is_anomaly = 1 AS is_anomaly, anomaly_score, action, action_id, FLOOR(q_value * 1000.0 + 0.5) / 1000.0 AS q_value,
+  ROUND(confidence, 4) AS confidence, trained, """ + ", ".join(P.COMPONENTS) + ", " + sql_total() + """ AS total, projected_inventory,
+  path_names, route_cost AS total_cost, route_type, trigger, is_emergency,
+  format('Delay class {}, score {}', risk_level, CAST(risk_score AS VARCHAR)) AS step_2_risk,
+  'Reorder policy: ' || action AS step_4_rl, inventory, days_to_delivery, supplier_nation AS start_node,
+  customer_nation AS goal_node, ROUND(order_value, 4) AS order_value, quantity, """ + ", ".join(
+    f"q_{a.lower()}" for a in ACTIONS.values()) + " FROM jf")
+def decision_fields(spark, sf_dir):
+    """A6 read back: the JSON text of every decision parsed again, its fields as columns."""
+    rec = decision_record(decisions(spark, sf_dir))
+    text = rec.select("order_id", "line_no", F.to_json("decision").alias("text"))
+    d = text.withColumn("d", F.from_json("text", rec.schema["decision"].dataType))
+    fields = [F.col(f"d.{place}").alias(name) for name, place in _FIELDS.items() if name != "order_value"]
+    values = [F.col("d.rl_action.q_values")[a].alias(f"q_{a.lower()}") for a in ACTIONS.values()]
+    return d.select("order_id", "line_no", *fields, F.round("d.current_state.order_value", 4).alias("order_value"), *values)
 
 
 @query("history_latest", DECISIONS_SQL + """,

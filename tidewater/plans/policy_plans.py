@@ -44,19 +44,24 @@ st1 AS (SELECT department, order_date, SUM(demand) OVER w AS demand7,
 ss AS (SELECT *, CAST(CASE WHEN risk >= 0.6 THEN 1 ELSE 0 END AS INTEGER) AS anomaly FROM st1)"""
 
 
+def sql_half_up(x: str, digits: int) -> str:
+    k = f"CAST({10.0 ** digits} AS DOUBLE)"
+    return f"(FLOOR({x} * {k} + 0.5) / {k})"
+
+
 def sql_parts(inv, dem, act, anom, prefix="") -> str:
     after = f"({inv} + qty - {dem})"
-    return f"""ROUND(-{after} * 0.05, 3) AS {prefix}holding_cost,
+    return f"""{sql_half_up(f"(-{after} * CAST(0.05 AS DOUBLE))", 3)} AS {prefix}holding_cost,
   CASE WHEN {after} < 0 THEN CAST(-50.0 AS DOUBLE) END AS {prefix}stockout_penalty,
-  CASE WHEN {after} >= 0 THEN ROUND({dem} * 0.5, 3) END AS {prefix}demand_fulfillment,
+  CASE WHEN {after} >= 0 THEN {sql_half_up(f"({dem} * CAST(0.5 AS DOUBLE))", 3)} END AS {prefix}demand_fulfillment,
   CASE WHEN GREATEST({after}, 0.0) > 1000 THEN CAST(-20.0 AS DOUBLE) END AS {prefix}overcapacity_penalty,
   CASE WHEN {act} = 4 THEN CAST(-15.0 AS DOUBLE) WHEN {act} IN (1, 2, 3) THEN CAST(-2.0 AS DOUBLE) END AS {prefix}action_cost,
   CASE WHEN {act} = 5 AND COALESCE({anom}, 0) <> 0 THEN CAST(10.0 AS DOUBLE) END AS {prefix}anomaly_mitigation,
-  ROUND(GREATEST({after}, 0.0), 2) AS {prefix}projected_inventory, {after} AS {prefix}inv_after"""
+  {sql_half_up(f"GREATEST({after}, 0.0)", 2)} AS {prefix}projected_inventory, {after} AS {prefix}inv_after"""
 
 
 def sql_total(prefix="") -> str:
-    return "ROUND(" + " + ".join(f"COALESCE({prefix}{c}, CAST(0.0 AS DOUBLE))" for c in P.COMPONENTS) + ", 3)"
+    return sql_half_up("(" + " + ".join(f"COALESCE({prefix}{c}, CAST(0.0 AS DOUBLE))" for c in P.COMPONENTS) + ")", 3)
 
 
 def sql_reward_milli(dem: str, act: str, anom: str, after: str) -> str:
@@ -95,11 +100,6 @@ def sql_sweeps(counts: str, sweeps: int, prefix: str = "q") -> str:
     return ",\n".join(out)
 
 
-def sql_half_up(x: str, digits: int) -> str:
-    k = f"CAST({10.0 ** digits} AS DOUBLE)"
-    return f"(FLOOR({x} * {k} + 0.5) / {k})"
-
-
 TRANSITIONS_CTES = ACTIONS_SQL + """,
 lead_d AS (SELECT department, AVG(actual_days) AS lead_days FROM order_lines GROUP BY department),
 nx AS (SELECT * FROM (SELECT s.*, l.lead_days, LEAD(demand7, 1) OVER w AS n_demand, LEAD(risk, 1) OVER w AS n_risk,
