@@ -44,3 +44,54 @@ def test_fitted_q_one_sweep_is_mean_reward(spark):
     q2 = {(r.state, r.action_id): r.q for r in P.fit_q(t, 2).collect()}
     assert abs(q2[(1, 1)] - (-1.0 + 0.95 * 3.0)) < 1e-12      # next state 1 has V = 3
     assert q2[(1, 0)] == 3.0                                   # next state 3 unseen -> V = 0
+
+
+def _plain_sweeps(rows, gamma, limit, sweeps=None):
+    """Every pair in every sweep, in Python integers; rows of (state, action, reward in thousandths, next state)."""
+    import math
+    from collections import defaultdict
+    by_pair = defaultdict(list)
+    for s, a, r, t in rows:
+        by_pair[s, a].append((r, t))
+    value, k = dict.fromkeys(by_pair, 0), 0
+    worth = {}
+    while True:
+        new = {p: math.floor(float(sum(r * 1000 + worth.get(t, 0) for r, t in steps)) / float(len(steps)) + 0.5)
+               for p, steps in by_pair.items()}
+        move = max(abs(new[p] - value[p]) for p in new)
+        value, k = new, k + 1
+        if move <= limit or k == sweeps:
+            return value, move, k
+        worth = {s: math.floor(max(v for (x, _), v in value.items() if x == s) * gamma + 0.5) for s, _ in value}
+
+
+def test_converged_values_equal_plain_sweeps(spark):
+    import random
+    from tidewater.operators import policy as P
+    rng = random.Random(11)
+    rows = [(g, rng.randrange(12), rng.randrange(6), rng.randrange(-60_000, 90_000), rng.randrange(14))
+            for g in ("a", "b", None) for _ in range(300)]
+    rows += [("lone", 3, 0, 5_000, 3)] * 4
+    tr = spark.createDataFrame(rows, "grp string, state int, action_id int, reward long, next_state int")
+    limit = P.residual_limit()
+    got = P.fit_q_converged(tr, ["grp"]).collect()
+    for g in ("a", "b", None, "lone"):
+        want, move, k = _plain_sweeps([r[1:] for r in rows if r[0] == g], P.GAMMA, limit)
+        mine = {(r.state, r.action_id): r for r in got if r.grp == g}
+        assert {p: v / 1e6 for p, v in want.items()} == {p: r.q for p, r in mine.items()}
+        assert all(r.residual <= limit for r in mine.values())
+    lone = next(r for r in got if r.grp == "lone")
+    assert abs(lone.q - 5 / (1 - P.GAMMA)) <= (P.GAMMA * lone.residual + 2) / (1 - P.GAMMA) / 1e6   # the stated bound
+    pooled = {(r.state, r.action_id): r.q for r in P.fit_q_converged(tr.where("grp = 'a'"), sweeps=20).collect()}
+    assert pooled == {(r.state, r.action_id): r.q for r in P.fit_q(tr.where("grp = 'a'"), 20).collect()}
+    assert P.fit_q_converged(tr.limit(0), ["grp"]).collect() == []
+
+
+def test_sweeps_are_exact_beyond_64_bit_sums():
+    import numpy as np
+    from tidewater.operators import qsweeps
+    state, action, following = np.array([1, 1, 2, 2]), np.array([0, 0, 0, 1]), np.array([1, 2, 1, 9])
+    n, r = np.array([3, 1, 2, 5]), np.array([9_000, -4_000, 7_000, 1_000])
+    small = qsweeps.solve(state, action, following, n, r, 0.95, 40, None)
+    large = qsweeps.solve(state, action, following, n * 10 ** 14, r * 10 ** 14, 0.95, 40, None)
+    assert small[2].tolist() == large[2].tolist() and small[3:] == large[3:]

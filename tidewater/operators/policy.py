@@ -14,6 +14,9 @@ whole millionths, so sums are exact and no result depends on their order.
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ from tidewater.functions.constants import (ACTIONS, ANOMALY_MITIGATION, DAY_BINS
                                            STANDARD_ACTION_COST, STOCKOUT_PENALTY)
 from tidewater.functions.exprs import bin_index, round_half_up
 from tidewater.functions.joins import small_side
+from tidewater.operators import qsweeps
 from tidewater.session import cut_lineage
 
 N_STATES = len(INV_BINS) * len(DEMAND_BINS) * len(RISK_BINS) * 2 * len(DAY_BINS)
@@ -125,8 +129,8 @@ def reward_milli(inv_after: Column, demand: Column, action_id: Column, anomaly:
             + F.when((action_id == 5) & (F.coalesce(anomaly, F.lit(0)) != 0), const(ANOMALY_MITIGATION)).otherwise(zero))
 
 
-def _steps(s: DataFrame, demand: str, risk: str, anomaly: str, days: str) -> DataFrame:
-    """(state, action_id, reward, next_state) of rows that carry n_demand, n_risk, n_anomaly and lead_days."""
+def _steps(s: DataFrame, demand: str, risk: str, anomaly: str, days: str, keep: list[str] | None = None) -> DataFrame:
+    """(keep, state, action_id, reward, next_state) of rows that carry n_demand, n_risk, n_anomaly and lead_days."""
     s = with_actions(with_state(s, inv="inventory", demand=demand, risk=risk, anomaly=anomaly, days=days))
     after = F.col("inventory") + F.col("qty") - F.col(demand)
     s = s.withColumns({
@@ -136,11 +140,11 @@ def _steps(s: DataFrame, demand: str, risk: str, anomaly: str, days: str) -> Dat
         .otherwise(F.greatest(F.col(days) - 1, F.lit(1.0))),
         "n_anom": F.when(F.col("action_id") == 5, F.lit(0)).otherwise(F.col("n_anomaly"))})
     nb = state_bins(inv="n_inv", demand="n_demand", risk="n_risk", anomaly="n_anom", days="n_days")
-    return s.select("state", "action_id", "reward", state_code(nb).alias("next_state"))
+    return s.select(*(keep or []), "state", "action_id", "reward", state_code(nb).alias("next_state"))
 
 
-def transitions(states: DataFrame, by: list[str], lead_days: DataFrame | None = None) -> DataFrame:
-    """(state, action, reward in thousandths, next_state) for every series row with a next day and each action.
+def transitions(states: DataFrame, by: list[str], lead_days: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(keep, state, action, reward in thousandths, next_state) for every series row with a next day and each action.
 
     Next inventory is the floored inventory after the step; next demand,
     risk and anomaly are the next day's (anomaly 0 after SWITCH_SUPPLIER);
@@ -157,7 +161,7 @@ def transitions(states: DataFrame, by: list[str], lead_days: DataFrame | None =
         s = s.join(lead_days, on=by, how="left")
     else:
         s = s.withColumn("lead_days", F.lit(None).cast("double"))
-    return _steps(s, "demand7", "risk", "anomaly", "days")
+    return _steps(s, "demand7", "risk", "anomaly", "days", keep)
 
 
 def daily_changes(states: DataFrame, by: list[str]) -> DataFrame:
@@ -178,9 +182,9 @@ def order_transitions(orders: DataFrame, changes: DataFrame, lead_days: DataFram
     return _steps(s, "demand_7d_avg_raw", "risk_score", "is_anomaly", "days_to_delivery")
 
 
-def transition_counts(trans: DataFrame) -> DataFrame:
-    """n and reward sum per (state, action, next state): bounded by the bins, combined map-side."""
-    return trans.groupBy("state", "action_id", "next_state").agg(
+def transition_counts(trans: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """n and reward sum per (series, state, action, next state): bounded by the bins, combined map-side."""
+    return trans.groupBy(*(by or []), "state", "action_id", "next_state").agg(
         F.count(F.lit(1)).alias("n"), F.sum("reward").alias("r"))
 
 
@@ -212,6 +216,32 @@ def fit_q(trans: DataFrame, sweeps: int, gamma: float = GAMMA, checkpoint_every:
     return q.select("state", "action_id", (F.col("m") / float(Q_SCALE)).alias("q"))
 
 
+def fit_q_converged(trans: DataFrame, by: list[str] | None = None, gamma: float = GAMMA, sweeps: int | None = None) -> DataFrame:
+    """H5 to convergence, a policy for each series: by, state, action_id, q, residual and sweeps.
+
+    ``trans`` has the keys ``by`` (none: one policy) beside state, action_id, reward and next_state.  A series' sweeps
+    run in one task over its transition counts, a table whose size the bins fix, not the data; series are spread
+    over the tasks.  They end when no value moves by more than ``residual_limit(gamma)`` millionths (or after
+    ``sweeps`` of them); ``residual`` is the last largest move.  Values are those of as many ``fit_q`` sweeps.
+
+    Rounding adds at most two millionths a sweep, so a move d is followed by one of at most gamma d + 2: the moves
+    fall to the limit whatever the table, and the values then lie within (gamma d + 2) / (1 - gamma) of the exact ones.
+    """
+    keys = list(by or [])
+    counts = transition_counts(trans, keys)
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in counts.schema.fields if f.name in keys)
+    schema = f"{types}state int, action_id int, q double, residual long, sweeps int"
+    solve = partial(qsweeps.solve_frame, n_keys=len(keys), gamma=gamma, limit=residual_limit(gamma), sweeps=sweeps)
+    counts = counts.select(*keys, F.col("state").cast("int"), F.col("action_id").cast("int"), F.col("next_state").cast("int"),
+                           F.col("n").cast("long"), F.col("r").cast("long"))
+    return counts.groupBy(*keys).applyInPandas(lambda pdf: solve(pdf), schema)  # a partial has no name for Spark
+
+
+def residual_limit(gamma: float = GAMMA) -> int:
+    """The move, in millionths, that sweeps are sure to come down to."""
+    return math.ceil(2 / (1 - gamma) + 1e-9)
+
+
 # ----------------------------------------------------------- H6-H11 read-outs
 def q_full(q: DataFrame, states: DataFrame) -> DataFrame:
     """All six actions for each requested state; pairs never seen keep Q = 0 and trained = false."""

@@ -210,6 +210,36 @@ def action_values_k20(spark, sf_dir):
     return _rounded(_q(spark, sf_dir, 20))
 
 
+@query("action_values_converged")
+def action_values_converged(spark, sf_dir):
+    """H5 until no value moves by more than the residual limit (no oracle: some 300 sweeps)."""
+    tr = P.transitions(series_states(spark, sf_dir), ["department"], _lead_days(spark, sf_dir))
+    return _rounded(P.fit_q_converged(tr))
+
+
+@query("department_action_values_k2", with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES, """
+dtc AS MATERIALIZED (SELECT department, """ + sql_state("inventory", "demand7", "risk", "anomaly", "days") + """ AS state, action_id,
+  """ + sql_state("n_inv", "n_demand", "n_risk", "n_anom", "n_days") + """ AS next_state, COUNT(*) AS n, SUM(reward) AS r
+  FROM tc_3 GROUP BY 1, 2, 3, 4),
+dm1 AS (SELECT department, state, action_id, CAST(FLOOR(CAST(SUM(r * 1000) AS DOUBLE) / CAST(SUM(n) AS DOUBLE) + 0.5) AS BIGINT) AS m
+  FROM dtc GROUP BY 1, 2, 3),
+dw1 AS (SELECT department, state AS next_state, CAST(FLOOR(MAX(m) * CAST(0.95 AS DOUBLE) + 0.5) AS BIGINT) AS worth FROM dm1 GROUP BY 1, 2),
+dm2 AS (SELECT department, state, action_id, CAST(FLOOR(CAST(SUM(r * 1000 + n * COALESCE(worth, 0)) AS DOUBLE)
+  / CAST(SUM(n) AS DOUBLE) + 0.5) AS BIGINT) AS m FROM dtc LEFT JOIN dw1 USING (department, next_state) GROUP BY 1, 2, 3)""")
+       + "SELECT department, state, action_id, " + sql_half_up("(m / CAST(1000000.0 AS DOUBLE))", 4) + " AS q FROM dm2")
+def department_action_values_k2(spark, sf_dir):
+    """H5 with a policy of its own for each department, two sweeps."""
+    tr = P.transitions(series_states(spark, sf_dir), ["department"], _lead_days(spark, sf_dir), keep=["department"])
+    return _rounded(P.fit_q_converged(tr, ["department"], sweeps=2).drop("residual", "sweeps"))
+
+
+@query("department_action_values")
+def department_action_values(spark, sf_dir):
+    """H5 to convergence with a policy of its own for each department."""
+    tr = P.transitions(series_states(spark, sf_dir), ["department"], _lead_days(spark, sf_dir), keep=["department"])
+    return _rounded(P.fit_q_converged(tr, ["department"]))
+
+
 @query("best_action", with_order_lines(SERIES_STATES_CTES, TRANSITIONS_CTES)
        + "SELECT state, action_id, action, " + sql_half_up("q_value", 3) + " AS q_value, ROUND(confidence, 4) AS confidence FROM best")
 def best_action(spark, sf_dir):
