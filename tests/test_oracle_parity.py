@@ -18,7 +18,8 @@ SUBSET = ["daily_demand", "demand_features", "dept_last30", "actual_and_forecast
           "label_codes", "stratified_split", "stratified_split_exact", "supplier_stats", "confusion_matrix", "auc_ovr", "forecast_metrics",
           "series_states", "action_values_k2", "best_action", "decision_justification", "route_costs", "routes",
           "order_decisions", "eda_describe", "chat_context", "requests_from_presets", "event_daily_demand",
-          "dept_series_or_global"]
+          "dept_series_or_global", "demand_features_by_product", "forecast_metrics_by_product", "decision_fields",
+          "department_action_values_k2", "live_demand_features"]
 if os.environ.get("TIDEWATER_FULL_PARITY"):
     SUBSET = sorted(entry.oracle_sql())
 
