@@ -226,6 +226,7 @@ def fit_q_converged(trans: DataFrame, by: list[str] | None = None, gamma: float
 
     Rounding adds at most two millionths a sweep, so a move d is followed by one of at most gamma d + 2: the moves
     fall to the limit whatever the table, and the values then lie within (gamma d + 2) / (1 - gamma) of the exact ones.
+    Values above some 10^10 units, whose millionths a double cannot hold, end at moves of 2^-48 of the largest value.
     """
     keys = list(by or [])
     counts = transition_counts(trans, keys)
