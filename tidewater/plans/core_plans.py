@@ -15,6 +15,7 @@ from tidewater.operators import supplier as S
 from tidewater.plans.demand_plans import NOT_NULL_SQL, sql_features, sql_spine
 from tidewater.plans.oracle_base import with_order_lines
 from tidewater.plans.registry import query, round_doubles
+from tidewater.session import written
 from tidewater.sources import raw as RAW
 from tidewater.sources.tables import ORDER_LINE_COLUMNS, order_lines
 
@@ -29,8 +30,11 @@ _CLEAN_SQL = with_order_lines() + """SELECT DISTINCT order_id, line_no, order_da
 FROM order_lines WHERE quantity IS NOT NULL AND order_date IS NOT NULL"""
 
 
-def _raw(spark, sf_dir):
-    return RAW.raw_orders_frame(order_lines(spark, sf_dir, RAW.RAW_SOURCE_COLUMNS))
+DEDUP_LINES = 200_000  # whole lines that a task of the duplicate search holds
+
+
+def _raw(spark, sf_dir, task_lines=None):
+    return RAW.raw_orders_frame(order_lines(spark, sf_dir, RAW.RAW_SOURCE_COLUMNS, task_lines=task_lines))
 
 
 def _clean_out(df):
@@ -49,7 +53,7 @@ def scan_orders_csv(spark, sf_dir):
 
 @query("clean_orders", _CLEAN_SQL)
 def clean_orders(spark, sf_dir):
-    return _clean_out(C.clean_orders(_raw(spark, sf_dir)))
+    return _clean_out(C.clean_orders(_raw(spark, sf_dir, task_lines=DEDUP_LINES)))
 
 
 @query("parse_dates", with_order_lines() + """SELECT order_id, line_no, order_date,
@@ -166,7 +170,9 @@ _RISK_FEATURE_SQL = ", ".join(
 @query("risk_features", with_order_lines(*_RISK_CTES)
        + f"SELECT order_id, line_no, {_RISK_FEATURE_SQL}, risk_class FROM feats")
 def risk_features(spark, sf_dir):
-    df = R.with_label_codes(R.with_delay_rate(_risk_base(spark, sf_dir)))
+    # the rates, the codes and the rows themselves all read the lines
+    base = R.delay_columns(written(order_lines(spark, sf_dir, _RISK_IN), "order-lines"))
+    df = R.with_label_codes(R.with_delay_rate(base))
     return round_doubles(df.select("order_id", "line_no", *RISK_FEATURES, "risk_class").dropna())
 
 
@@ -429,6 +435,7 @@ def eda_nulls(spark, sf_dir):
   ROUND(CAST(MIN({c}) AS DOUBLE), 4) AS min, ROUND(QUANTILE_CONT({c}, 0.25), 4) AS p25, ROUND(QUANTILE_CONT({c}, 0.5), 4) AS p50,
   ROUND(QUANTILE_CONT({c}, 0.75), 4) AS p75, ROUND(CAST(MAX({c}) AS DOUBLE), 4) AS max FROM order_lines""" for c in _EDA_COLS))
 def eda_describe(spark, sf_dir):
-    d = E.describe(order_lines(spark, sf_dir, _EDA_COLS), _EDA_COLS)
+    # the statistics and the quantiles both read the lines
+    d = E.describe(written(order_lines(spark, sf_dir, _EDA_COLS), "order-lines"), _EDA_COLS)
     return d.select("col_name", "count", *[F.round(c, 4).alias(c) for c in
                                           ["mean", "std", "min", "p25", "p50", "p75", "max"]])

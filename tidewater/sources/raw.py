@@ -76,8 +76,9 @@ def raw_orders_frame(order_lines: DataFrame) -> DataFrame:
 
 def write_raw_csv(raw: DataFrame, path: str | None = None) -> str:
     path = path or scratch_path(raw.sparkSession, "raw-orders-csv")
+    # as text a line of the export takes some 650 bytes, most of them alike in all lines
     (raw.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1")
-     .csv(path))
+     .option("compression", "gzip").csv(path))
     return path
 
 
