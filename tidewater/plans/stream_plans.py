@@ -74,8 +74,9 @@ def _live(spark, sf_dir):
     store = scratch_path(spark, "decision-tables")
     DP.publish_inputs(spark, DP.decision_inputs(spark, sf_dir), store)
     place = f"{sf_dir}/lineitem.parquet"
-    lines = order_lines(spark, sf_dir, DP.DECISION_IN,
-                        lineitem=LV.arriving(spark, place, read_table(spark, sf_dir, "lineitem").schema))
+    # every batch joins the arriving lines with whole tables, so batches go by bytes, not by four files
+    lines = order_lines(spark, sf_dir, DP.RULE_IN, lineitem=LV.arriving(
+        spark, place, read_table(spark, sf_dir, "lineitem").schema, bytes_per_trigger=LV.BATCH_BYTES))
 
     def decide(batch, version):
         return DP.decisions(spark, sf_dir, DP.published_inputs(spark, version) | {"orders": R.delay_columns(batch)})

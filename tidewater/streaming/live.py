@@ -20,10 +20,17 @@ from tidewater.session import scratch_path
 from tidewater.sources import versions as V
 
 
-def arriving(spark: SparkSession, path: str, schema, files_per_trigger: int = 4) -> DataFrame:
-    """The parquet files at ``path`` (a folder, or one file) as a stream, in the order of their age."""
+BATCH_BYTES = 1 << 30
+
+
+def arriving(spark: SparkSession, path: str, schema, files_per_trigger: int = 4, bytes_per_trigger: int | None = None) -> DataFrame:
+    """The parquet files at ``path`` (a folder, or one file) as a stream, in the order of their age.
+
+    A batch takes ``files_per_trigger`` files, or with ``bytes_per_trigger`` files of about that size in all (at least one).
+    """
     p = path.rstrip("/")  # a stream of one file needs a pattern; this one matches the path itself and nothing beside it
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{p[:-1]}[{p[-1]}]")
+    most = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    return spark.readStream.schema(schema).option(*most).parquet(f"{p[:-1]}[{p[-1]}]")
 
 
 def write_batch(sink: str):
