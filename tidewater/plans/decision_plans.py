@@ -69,7 +69,7 @@ def decision_inputs(spark, sf_dir, policy_sweeps: int | None = 2, columns: list[
     adj = RT.adjacency(RT.edge_weights(FX.net_edges(spark, sf_dir, pairs.where(F.col("source") != F.col("target")))))
     # to every node, since orders to come may join nations that had no lane so far
     best_paths = RT.shortest_paths(adj, pairs.select(F.col("source").alias("start")))
-    x = dict(orders=base, pairs=pairs, flags=S.zscore_outliers(stats, "department"),
+    x = dict(orders=base, flags=S.zscore_outliers(stats, "department"),
              shares=R.class_shares(sums.where(F.col("set") == "mode").select("shipping_mode", "risk_class",
                                                                             F.col("n_train").alias("n"))),
              forecast=fc, base_fc=base_forecast(fc), unit_value=float(unit_value), auv=F.round(F.lit(float(unit_value)), 6),
@@ -569,10 +569,8 @@ def dept_series_or_global(spark, sf_dir):
 
 
 # ------------------------------------------------------------ H12 allocation
-def warehouse_offers(spark, sf_dir, orders: DataFrame | None = None, lanes: DataFrame | None = None) -> DataFrame:
-    """``orders`` and ``lanes`` (as ``FX.net_edges`` takes them), when at hand, save passes over the order lines.
-
-    Warehouses (nodes of type warehouse) with capacity, unit cost and shipping cost to each reachable goal.
+def warehouse_offers(spark, sf_dir) -> DataFrame:
+    """Warehouses (nodes of type warehouse) with capacity, unit cost and shipping cost to each reachable goal.
 
     capacity = floor(total lane capacity at the node / 100); cost_per_unit = mean order value per unit of
     lines supplied from the node's nation / 100 (2 decimals); shipping_cost = least-cost route time from
@@ -580,11 +578,11 @@ def warehouse_offers(spark, sf_dir, orders: DataFrame | None = None, lanes: Data
     """
     nodes = FX.net_nodes(spark, sf_dir)
     wh = nodes.where(F.col("type") == "warehouse").select(F.col("node_id").alias("warehouse"))
-    e = cut_lineage(FX.net_edges(spark, sf_dir, lanes))
+    e = cut_lineage(FX.net_edges(spark, sf_dir))  # read three times
     cap = (e.select(F.col("source").alias("warehouse"), "capacity")
            .unionByName(e.select(F.col("target").alias("warehouse"), "capacity"))
            .groupBy("warehouse").agg(F.floor(F.sum("capacity") / 100).cast("double").alias("capacity")))
-    ol = order_lines(spark, sf_dir, ["supplier_nation", "order_value", "quantity"]) if orders is None else orders
+    ol = order_lines(spark, sf_dir, ["supplier_nation", "order_value", "quantity"])
     unit = ol.groupBy(F.col("supplier_nation").cast("int").alias("warehouse")).agg(
         F.round(F.avg(F.col("order_value") / F.col("quantity")) / 100, 2).alias("cost_per_unit"))
     adj = RT.adjacency(RT.edge_weights(e))
@@ -621,14 +619,12 @@ SELECT problem_id, target, list(warehouse ORDER BY warehouse) FILTER (WHERE qty
   ROUND(SUM(qty * unit_cost), 4) AS total_cost FROM al2 GROUP BY problem_id, target""")
 def least_cost_allocation(spark, sf_dir):
     """Where to buy each order's reorder quantity: warehouses filled in unit-cost order under capacity."""
-    x = decision_inputs(spark, sf_dir)
-    d = decisions(spark, sf_dir, x)
+    d = decisions(spark, sf_dir)
     target = DC.action_qty(F.col("action_id"))
     probs = d.select(target.alias("target"), (F.col("risk_level") == "HIGH").alias("is_high_risk"),
                      F.col("customer_nation").cast("int").alias("goal")).distinct().where(F.col("target") > 0)
     probs = probs.withColumn("problem_id", F.concat_ws(":", F.col("target").cast("string"),
                                                         F.col("is_high_risk").cast("string"),
                                                         F.col("goal").cast("string")))
-    lanes = x["pairs"].where(F.col("source") != F.col("target"))
-    out = DC.least_cost_allocation(probs, warehouse_offers(spark, sf_dir, x["orders"], lanes))
+    out = DC.least_cost_allocation(probs, warehouse_offers(spark, sf_dir))
     return out.withColumn("total_cost", F.round("total_cost", 4))
